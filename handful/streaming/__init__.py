@@ -1,0 +1,5 @@
+"""Streaming use of the row-wise operators.
+
+Renaming, scoring and span prefixing are narrow projections, so they run
+unchanged on a frame from ``readStream``; nothing here keeps state.
+"""
