@@ -20,9 +20,9 @@ def draw_key(seed, *ids) -> Column:
     return F.md5(F.concat_ws(":", head.cast("string"), *[_col(c).cast("string") for c in ids]))
 
 
-def draw_number(key: Column) -> Column:
-    """First 32 bits of a draw key as BIGINT in [0, 2**32)."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+def draw_number(key: Column, digits: int = 8) -> Column:
+    """First hex digits of a draw key as BIGINT in [0, 16**digits), digits up to 15."""
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")
 
 
 def first_per_group(

@@ -37,13 +37,13 @@ def nth_occurrence(text, needle, k, overlapping: bool) -> Column:
 
 # Punctuation removed and articles dropped when answers are compared.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ARTICLES = r"\b(a|an|the)\b"
+ARTICLES = r"(?U)\b(a|an|the)\b"
 
 
 def answer_tokens(text) -> Column:
     """Lower-case words of an answer without punctuation, articles or extra blanks."""
     bare = F.translate(F.lower(_col(text)), PUNCTUATION, "")
-    words = F.split(F.regexp_replace(bare, ARTICLES, " "), r"\s+")
+    words = F.split(F.regexp_replace(bare, ARTICLES, " "), r"(?U)\s+")
     return F.filter(words, lambda w: w != "")
 
 
