@@ -9,6 +9,11 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with value computed once, as inside a lambda it would be computed per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(a, b) -> Column:
     products = F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
@@ -20,21 +25,22 @@ def norm(a) -> Column:
 
 def l2_normalize(a) -> Column:
     """Unit vector; a zero vector stays zero."""
-    size = norm(a)
-    return F.transform(_col(a), lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
+    return let(norm(a), lambda size: F.transform(_col(a), lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0))))
 
 
 def cosine(a, b) -> Column:
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+    """Cosine of two vectors; 0 if one of them is zero."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def softmax(scores) -> Column:
-    scores = _col(scores)
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(F.array_max(_col(scores)), lambda top: F.transform(_col(scores), lambda x: F.exp(x - top)))
+    return let(
+        powers,
+        lambda e: let(
+            F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total)
+        ),
+    )
 
 
 def sigmoid(scores) -> Column:
@@ -57,4 +63,4 @@ def mean_pool(tokens, mask) -> Column:
         F.element_at(weighted, 1),
         lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y),
     )
-    return F.transform(total, lambda x: x / weight)
+    return let(weight, lambda w: F.transform(total, lambda x: x / w))
