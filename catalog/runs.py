@@ -474,11 +474,10 @@ def parse_path(spark, sf):
 
 @register(
     "clean_cells",
-    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN NULL ELSE value END AS as_float,
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN user_id::DOUBLE ELSE value END AS as_float,
               CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN user_id::VARCHAR ELSE value::VARCHAR END AS as_int,
-              CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN user_id::VARCHAR ELSE regexp_replace(value::VARCHAR, '^(\\d+)\\.0$', '\\1') END AS clean
-       FROM (SELECT *, CASE event_id % 5 WHEN 2 THEN user_id::DOUBLE ELSE e.value END AS v2 FROM events e) q WHERE event_id % 5 <> 2
-       UNION ALL SELECT event_id, user_id::DOUBLE, user_id::VARCHAR, user_id::VARCHAR FROM events WHERE event_id % 5 = 2""",
+              CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN user_id::VARCHAR
+                   ELSE regexp_replace(value::VARCHAR, '^(\\d+)\\.0$', '\\1') END AS clean FROM events""",
 )
 def clean_cells(spark, sf):
     k = F.col("event_id") % 5

@@ -121,14 +121,14 @@ def unwrap_records(
 
 def json_runs(texts: DataFrame, text: str = "value", file: str = "result_file", order: Sequence[str] = ()) -> DataFrame:
     """Run rows of JSON texts; unreadable texts give none."""
-    path = F.col(file)
 
     def found(v: Column) -> Column:
-        return let(run_fields(v, path), is_run)
+        return let(run_fields(v, F.col("result_file")), is_run)
 
-    parsed = texts.withColumn("_v", F.try_parse_json(F.col(text))).filter(F.col("_v").isNotNull())
+    parsed = texts.select(F.col(file).alias("result_file"), *order, F.try_parse_json(F.col(text)).alias("_v"))
+    parsed = parsed.filter(F.col("_v").isNotNull())
     rows = parsed.select(
-        path.alias("result_file"), *order, F.posexplode(unwrap_records(F.col("_v"), found)).alias("position", "_r")
+        "result_file", *order, F.posexplode(unwrap_records(F.col("_v"), found)).alias("position", "_r")
     )
     return (
         rows.withColumn("_f", run_fields(F.col("_r"), F.col("result_file")))
