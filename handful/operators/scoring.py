@@ -70,7 +70,8 @@ def embed(
                 matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
             yield pd.Series(list(matrix), index=texts.index)
 
-    return df.withColumn(out, encode(F.col(text)))
+    # marked so that the planner keeps one call per row instead of copying it into filters
+    return df.withColumn(out, encode.asNondeterministic()(F.col(text)))
 
 
 def pool_tokens(

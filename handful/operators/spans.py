@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from handful.functions.text import nth_occurrence
 from handful.operators.columns import with_default_ordinal
@@ -54,7 +54,8 @@ def tag_tokens(df: DataFrame, tagger: Callable[[], Callable[[str], Sequence[tupl
                 dtype=object,
             )
 
-    return df.withColumn("tokens", tag(F.col(text)))
+    # marked so that the planner keeps one call per row instead of copying it into filters
+    return df.withColumn("tokens", tag.asNondeterministic()(F.col(text)))
 
 
 def runs_of_true(flags) -> Column:
@@ -78,12 +79,32 @@ def runs_of_true(flags) -> Column:
     )
 
 
+def runs_of_true_rows(df: DataFrame, by: Sequence[str], place: str, flag: str) -> DataFrame:
+    """The same runs from a long table with a dense ``place`` per group: (by..., start, stop)."""
+    by = list(by)
+    order = Window.partitionBy(*by).orderBy(place)
+    marked = df.filter(F.col(flag)).select(*by, place, (F.col(place) - F.row_number().over(order)).alias("_island"))
+    return marked.groupBy(*by, "_island").agg(
+        F.min(place).alias("start"), (F.max(place) + 1).alias("stop")
+    ).drop("_island")
+
+
 def extract_aspects(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Add ``aspects``: the runs of noun and proper-noun tokens."""
     flagged = docs.withColumn("_flags", F.transform(tokens, lambda t: t["pos"].isin(*ASPECT_TAGS)))
     return flagged.withColumn("aspects", runs_of_true("_flags")).drop("_flags")
 
 
+def explode_aspects(docs: DataFrame, keep: Sequence[str], tokens: str = "tokens") -> DataFrame:
+    """One row (keep..., span) per extracted aspect.
+
+    The outer form with a filter behind it: an inner explode of a computed array lets the
+    planner copy the whole computation into a filter below it.
+    """
+    spans = extract_aspects(docs, tokens).select(*keep, F.explode_outer("aspects").alias("span"))
+    return spans.filter(F.col("span").isNotNull())
+
+
 def span_text(text, tokens, start, stop) -> Column:
     """Text from the first to the last token of a span."""
     tokens = _col(tokens)
@@ -142,7 +163,7 @@ def span_training_sets(
     placed = gold_spans(df, docs, overlapping=True, key=key, tokens=tokens)
     gold = placed.filter("gold is not null")
     annotated = docs.join(df.select(key).distinct(), key, "left_semi")
-    candidates = extract_aspects(annotated, tokens).select(key, F.explode("aspects").alias("span"))
+    candidates = explode_aspects(annotated, [key], tokens)
     false = non_overlapping(candidates, gold.select(key, "gold"), key)
     spans = gold.select(key, F.col("gold").alias("span"), F.lit(True).alias("label")).unionByName(
         false.withColumn("label", F.lit(False))
@@ -168,7 +189,7 @@ def predict_spans(docs: DataFrame, aspect_model: Model, polarity_model: Model, k
     A model adds ``pred_label`` to rows with ``input``.  Candidates and both models run
     without a shuffle; only the short spans are gathered per text.
     """
-    candidates = extract_aspects(docs).select(key, "text", "tokens", F.explode("aspects").alias("span"))
+    candidates = explode_aspects(docs, [key, "text", "tokens"])
     kept = filter_aspects(aspect_model(prepend_span(candidates, ASPECT_CONTEXT))).drop("pred_label", "input")
     judged = polarity_model(prepend_span(kept, POLARITY_CONTEXT))
     words = span_text("text", "tokens", F.col("span.start"), F.col("span.stop"))
