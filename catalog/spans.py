@@ -71,7 +71,7 @@ def runs_of_true(spark, sf):
     f"WITH {_TOK} SELECT id AS row_id, a AS start, md5(input) AS input_md5 FROM {_input_sql('asp', 3)}",
 )
 def prepend_span(spark, sf):
-    docs = P.explode_aspects(tagged(spark, sf), ["row_id", "text", "tokens"])
+    docs = P.explode_aspects(tagged(spark, sf), ["row_id", "text"])
     return P.prepend_span(docs, 3).select("row_id", big("span.start").alias("start"), F.md5("input").alias("input_md5"))
 
 
@@ -216,9 +216,9 @@ def span_evaluate(spark, sf):
     f"WITH {_TOK} SELECT id AS row_id, a AS start, words AS span FROM {_input_sql('asp', 0)} WHERE length(input) % 2 = 0",
 )
 def filter_aspects(spark, sf):
-    docs = P.explode_aspects(tagged(spark, sf), ["row_id", "text", "tokens"])
+    docs = P.explode_aspects(tagged(spark, sf), ["row_id", "text"])
     kept = P.filter_aspects(_aspect_model(P.prepend_span(docs, 0)))
-    words = P.span_text("text", "tokens", F.col("span.start"), F.col("span.stop"))
+    words = P.span_text("text", "at_0")
     return kept.select("row_id", big("span.start").alias("start"), words.alias("span"))
 
 

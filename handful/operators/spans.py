@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from handful.functions.text import nth_occurrence
@@ -19,6 +19,7 @@ from handful.operators.metrics import accuracy
 # Tags that make an aspect, and how many words around it the two models read.
 ASPECT_TAGS = ["NOUN", "PROPN"]
 ASPECT_CONTEXT, POLARITY_CONTEXT = 0, 3
+CONTEXTS = (ASPECT_CONTEXT, POLARITY_CONTEXT)
 
 TOKEN = T.StructType(
     [
@@ -42,17 +43,28 @@ def tag_tokens(df: DataFrame, tagger: Callable[[], Callable[[str], Sequence[tupl
     to (token text, tag, start, end) tuples.
     """
 
-    @F.pandas_udf(T.ArrayType(TOKEN))
-    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(TOKEN))
+    def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = tagger()
         for texts in batches:
-            yield pd.Series(
+            edges, places, flat = [0], [], []
+            for value in texts.to_pylist():
+                found = list(run(value or ""))
+                places.extend(range(len(found)))
+                flat.extend(found)
+                edges.append(len(flat))
+            words, tags, starts, ends = zip(*flat) if flat else ((), (), (), ())
+            tokens = pa.StructArray.from_arrays(
                 [
-                    [{"i": i, "text": w, "pos": p, "start": a, "end": b} for i, (w, p, a, b) in enumerate(run(t or ""))]
-                    for t in texts
+                    pa.array(places, pa.int32()),
+                    pa.array(words, pa.string()),
+                    pa.array(tags, pa.string()),
+                    pa.array(starts, pa.int32()),
+                    pa.array(ends, pa.int32()),
                 ],
-                dtype=object,
+                TOKEN.names,
             )
+            yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), tokens)
 
     # marked so that the planner keeps one call per row instead of copying it into filters
     return df.withColumn("tokens", tag.asNondeterministic()(F.col(text)))
@@ -95,29 +107,48 @@ def extract_aspects(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return flagged.withColumn("aspects", runs_of_true("_flags")).drop("_flags")
 
 
-def explode_aspects(docs: DataFrame, keep: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """One row (keep..., span) per extracted aspect.
+def _chars(tokens, start: Column, stop: Column, context: int) -> Column:
+    """Char offsets of a span widened by ``context`` tokens on both sides."""
+    tokens = _col(tokens)
+    first = F.greatest(start - context, F.lit(0))
+    last = F.least(stop + context, F.size(tokens)) - 1
+    return F.named_struct(F.lit("begin"), F.get(tokens, first)["start"], F.lit("end"), F.get(tokens, last)["end"])
+
+
+def place_span(spans: DataFrame, contexts: Sequence[int] = CONTEXTS, tokens: str = "tokens", span: str = "span") -> DataFrame:
+    """Add ``at_<context>``, the char offsets of the span with that many tokens around it."""
+    begin, end = F.col(span)["start"], F.col(span)["stop"]
+    return spans.withColumns({f"at_{c}": _chars(tokens, begin, end, c) for c in contexts})
+
 
-    The outer form with a filter behind it: an inner explode of a computed array lets the
-    planner copy the whole computation into a filter below it.
+def explode_aspects(
+    docs: DataFrame, keep: Sequence[str], contexts: Sequence[int] = CONTEXTS, tokens: str = "tokens"
+) -> DataFrame:
+    """One row (keep..., span, at_<context>...) per extracted aspect.
+
+    Offsets are looked up before the explode, so the token array is not copied into every
+    row.  The outer form with a filter behind it, as an inner explode of a computed array
+    lets the planner copy the whole computation into a filter below it.
     """
-    spans = extract_aspects(docs, tokens).select(*keep, F.explode_outer("aspects").alias("span"))
-    return spans.filter(F.col("span").isNotNull())
+    placed = F.transform(
+        "aspects",
+        lambda s: F.named_struct(
+            F.lit("span"), s, *[x for c in contexts for x in (F.lit(f"at_{c}"), _chars(tokens, s["start"], s["stop"], c))]
+        ),
+    )
+    rows = extract_aspects(docs, tokens).select(*keep, F.explode_outer(placed).alias("_a"))
+    return rows.filter(F.col("_a").isNotNull()).select(*keep, "_a.*")
 
 
-def span_text(text, tokens, start, stop) -> Column:
-    """Text from the first to the last token of a span."""
-    tokens = _col(tokens)
-    begin = F.get(tokens, _col(start))["start"]
-    end = F.get(tokens, _col(stop) - 1)["end"]
-    return F.substr(_col(text), begin + 1, end - begin)
+def span_text(text, at) -> Column:
+    """Text between two char offsets."""
+    at = _col(at)
+    return F.substr(_col(text), at["begin"] + 1, at["end"] - at["begin"])
 
 
-def prepend_span(spans: DataFrame, context: int, text: str = "text", tokens: str = "tokens", span: str = "span", out: str = "input") -> DataFrame:
+def prepend_span(spans: DataFrame, context: int, text: str = "text", out: str = "input") -> DataFrame:
     """Add the model input: the span with ``context`` tokens on both sides, ':' and the whole text."""
-    start = F.greatest(F.col(span)["start"] - context, F.lit(0))
-    stop = F.least(F.col(span)["stop"] + context, F.size(tokens))
-    return spans.withColumn(out, F.concat(span_text(text, tokens, start, stop), F.lit(":"), F.col(text)))
+    return spans.withColumn(out, F.concat(span_text(text, f"at_{context}"), F.lit(":"), F.col(text)))
 
 
 def gold_spans(
@@ -163,17 +194,17 @@ def span_training_sets(
     placed = gold_spans(df, docs, overlapping=True, key=key, tokens=tokens)
     gold = placed.filter("gold is not null")
     annotated = docs.join(df.select(key).distinct(), key, "left_semi")
-    candidates = explode_aspects(annotated, [key], tokens)
+    candidates = explode_aspects(annotated, [key], [ASPECT_CONTEXT], tokens)
     false = non_overlapping(candidates, gold.select(key, "gold"), key)
-    spans = gold.select(key, F.col("gold").alias("span"), F.lit(True).alias("label")).unionByName(
-        false.withColumn("label", F.lit(False))
+    placed_gold = place_span(gold.drop("span").withColumnRenamed("gold", "span"), tokens=tokens)
+    near = f"at_{ASPECT_CONTEXT}"
+    rows = placed_gold.select(key, "span", near, F.lit(True).alias("label")).unionByName(
+        false.select(key, "span", near, F.lit(False).alias("label"))
     )
-    columns = [key] if key == "text" else [key, "text"]
-    texts = docs.select(*columns, tokens)
-    aspect = prepend_span(spans.join(texts, key), ASPECT_CONTEXT, tokens=tokens).select(key, "span", "input", "label")
-    wanted = gold.select(key, F.col("gold").alias("span"), "label")
-    polarity = prepend_span(wanted.join(texts, key), POLARITY_CONTEXT, tokens=tokens).select(key, "span", "input", "label")
-    return aspect, polarity
+    texts = rows if key == "text" else rows.join(docs.select(key, "text"), key)
+    aspect = prepend_span(texts, ASPECT_CONTEXT)
+    polarity = prepend_span(placed_gold, POLARITY_CONTEXT)
+    return aspect.select(key, "span", "input", "label"), polarity.select(key, "span", "input", "label")
 
 
 def filter_aspects(spans: DataFrame, pred: str = "pred_label") -> DataFrame:
@@ -189,10 +220,10 @@ def predict_spans(docs: DataFrame, aspect_model: Model, polarity_model: Model, k
     A model adds ``pred_label`` to rows with ``input``.  Candidates and both models run
     without a shuffle; only the short spans are gathered per text.
     """
-    candidates = explode_aspects(docs, [key, "text", "tokens"])
+    candidates = explode_aspects(docs, [key, "text"])
     kept = filter_aspects(aspect_model(prepend_span(candidates, ASPECT_CONTEXT))).drop("pred_label", "input")
     judged = polarity_model(prepend_span(kept, POLARITY_CONTEXT))
-    words = span_text("text", "tokens", F.col("span.start"), F.col("span.stop"))
+    words = span_text("text", f"at_{ASPECT_CONTEXT}")
     found = judged.select(
         key, F.struct(F.col("span.start").alias("at"), words.alias("span"), F.col("pred_label").alias("polarity")).alias("s")
     )
@@ -208,7 +239,7 @@ def predict_gold_polarity(
     """Add ``pred_polarity`` to annotated spans, NULL where a span is not found in the tokens."""
     rows = with_default_ordinal(df)
     placed = gold_spans(rows, docs, overlapping=False, key=key).filter("gold is not null")
-    inputs = prepend_span(placed.withColumn("_gold", F.col("gold")), POLARITY_CONTEXT, span="_gold")
+    inputs = prepend_span(place_span(placed, [POLARITY_CONTEXT], span="gold"), POLARITY_CONTEXT)
     judged = polarity_model(inputs).select(row_id, F.col("pred_label").alias("pred_polarity"))
     return rows.join(judged, row_id, "left")
 
