@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from handful.functions.cells import normalize_dataset, normalize_method, parse_path, safe_float, safe_int
-from handful.functions.vectors import let
 
 # Keys that may hold further records, per kind of search.
 CONTAINERS = ("results", "records", "runs", "items", "summary", "metrics")
@@ -80,6 +79,15 @@ def is_run(fields: Column) -> Column:
     )
 
 
+def is_run_record(record: Column, file: Column) -> Column:
+    """``is_run`` of a record, reading only the fields it needs, dataset first."""
+    dataset = F.coalesce(F.nullif(_text(record, "dataset"), F.lit("")), _text(record, "task"))
+    size = safe_int(_first_present(record, ["sample_size", "shot", "shots"]))
+    accuracy = safe_float(_first_present(record, ["accuracy", "acc", "score"]))
+    method = normalize_method(_text(record, "method"), file)
+    return F.coalesce(dataset.isNotNull() & size.isNotNull() & accuracy.isNotNull() & method.isNotNull(), F.lit(False))
+
+
 def is_full_record(record: Column) -> Column:
     """A record that names dataset, shot, seed and method."""
     return _has(record, "dataset") & _has(record, "shot") & _has(record, "seed") & _has(record, "method")
@@ -108,22 +116,31 @@ def unwrap_records(
     Searching goes ``depth`` levels down, which nested result files do not exceed.
     """
 
-    def inside(v: Column) -> Column:
+    def item(v: Column, done: bool) -> Column:
+        return F.named_struct(F.lit("v"), v, F.lit("done"), F.lit(done))
+
+    def inside(x: Column) -> Column:
+        v = x["v"]
         listed = F.try_variant_get(v, "$", "array<variant>")
         below = F.flatten(F.array(*[_objects(v, key, single) for key in containers]))
-        return F.when(listed.isNotNull(), listed).when(found(v), F.array(v)).otherwise(below)
-
-    level = F.array(payload)
+        return (
+            F.when(x["done"], F.array(x))
+            .when(listed.isNotNull(), F.transform(listed, lambda o: item(o, False)))
+            .when(found(v), F.array(item(v, True)))
+            .otherwise(F.transform(below, lambda o: item(o, False)))
+        )
+
+    level = F.array(item(payload, False))
     for _ in range(depth):
         level = F.flatten(F.transform(level, inside))
-    return F.filter(level, found)
+    return F.transform(F.filter(level, lambda x: x["done"]), lambda x: x["v"])
 
 
 def json_runs(texts: DataFrame, text: str = "value", file: str = "result_file", order: Sequence[str] = ()) -> DataFrame:
     """Run rows of JSON texts; unreadable texts give none."""
 
     def found(v: Column) -> Column:
-        return let(run_fields(v, F.col("result_file")), is_run)
+        return is_run_record(v, F.col("result_file"))
 
     parsed = texts.select(F.col(file).alias("result_file"), *order, F.try_parse_json(F.col(text)).alias("_v"))
     parsed = parsed.filter(F.col("_v").isNotNull())
