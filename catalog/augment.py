@@ -124,7 +124,7 @@ def cap_synthetic(spark, sf):
 @register(
     "augment_train",
     f"""WITH src AS (SELECT doc_id::VARCHAR AS row_id, lang AS label, md5(text) AS m FROM documents
-                    UNION ALL SELECT 's' || conv_id || '-' || turn, 'de', md5(text) FROM conversations),
+                    UNION ALL SELECT 'syn-s' || conv_id || '-' || turn, 'de', md5(text) FROM conversations),
         r AS (SELECT *, {key_sql(1, 'row_id')} AS h, row_number() OVER (PARTITION BY label ORDER BY {key_sql(1, 'row_id')}, row_id) AS rn,
                      dense_rank() OVER (ORDER BY label) - 1 AS pos FROM src),
         q AS (SELECT *, 700 // 4 + CAST(pos < 700 % 4 AS INTEGER) AS quota FROM r)

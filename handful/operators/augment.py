@@ -217,10 +217,13 @@ def augment_train(
     text: str = "text",
     row_id: str = "row_id",
 ) -> DataFrame:
-    """Train plus synthetic rows cut to at most twice the training size; real rows may be cut as well."""
+    """Train plus synthetic rows cut to at most twice the training size; real rows may be cut as well.
+
+    Row ids become text, those of synthetic rows with 'syn-' in front so that the two never meet.
+    """
     core = train.select(F.col(row_id).cast("string").alias(row_id), text, label)
     cast = synthetic.select(
-        F.col(row_id).cast("string").alias(row_id),
+        F.concat(F.lit("syn-"), F.col(row_id).cast("string")).alias(row_id),
         F.col(text).cast(train.schema[text].dataType).alias(text),
         F.col(label).cast(train.schema[label].dataType).alias(label),
     )

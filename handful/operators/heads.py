@@ -126,7 +126,7 @@ def fit_multi_head(
         rows.unpersist()
 
 
-def logistic_weights(x: np.ndarray, y: np.ndarray, k: int, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def logistic_weights(x: np.ndarray, y: np.ndarray, k: int, steps: int = 5000) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression with penalty |W|^2 / 2 beside the summed loss, by accelerated gradient steps.
 
     A small helper for few-shot cells: x is [n, d] with n a handful of rows per class.
@@ -138,7 +138,7 @@ def logistic_weights(x: np.ndarray, y: np.ndarray, k: int, steps: int = 100) ->
     alpha, bias = np.zeros((n, k)), np.zeros(k)
     step = 1.0 / (0.5 * (np.linalg.norm(gram, 2) + n) + 1.0)
     za, zb, t = alpha.copy(), bias.copy(), 1.0
-    for _ in range(steps * 20):
+    for _ in range(steps):
         scores = gram @ za + zb
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -147,7 +147,7 @@ def logistic_weights(x: np.ndarray, y: np.ndarray, k: int, steps: int = 100) ->
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         za = new_alpha + (t - 1) / t_next * (new_alpha - alpha)
         zb = new_bias + (t - 1) / t_next * (new_bias - bias)
-        done = max(np.abs(new_alpha - alpha).max(), np.abs(new_bias - bias).max()) < 1e-9
+        done = max(np.abs(new_alpha - alpha).max(), np.abs(new_bias - bias).max()) < 1e-10
         alpha, bias, t = new_alpha, new_bias, t_next
         if done:
             break
