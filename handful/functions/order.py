@@ -66,6 +66,52 @@ def exact_rank(
     )
 
 
+# Hex digits of a draw key that are compared, and numbers of that many digits.
+KEY_DIGITS = 15
+KEY_SPACE = 16**KEY_DIGITS
+
+
+def key_bound(share: Column) -> Column:
+    """The draw-key prefix below which about ``share`` of all rows lie; above every key for shares from 1."""
+    number = (F.least(share, F.lit(1.0)) * F.lit(float(KEY_SPACE))).cast("bigint")
+    return F.when(share >= 1, F.lit("g")).otherwise(F.lower(F.lpad(F.hex(number), KEY_DIGITS, "0")))
+
+
+def slack(n):
+    """Rows around n that a uniform draw misses only with negligible probability (and then a check notices)."""
+    return 10 * n**0.5 + 20
+
+
+def among_first(df: DataFrame, key: Column, ties: Sequence[str], n: int) -> Column:
+    """Condition that holds for exactly the n first rows in the order (key, ties).
+
+    Draw keys are even, so the n-th key lies in a narrow band around n / rows.  One pass
+    counts the rows below the band and inside it, and only the band is ordered: no row is
+    shuffled.  If the band misses the n-th row, the exact ranks find it.
+    """
+    total = df.count()
+    if n >= total:
+        return F.lit(True)
+    if n <= 0:
+        return F.lit(False)
+    prefix = F.substring(key, 1, KEY_DIGITS)
+    low = key_bound(F.lit(max(n - slack(n), 0) / total))
+    high = key_bound(F.lit((n + slack(n)) / total))
+    below, inside = df.agg(
+        F.count(F.when(prefix < low, 1)), F.count(F.when((prefix >= low) & (prefix <= high), 1))
+    ).first()
+    place = n - below
+    named = df.select(*ties, key.alias("_key"))
+    if 0 < place <= inside:
+        band = named.filter((F.substring("_key", 1, KEY_DIGITS) >= low) & (F.substring("_key", 1, KEY_DIGITS) <= high))
+        last = band.orderBy("_key", *ties).offset(place - 1).limit(1).first()
+    else:
+        ranked = exact_rank(named.withColumn("_k", F.col("_key")), F.col("_k"), ties, name="_rank")
+        last = ranked.filter(F.col("_rank") == n - 1).withColumnRenamed("_k", "_key").first()
+    edge = F.struct(F.lit(last["_key"]).alias("k"), *[F.lit(last[t]).alias(t) for t in ties])
+    return F.struct(key.alias("k"), *[F.col(t).alias(t) for t in ties]) <= edge
+
+
 def take_first(df: DataFrame, key: Column, ties: Sequence[str], n: int, driver_rows: int = 100_000) -> DataFrame:
     """The n first rows in the order (key, ties): a top-k when small, sliced ranks beyond."""
     if n <= driver_rows:

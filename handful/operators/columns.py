@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from handful.functions.cells import lookup
 from handful.functions.order import draw_key
+from handful.session import join_checked
 
 TEXT_LABEL = ("text", "label")
 
@@ -65,7 +66,7 @@ def label_name(label, names: Sequence[str] | Mapping) -> Column:
 def label_names(df: DataFrame, labels: DataFrame, label: str = "label", name: str = "label_name") -> DataFrame:
     """Join names from a table (label_id, label_name); ids not in it become their text."""
     table = labels.select(F.col("label_id").alias(label), F.col("label_name").alias("_name"))
-    return df.join(table, label, "left").withColumn(
+    return join_checked(df, table, label, "left").withColumn(
         name, F.coalesce("_name", F.col(label).cast("string"))
     ).drop("_name")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handful.functions.order import draw_key, draw_number, exact_rank
 from handful.functions.vectors import cosine
+from handful.session import join_checked
 
 MAX_SAMPLE = 20_000
 
@@ -184,7 +185,7 @@ def drawn_pairs(
     classes = counts.select(
         label, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_all")
     )
-    placed = ranked.join(classes, label).withColumn("_place", F.col("_off") + F.col("_rank"))
+    placed = join_checked(ranked, classes, label).withColumn("_place", F.col("_off") + F.col("_rank"))
     draws = placed.select(
         F.col(row_id).alias("id_1"),
         "_n",

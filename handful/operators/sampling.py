@@ -6,12 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from handful.functions.order import draw_key, draw_number, exact_rank, first_per_group, take_first
+from handful.functions.order import (
+    KEY_DIGITS, among_first, draw_key, draw_number, first_per_group, key_bound, slack, take_first,
+)
 from handful.session import join_checked
 
 # Seeds and sizes of the standard grid.
 SEEDS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
 SAMPLE_SIZES = [2, 4, 8, 16, 32, 64]
+# Tables up to this many rows are ranked directly.
+DIRECT_ROWS = 5_000_000
+# Uniform samples up to this many rows are taken as a top-k.
+SMALL_SAMPLE = 100_000
 
 
 def _fetch(df: DataFrame, picked: DataFrame, row_id: str, label: str) -> DataFrame:
@@ -22,12 +28,50 @@ def _fetch(df: DataFrame, picked: DataFrame, row_id: str, label: str) -> DataFra
     return join_checked(rest, picked, row_id)
 
 
+def _first_drawn(
+    df: DataFrame, group: Sequence[str], row_id: str, seeds: Sequence[tuple[int, int]], n: int, direct_rows: int
+) -> DataFrame:
+    """Rows (group..., row_id, split_idx, seed, rn) with rn <= n in the seeded order of each group.
+
+    Rows without a label are left out.  Small tables are ranked directly.  For others the
+    class sizes tell how far into the even draw keys the n-th row can lie; rows beyond that
+    bound are dropped while scanning, so the many seeds are never sorted over the whole
+    table.  A count of what is left shows whether the bound was far enough; if not, the
+    direct way is taken, so the result is the same.
+    """
+    group = list(group)
+    numbered = F.array(*[F.struct(F.lit(i).alias("split_idx"), F.lit(s).alias("seed")) for i, s in seeds])
+    narrow = df.select(*group, row_id).filter(F.col(group[-1]).isNotNull())
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return first_per_group(rows, [*group, "split_idx", "seed"], ["_key", row_id], n)
+
+    drawn = narrow.select(*group, row_id, F.inline(numbered)).withColumn("_key", draw_key(F.col("seed"), row_id))
+    sizes = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).persist()
+    if (sizes.agg(F.sum("_size")).first()[0] or 0) <= direct_rows:
+        return ranked(drawn)
+    bounds = sizes.select(*group, "_size", key_bound(F.lit(n + slack(n)) / F.col("_size")).alias("_bound"))
+    near = join_checked(narrow, bounds, group).select(*group, row_id, "_size", "_bound", F.inline(numbered))
+    near = near.withColumn("_key", draw_key(F.col("seed"), row_id)).filter(
+        F.substring("_key", 1, KEY_DIGITS) <= F.col("_bound")
+    )
+    near = near.drop("_bound").persist()
+    enough = near.groupBy(*group, "seed", "_size").count().filter(F.col("count") >= F.least(F.lit(n), F.col("_size")))
+    if enough.count() == sizes.count() * len({s for _, s in seeds}):
+        return ranked(near.drop("_size"))
+    return ranked(drawn)
+
+
 def sample_per_class(
-    df: DataFrame, label: str = "label", n: int = 8, seed: int = 42, row_id: str = "row_id"
+    df: DataFrame,
+    label: str = "label",
+    n: int = 8,
+    seed: int = 42,
+    row_id: str = "row_id",
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """At most n seeded rows of each class; smaller classes are taken whole."""
-    narrow = df.select(row_id, label).withColumn("_key", draw_key(seed, row_id))
-    picked = first_per_group(narrow, [label], ["_key", row_id], n).select(row_id, label)
+    picked = _first_drawn(df, [label], row_id, [(0, seed)], n, direct_rows).select(row_id, label)
     return _fetch(df, picked, row_id, label).select(*df.columns)
 
 
@@ -38,23 +82,16 @@ def fewshot_splits(
     label: str = "label",
     row_id: str = "row_id",
     within: Sequence[str] = (),
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """All training splits of a size x seed grid as one table.
 
-    Ranks are taken once per (seed, class) at the largest size; every smaller
-    size is a prefix of it, so the whole grid costs one shuffle of id and label.
-    ``within`` names columns that hold separate train sets.
+    Ranks are taken once per (seed, class) at the largest size; every smaller size is a
+    prefix of it, so the whole grid costs one shuffle of id and label.  ``within`` names
+    columns that hold separate train sets.
     """
     within = list(within)
-    numbered = F.array(
-        *[F.struct(F.lit(i).alias("split_idx"), F.lit(s).alias("seed")) for i, s in enumerate(seeds)]
-    )
-    drawn = (
-        df.select(*within, row_id, label)
-        .select(*within, row_id, label, F.inline(numbered))
-        .withColumn("_key", draw_key(F.col("seed"), row_id))
-    )
-    ranked = first_per_group(drawn, [*within, "seed", label], ["_key", row_id], max(sizes))
+    ranked = _first_drawn(df, [*within, label], row_id, list(enumerate(seeds)), max(sizes), direct_rows)
     wanted = F.filter(F.array(*[F.lit(s) for s in sorted(set(sizes))]), lambda s: F.col("rn") <= s)
     picked = ranked.select(
         *within, F.explode(wanted).alias("sample_size"), "split_idx", "seed", row_id, label
@@ -95,10 +132,13 @@ def fewshot_splits_multilabel(
 
 
 def sample_uniform(df: DataFrame, n: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
-    """n seeded rows whatever their label."""
+    """n seeded rows whatever their label: a top-k when few, a filter by the n-th key when many."""
+    key = draw_key(seed, row_id)
+    if n > SMALL_SAMPLE:
+        return df.filter(among_first(df.select(row_id), key, [row_id], n))
     if set(df.columns) == {row_id}:
-        return take_first(df, draw_key(seed, row_id), [row_id], n)
-    picked = take_first(df.select(row_id), draw_key(seed, row_id), [row_id], n)
+        return take_first(df, key, [row_id], n)
+    picked = take_first(df.select(row_id), key, [row_id], n)
     return join_checked(df, picked, row_id).select(*df.columns)
 
 
@@ -118,9 +158,9 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, row_
 
 
 def train_test_split_exact(df: DataFrame, n_test: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
-    """Add ``is_test`` for exactly ``n_test`` seeded rows."""
-    ranked = exact_rank(df.select(row_id), draw_key(seed, row_id), [row_id], name="_rank")
-    return df.join(ranked, row_id).withColumn("is_test", F.col("_rank") < n_test).drop("_rank")
+    """Add ``is_test`` for exactly ``n_test`` seeded rows; rows stay where they are."""
+    chosen = among_first(df.select(row_id), draw_key(seed, row_id), [row_id], n_test)
+    return df.withColumn("is_test", chosen)
 
 
 def class_quotas(df: DataFrame, label: str, max_size, by: Sequence[str] = ()) -> DataFrame:

@@ -94,11 +94,44 @@ def test_downsample_cells_agrees_with_single_cells(spark):
         assert rows(out.filter(F.col("cell") == cell), "row_id") == rows(S.balanced_downsample(df, size, seed=9), "row_id")
 
 
+def test_bounded_and_direct_ranking_agree(spark):
+    df = spark.range(60000).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, 1).when(F.col("id") < 9, 2).alias("label")
+    )
+    for n in (1, 8, 300):
+        direct = rows(S.sample_per_class(df, n=n, seed=4))
+        assert rows(S.sample_per_class(df, n=n, seed=4, direct_rows=0)) == direct
+        assert {r[1] for r in direct} == {0, 1, 2}
+    direct = rows(S.fewshot_splits(df, [2, 16], [3, 1]))
+    assert rows(S.fewshot_splits(df, [2, 16], [3, 1], direct_rows=0)) == direct
+    bounded = S.fewshot_splits(df, [2, 16], [3, 1], direct_rows=0)
+    assert "Join" not in bounded._jdf.queryExecution().executedPlan().toString().split("InMemory")[0]
+
+
+def test_too_narrow_bounds_are_noticed(spark, monkeypatch):
+    df = spark.range(20000).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("label"))
+    direct = rows(S.sample_per_class(df, n=50))
+    first = S.train_test_split_exact(df, 5000)
+    monkeypatch.setattr(S, "slack", lambda n: -0.5 * n)
+    monkeypatch.setattr("handful.functions.order.slack", lambda n: -0.5 * n)
+    assert rows(S.sample_per_class(df, n=50, direct_rows=0)) == direct
+    assert rows(S.train_test_split_exact(df, 5000)) == rows(first)
+
+
+def test_large_uniform_sample(spark, monkeypatch):
+    df = spark.range(20000).withColumnRenamed("id", "row_id").withColumn("x", F.col("row_id") * 2)
+    small = rows(S.sample_uniform(df, 3000, 8))
+    monkeypatch.setattr(S, "SMALL_SAMPLE", 10)
+    large = S.sample_uniform(df, 3000, 8)
+    assert rows(large) == small and "Exchange" not in large._jdf.queryExecution().executedPlan().toString()
+
+
 def test_train_test_split(spark):
     df = spark.range(10000).withColumnRenamed("id", "row_id")
     share = S.train_test_split(df, 0.2).agg(F.avg(F.col("is_test").cast("int"))).first()[0]
     assert abs(share - 0.2) < 0.02
-    assert S.train_test_split_exact(df, 1234).filter("is_test").count() == 1234
+    for n in (0, 1234, 10000):
+        assert S.train_test_split_exact(df, n).filter("is_test").count() == n
 
 
 def test_imbalance_flag(spark):
