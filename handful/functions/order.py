@@ -66,6 +66,65 @@ def exact_rank(
     )
 
 
+def running_totals(
+    steps: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False, slices: int = 1024
+) -> DataFrame:
+    """Running and whole-group sums in the order of a numeric column that is unique per group.
+
+    Adds ``<sum>_run`` (this row included) and ``<sum>_all``.  Each group is cut into even
+    slices of its value range; slice sums are accumulated first and only slices are sorted.
+    """
+    by = list(by)
+    edges = steps.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    if by:
+        cut = steps.join(edges, by)
+    else:
+        cut = steps.withColumn("_low", edges.select("_low").scalar()).withColumn("_high", edges.select("_high").scalar())
+    far = (F.col("_high") - F.col(value)) if descending else (F.col(value) - F.col("_low"))
+    share = F.when(F.col("_high") > F.col("_low"), far / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))
+    cut = cut.withColumn("_slice", F.floor(share * (slices - 1)).cast("int")).drop("_low", "_high")
+    parts = cut.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    parts = parts.select(
+        *by,
+        "_slice",
+        *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums],
+        *[F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in sums],
+    )
+    order = F.col(value).desc() if descending else F.col(value)
+    inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(parts, [*by, "_slice"])
+    return joined.select(
+        *steps.columns,
+        *[(F.col(f"_{c}_before") + F.sum(c).over(inside)).alias(f"{c}_run") for c in sums],
+        *[f"{c}_all" for c in sums],
+    )
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation: (by..., q0, q1, ...), groups of any size.
+
+    Equal values are counted first; ranks then come from running totals, so no group is
+    held in memory.
+    """
+    by = list(by)
+    steps = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(steps, by, value, ["n"])
+    columns = []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("n_all") - 1)
+
+        def at(rank):
+            here = (F.col("n_run") - F.col("n") <= rank) & (rank < F.col("n_run"))
+            return F.max(F.when(here, F.col(value)))
+
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        share = F.max(place - F.floor(place))
+        columns.append((low + share * (high - low)).alias(f"q{i}"))
+    return ranked.groupBy(*by).agg(*columns)
+
+
 # Hex digits of a draw key that are compared, and numbers of that many digits.
 KEY_DIGITS = 15
 KEY_SPACE = 16**KEY_DIGITS

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from handful.functions.order import first_per_group
+from handful.functions.order import first_per_group, running_totals
 
 TRUE, PRED = "true_label", "pred_label"
 
@@ -181,45 +181,17 @@ def average_precision(
 ) -> DataFrame:
     """Average precision as a step sum over distinct scores, so tied rows form one threshold.
 
-    Counts are first taken per score.  Scores that are all distinct would still
-    put a whole run into one sort, so thresholds are cut into score slices:
-    slice totals are accumulated, then each slice is ranked on its own.
+    Counts are taken per score first; running totals over the scores come in slices, so a
+    run with many distinct scores is not sorted by one task.
     """
     by = list(by)
     steps = preds.groupBy(*by, score).agg(
-        F.sum(F.col(positive).cast("int")).alias("_pos"), F.count(F.lit(1)).alias("_all")
+        F.sum(F.col(positive).cast("int")).alias("pos"), F.count(F.lit(1)).alias("seen")
     )
-    spread = Window.partitionBy(*by)
-    edges = steps.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
-    share = F.when(
-        F.col("_high") > F.col("_low"), (F.col("_high") - F.col(score)) / (F.col("_high") - F.col("_low"))
-    ).otherwise(F.lit(0.0))
-    if by:
-        steps = steps.join(edges, by)
-    else:
-        low, high = edges.select("_low").scalar(), edges.select("_high").scalar()
-        steps = steps.withColumn("_low", low).withColumn("_high", high)
-    steps = steps.withColumn("_slice", F.floor(share * 1023).cast("int"))
-    slices = steps.groupBy(*by, "_slice").agg(F.sum("_pos").alias("_spos"), F.sum("_all").alias("_sall"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        *by,
-        "_slice",
-        F.coalesce(F.sum("_spos").over(before), F.lit(0)).alias("_pos0"),
-        F.coalesce(F.sum("_sall").over(before), F.lit(0)).alias("_all0"),
-        F.sum("_spos").over(spread).alias("_positives"),
-    )
-    inside = (
-        Window.partitionBy(*by, "_slice").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = steps.join(slices, [*by, "_slice"]).select(
-        *by,
-        "_pos",
-        "_positives",
-        (F.col("_pos0") + F.sum("_pos").over(inside)).alias("_tp"),
-        (F.col("_all0") + F.sum("_all").over(inside)).alias("_seen"),
+    ranked = running_totals(steps, by, score, ["pos", "seen"], descending=True)
+    gain = F.when(
+        F.col("pos_all") > 0, F.col("pos") / F.col("pos_all") * F.col("pos_run") / F.col("seen_run")
     )
-    gain = F.when(F.col("_positives") > 0, F.col("_pos") / F.col("_positives") * F.col("_tp") / F.col("_seen"))
     return ranked.groupBy(*by).agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("average_precision"))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handful.functions.cells import METHODS
+from handful.functions.order import quantiles
 from handful.functions.text import unique_join
 
 CELL = ["dataset", "sample_size", "split"]
@@ -209,12 +210,15 @@ def box_stats(scores: DataFrame, by: Sequence[str], score: str = "score") -> Dat
 
 
 def latency_stats(times: DataFrame, seconds: str = "latency_s", by: Sequence[str] = ()) -> DataFrame:
-    return times.groupBy(*by).agg(
-        F.avg(seconds).alias("mean_s"),
-        F.stddev_pop(seconds).alias("std_s"),
-        F.percentile(seconds, 0.95).alias("p95_s"),
-        F.sum(seconds).alias("total_s"),
+    """Mean, population deviation, 95th percentile and total of a timing table of any length."""
+    by = list(by)
+    plain = times.groupBy(*by).agg(
+        F.avg(seconds).alias("mean_s"), F.stddev_pop(seconds).alias("std_s"), F.sum(seconds).alias("total_s")
     )
+    high = quantiles(times, seconds, [0.95], by).withColumnRenamed("q0", "p95_s")
+    if not by:
+        return plain.withColumn("p95_s", high.scalar()).select("mean_s", "std_s", "p95_s", "total_s")
+    return plain.join(high, by).select(*by, "mean_s", "std_s", "p95_s", "total_s")
 
 
 def seed_coverage(runs: DataFrame, required: Sequence[int]) -> DataFrame:

@@ -33,7 +33,7 @@ def _first_drawn(
 ) -> DataFrame:
     """Rows (group..., row_id, split_idx, seed, rn) with rn <= n in the seeded order of each group.
 
-    Rows without a label are left out.  Small tables are ranked directly.  For others the
+    Rows without a label or set are left out.  Small tables are ranked directly.  For others the
     class sizes tell how far into the even draw keys the n-th row can lie; rows beyond that
     bound are dropped while scanning, so the many seeds are never sorted over the whole
     table.  A count of what is left shows whether the bound was far enough; if not, the
@@ -41,7 +41,7 @@ def _first_drawn(
     """
     group = list(group)
     numbered = F.array(*[F.struct(F.lit(i).alias("split_idx"), F.lit(s).alias("seed")) for i, s in seeds])
-    narrow = df.select(*group, row_id).filter(F.col(group[-1]).isNotNull())
+    narrow = df.select(*group, row_id).dropna(subset=group)
 
     def ranked(rows: DataFrame) -> DataFrame:
         return first_per_group(rows, [*group, "split_idx", "seed"], ["_key", row_id], n)

@@ -152,3 +152,17 @@ def test_stale_files(spark):
     got = dict(rows(R.stale_files(df), "path", "old_reason"))
     assert got["results/a.json"] == "" and got["tmp/c.json"] == "temporary path"
     assert got["scripts/results/b.json"] == "under scripts/results; >7 days older than newest scanned result"
+
+
+def test_latencies(spark):
+    values = [0.01 * (i * i % 97) for i in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "latency_s double")
+    row = R.latency_stats(df).first()
+    ordered = sorted(values)
+    place = 0.95 * 199
+    low = ordered[int(place)]
+    want = low + (place - int(place)) * (ordered[int(place) + 1] - low)
+    assert row["p95_s"] == pytest.approx(want) and row["std_s"] == pytest.approx(statistics.pstdev(values))
+    assert row["mean_s"] == pytest.approx(statistics.mean(values)) and row["total_s"] == pytest.approx(sum(values))
+    one = R.latency_stats(spark.createDataFrame([(2.0,)], "latency_s double")).first()
+    assert (one["p95_s"], one["std_s"]) == (2.0, 0.0)
