@@ -261,13 +261,13 @@ def box_stats(spark, sf):
 @register(
     "latency_stats",
     """SELECT event_type, round(avg(value / 1000), 6) AS mean_s, round(stddev_pop(value / 1000), 6) AS std_s,
-              round(quantile_cont(value / 1000, 0.95::DOUBLE), 6) AS p95_s, round(sum(value / 1000), 4) AS total_s FROM events GROUP BY 1""",
+              round(quantile_cont(value / 1000, 0.95::DOUBLE), 9) AS p95_s, round(sum(value / 1000), 4) AS total_s FROM events GROUP BY 1""",
 )
 def latency_stats(spark, sf):
     times = table(spark, sf, "events").select("event_type", (F.col("value") / 1000).alias("latency_s"))
     s = R.latency_stats(times, by=["event_type"])
     return s.select(
-        "event_type", r6("mean_s").alias("mean_s"), r6("std_s").alias("std_s"), r6("p95_s").alias("p95_s"), F.round("total_s", 4).alias("total_s")
+        "event_type", r6("mean_s").alias("mean_s"), r6("std_s").alias("std_s"), F.round("p95_s", 9).alias("p95_s"), F.round("total_s", 4).alias("total_s")
     )
 
 
