@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handful.llm import exact_dedup, line_dedup, simhash
+from handful.llm import exact_dedup, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
 from handful.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,50 @@ ORACLES["op9_line_dedup"] = f"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op7_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    found = mixing.mixture(table(spark, sf, "documents"), weights=(5, 2, 1), cap=3)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op4_warc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    segments = warc.write_archives(table(spark, sf, "pages"), min_bytes=100)
+    return warc.read_records(segments).where("last").select(
+        F.col("id").alias("page_id"),
+        F.col("so_far").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+ORACLES["op4_warc_chunks"] = """
+    SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+           CASE WHEN strlen(body) >= 100 AND page_id > min(page_id) OVER same THEN 'revisit' ELSE 'response' END
+               AS record_type,
+           CASE WHEN strlen(body) >= 100 AND page_id > min(page_id) OVER same THEN min(page_id) OVER same END
+               AS refers_to
+    FROM (SELECT page_id, coalesce(html, '') AS body FROM pages)
+    WINDOW same AS (PARTITION BY body)
+"""
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    found = toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.5)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", "neighbours", "cosines")
+
+
+@query
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.3)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    return neighbours.search(rows, rows.where("vec_id % 100 = 0"), k=10)
