@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from handful.llm.common import LOWER, SPACE, as_batch, byte_values, rows_of
+from handful.session import cut_lineage
 
 SLICE_BITS = 20
 PROBES = 4
@@ -135,12 +136,14 @@ def shared_keys(docs: DataFrame, min_docs: int, min_chars: int, max_bits: int) -
             )
 
     schema = pa.schema([("id", pa.int64()), ("line_key", pa.binary())])
-    suspected = docs.mapInArrow(suspects, "id bigint, line_key binary")
-    common = (
+    # Both sides of the join are plain tables, so that a line of many documents can be split over tasks.
+    suspected = cut_lineage(docs.mapInArrow(suspects, "id bigint, line_key binary"), "suspected-lines")
+    common = cut_lineage(
         suspected.groupBy("line_key")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first"))
         .where(F.col("n_docs") >= min_docs)
-        .select("line_key", "first")
+        .select("line_key", "first"),
+        "common-lines",
     )
     return suspected.join(common, "line_key")
 
