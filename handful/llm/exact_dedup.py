@@ -17,7 +17,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from handful.llm.common import ascii_lower
 from handful.session import cut_lineage, shared_path
 
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keyed state on disk; without preallocated files, which would take megabytes for every partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def arrivals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,8 +40,9 @@ def stream_groups(staged: DataFrame, path: str, files_per_batch: int) -> DataFra
     """
     spark = staged.sparkSession
     out, memory = shared_path(spark, "exact-groups"), shared_path(spark, "exact-state")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         groups = (
             spark.readStream.schema(staged.schema)
@@ -55,7 +60,8 @@ def stream_groups(staged: DataFrame, path: str, files_per_batch: int) -> DataFra
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     schema = "digest string, kept struct<key: bigint, locator: string>, n bigint, batch int"
     changes = spark.createDataFrame([], schema)
     if query.lastProgress is not None and not staged.isEmpty():
