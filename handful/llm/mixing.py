@@ -5,9 +5,9 @@ size, the excess going to the other sources by weight until none is above its ca
 rates between 0 and ``cap`` that meet a source's target, those closest in entropy to taking each
 document once are ``min(cap, exp(lambda * size / scale))``. The dual variable of each source is found by
 Newton steps on the log of the words taken, kept inside a bracket; a step is one aggregation over
-the (source, size) counts of all documents. Rates become copies by systematic rounding of the running
-sum over sizes, so a source ends within about one document of its target; documents of one source
-and size share their copies by hash of the id.
+the (source, size) counts of all documents. Rates become copies by rounding that carries its error from
+larger to smaller sizes, so a source ends within about one small document of its target; documents
+of one source and size share their copies by hash of the id.
 
 Defined results: a null text has size 0; size 0 takes 0 words. A null source is a source of its
 own, last in order. Rows that repeat an id are documents of their own. A source of size 0 has target 0.
@@ -16,6 +16,7 @@ An empty table gives no rows. Columns other than id, text and source take no par
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from handful.session import cut_lineage
@@ -99,6 +100,38 @@ def balance(counts: DataFrame, sources: DataFrame, cap: int = 3, tolerance: floa
     return state.select("sid", "lam", "scale")
 
 
+def rounding(cap: int):
+    """Whole copies of every size of one source, from the largest to the smallest size.
+
+    A size gets the number of copies that brings the words taken so far closest to what the rates
+    call for; smaller sizes make up for what larger ones leave. One row per size of a source is held.
+    """
+    schema = pa.schema(
+        [
+            ("sid", pa.int32()),
+            ("size", pa.int64()),
+            ("rate", pa.float64()),
+            ("each", pa.int64()),
+            ("more", pa.int64()),
+        ]
+    )
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending")])
+        asked, taken, out = 0.0, 0, []
+        for size, n, rate in zip(*(rows[name].to_pylist() for name in ("size", "n", "rate"))):
+            asked += size * n * rate
+            copies = min(max(round((asked - taken) / size), 0), cap * n)
+            taken += size * copies
+            out.append(divmod(copies, n))
+        each, more = zip(*out)
+        return pa.Table.from_arrays(
+            [rows["sid"], rows["size"], rows["rate"], pa.array(each, pa.int64()), pa.array(more, pa.int64())], schema=schema
+        )
+
+    return run
+
+
 def mixture(
     docs: DataFrame,
     key: str = "doc_id",
@@ -127,14 +160,7 @@ def mixture(
     rated = counts.join(dual, "sid", "left").select(
         "sid", "size", "n", F.least(F.lit(float(cap)), F.coalesce(tilt, F.lit(float(cap)))).alias("rate")
     )
-    upto = W.partitionBy("sid").orderBy("size").rowsBetween(W.unboundedPreceding, 0)
-    mark = F.floor(F.sum(F.col("n") * F.col("rate")).over(upto) + 0.5)
-    marks = rated.withColumn("mark", mark)
-    earlier = F.coalesce(F.lag("mark").over(W.partitionBy("sid").orderBy("size")), F.lit(0))
-    copies = F.least(F.greatest(F.col("mark") - earlier, F.lit(0)), cap * F.col("n"))
-    shared = marks.withColumn("all", copies).select(
-        "sid", "size", "rate", F.floor(F.col("all") / F.col("n")).alias("each"), (F.col("all") % F.col("n")).alias("more")
-    )
+    shared = rated.groupBy("sid").applyInArrow(rounding(cap), "sid int, size bigint, rate double, each bigint, more bigint")
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("of"))).select(
         "id", "size", "sid", "source_size", "target", F.xxhash64("id").alias("draw")
     ).withColumn("slot", F.pmod("draw", F.lit(SLOTS)))

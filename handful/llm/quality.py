@@ -3,8 +3,9 @@
 Every byte has a learned embedding. Learned filters of 8 bytes slide over the text in steps of 4;
 their rectified outputs are averaged inside chunks of 256 bytes that overlap by half and cover the
 whole text. A second layer turns each chunk into features, each feature is max-pooled
-over all chunks, and a logistic unit combines the maxima into one probability. Beside the embedded byte, a
-filter sees for a set of lags whether the byte equals the one that many places before.
+over all chunks, and a logistic unit combines the maxima into one probability. One more filter bank is fixed: for
+every lag, the share of a chunk's bytes that equal the byte that many places before; the second layer
+sees the largest of these shares.
 
 The network is fitted by Adam on a bounded sample: at most ``per_class`` labelled rows of each class,
 of each at most ``max_chunks`` chunks spread evenly over the text. Scoring reads every byte, long texts
@@ -28,7 +29,10 @@ WIDTH, STRIDE, CHUNK, HOP = 8, 4, 256, 128
 SPAN = CHUNK + WIDTH - STRIDE
 WINDOWS = CHUNK // STRIDE
 EMBED, FILTERS, FEATURES = 8, 16, 12
-PIECE = 1 << 19
+LAGS = range(2, 33)
+# Brings the share of repeated bytes to the range of the other inputs of the second layer.
+REPEAT_SCALE = 4.0
+PIECE = 1 << 16
 
 
 def chunk_starts(size: int) -> np.ndarray:
@@ -45,6 +49,27 @@ def sampled_chunks(text: bytes, max_chunks: int) -> tuple[bytes, list[int]]:
     return b"".join(parts), [min(WINDOWS, -(-(len(text) - s) // STRIDE)) for s in starts.tolist()]
 
 
+def pieces(text: bytes):
+    """The text, or where it is long, pieces that together have the same chunks."""
+    starts = len(chunk_starts(len(text)))
+    step = PIECE // HOP
+    for first in range(0, starts, step):
+        n = min(step, starts - first)
+        yield text[first * HOP : (first + n + 1) * HOP + (WIDTH - STRIDE if first + n < starts else 0)]
+
+
+def repeats(data: np.ndarray) -> np.ndarray:
+    """For every stretch of HOP bytes and every lag: bytes that equal the byte a lag before, 0 never."""
+    there = data != 0
+    out = np.empty((len(data) // HOP, len(LAGS)), np.float32)
+    for k, lag in enumerate(LAGS):
+        same = np.zeros(len(data), bool)
+        np.equal(data[lag:], data[:-lag], out=same[lag:])
+        same &= there
+        out[:, k] = np.bitwise_count(np.packbits(same).view(np.uint64)).reshape(-1, HOP // 64).sum(1)
+    return out
+
+
 class Network:
     """Parameters, forward pass and gradients."""
 
@@ -55,7 +80,7 @@ class Network:
             "embed": rng.normal(0, 0.5, (256, EMBED)),
             "filters": rng.normal(0, wide**-0.5, (wide, FILTERS)),
             "filter_bias": np.zeros(FILTERS),
-            "mix": rng.normal(0, 2 * FILTERS**-0.5, (FILTERS, FEATURES)),
+            "mix": rng.normal(0, 2 * FILTERS**-0.5, (FILTERS + 1, FEATURES)),
             "mix_bias": np.zeros(FEATURES),
             "out": rng.normal(0, FEATURES**-0.5, FEATURES),
             "out_bias": np.zeros(1),
@@ -63,12 +88,11 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def windows(self, data: np.ndarray) -> np.ndarray:
-        """Rectified filter outputs of rows of bytes, one per step."""
-        rows, size = data.shape
-        halves = self.p["embed"][data].reshape(rows, size // STRIDE, STRIDE * EMBED)
+        """Rectified filter outputs at every step of a run of bytes; the last step has none."""
         cut = STRIDE * EMBED
-        pre = halves[:, :-1] @ self.p["filters"][:cut]
-        pre += halves[:, 1:] @ self.p["filters"][cut:]
+        halves = self.p["embed"][data].reshape(-1, cut)
+        pre = halves @ self.p["filters"][:cut]
+        pre[:-1] += halves[1:] @ self.p["filters"][cut:]
         pre += self.p["filter_bias"]
         return np.maximum(pre, 0, out=pre)
 
@@ -76,37 +100,58 @@ class Network:
         return np.maximum(averages @ self.p["mix"] + self.p["mix_bias"], 0)
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(pooled @ self.p["out"] + self.p["out_bias"][0])))
-
-    def score(self, text: bytes) -> float:
-        """Probability of class 1 from all chunks of the text."""
-        pooled = np.zeros(FEATURES, np.float32)
-        starts = len(chunk_starts(len(text)))
-        per_piece = PIECE // HOP
-        for first in range(0, starts, per_piece):
-            n = min(per_piece, starts - first)
-            begin = first * HOP
-            size = (n + 1) * HOP + WIDTH - STRIDE
-            part = np.frombuffer(text[begin : begin + size], np.uint8)
-            valid = -(-len(part) // STRIDE)
-            row = np.zeros((1, size), np.uint8)
-            row[0, : len(part)] = part
-            seen = self.windows(row)[0]
-            seen[valid:] = 0
-            steps = HOP // STRIDE
-            halves = seen.reshape(n + 1, steps, FILTERS).sum(1)
-            counts = np.clip(valid - np.arange(n) * steps, 1, WINDOWS)[:, None]
-            averages = (halves[:-1] + halves[1:]) / counts
-            pooled = np.maximum(pooled, self.features(averages).max(0))
-        return float(self.probability(pooled[None])[0])
+        return 1 / (1 + np.exp(-np.clip(pooled @ self.p["out"] + self.p["out_bias"][0], -60, 60)))
+
+    def score_all(self, texts: list[bytes]) -> list[float]:
+        """Probability of class 1 of each text, from all its chunks."""
+        pooled = np.zeros((len(texts), FEATURES), np.float32)
+        parts: list[tuple[int, bytes]] = []
+        held = 0
+        for owner, text in enumerate(texts):
+            for part in pieces(text):
+                parts.append((owner, part))
+                held += len(part)
+                if held >= PIECE:
+                    self.pool(parts, pooled)
+                    parts, held = [], 0
+        if parts:
+            self.pool(parts, pooled)
+        return self.probability(pooled).astype(float).tolist()
+
+    def pool(self, parts: list[tuple[int, bytes]], pooled: np.ndarray) -> None:
+        """Raise the maxima of the owners of some pieces, laid out in one run with zeros between them."""
+        chunks = np.array([len(chunk_starts(len(part))) for _, part in parts])
+        slots = chunks + 2
+        row = np.frombuffer(b"".join(p.ljust(n * HOP, b"\0") for (_, p), n in zip(parts, slots.tolist())), np.uint8)
+        sizes = np.array([len(part) for _, part in parts])
+        begins = np.r_[0, np.cumsum(slots)[:-1]]
+        steps = HOP // STRIDE
+        seen = self.windows(row)
+        inside = np.arange(len(seen)) - np.repeat(begins * steps, slots * steps)
+        seen[inside >= np.repeat(-(-sizes // STRIDE), slots * steps)] = 0
+        stretch = np.concatenate([seen.reshape(-1, steps, FILTERS).sum(1), repeats(row)], 1)
+        # Chunk k of a piece is its stretches k and k + 1.
+        number = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        at = np.repeat(begins, chunks) + number
+        both = stretch[at] + stretch[at + 1]
+        left = np.repeat(sizes, chunks) - number * HOP
+        averages = both[:, :FILTERS] / np.clip(-(-left // STRIDE), 1, WINDOWS)[:, None]
+        again = REPEAT_SCALE * both[:, FILTERS:].max(1) / np.clip(left, 1, CHUNK)
+        made = self.features(np.concatenate([averages, again[:, None]], 1, dtype=np.float32))
+        np.maximum.at(pooled, np.repeat([owner for owner, _ in parts], chunks), made)
 
     def gradients(self, data, valid, owner, docs: int, labels, weights) -> dict[str, np.ndarray]:
         """Of the weighted log loss of ``docs`` texts; chunk k belongs to text ``owner[k]`` (ascending)."""
         p = self.p
-        seen = self.windows(data)
-        mask = (np.arange(WINDOWS)[None] < valid[:, None])[:, :, None]
-        seen *= mask
-        averages = seen.sum(1) / valid[:, None]
+        flat_windows = self.windows(data.reshape(-1)).reshape(len(data), -1, FILTERS)
+        seen = flat_windows[:, :WINDOWS] * (np.arange(WINDOWS)[None] < valid[:, None])[:, :, None]
+        sizes = np.maximum((data[:, :CHUNK] != 0).sum(1), 1)
+        # Lags reach back into the chunk alone: chunks are laid out with zeros between them.
+        apart = np.zeros((len(data), CHUNK + HOP), np.uint8)
+        apart[:, :CHUNK] = data[:, :CHUNK]
+        again = repeats(apart.reshape(-1)).reshape(len(data), -1, len(LAGS)).sum(1).max(1)
+        again *= REPEAT_SCALE / sizes
+        averages = np.concatenate([seen.sum(1) / valid[:, None], again[:, None]], 1, dtype=np.float32)
         made = self.features(averages)
         pooled = np.zeros((docs, FEATURES), np.float32)
         np.maximum.at(pooled, owner, made)
@@ -118,7 +163,7 @@ class Network:
         first = np.full((docs, FEATURES), len(owner))
         np.minimum.at(first, owner, np.where(top, order, len(owner)))
         d_made = np.where(first[owner] == order, d_pooled[owner], 0).astype(np.float32)
-        d_averages = d_made @ p["mix"].T
+        d_averages = (d_made @ p["mix"].T)[:, :FILTERS]
         d_seen = np.where(seen > 0, (d_averages / valid[:, None])[:, None, :], 0).astype(np.float32)
         halves = p["embed"][data].reshape(len(data), -1, STRIDE * EMBED)
         cut = STRIDE * EMBED
@@ -179,8 +224,8 @@ class Constant:
     def __init__(self, share: float):
         self.share = share
 
-    def score(self, text: bytes) -> float:
-        return self.share
+    def score_all(self, texts: list[bytes]) -> list[float]:
+        return [self.share] * len(texts)
 
 
 def fit_quality(
@@ -191,7 +236,7 @@ def fit_quality(
     text: str = "text",
     per_class: int = 1500,
     max_chunks: int = 24,
-    epochs: int = 5,
+    epochs: int = 10,
 ):
     """A fitted model from a bounded sample of labelled rows of the learning folds."""
     picked = sample_ids(labels, label, per_class)
@@ -228,11 +273,7 @@ def score_quality(docs: DataFrame, model, key: str = "doc_id", text: str = "text
     def run(batches):
         net = known.value
         for batch in batches:
-            ids, scores = [], []
-            for doc_id, body in rows_of(batch):
-                ids.append(doc_id)
-                scores.append(net.score(body))
-            yield as_batch(schema, id=ids, score=scores)
+            yield as_batch(schema, id=batch.column(0), score=net.score_all(byte_values(batch.column(1))))
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id bigint, score double")
@@ -258,7 +299,7 @@ def keep_good(
     def run(batches):
         net = model.value
         for batch in batches:
-            good = [net.score(body) >= threshold for body in byte_values(batch.column(at))]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            scores = np.array(net.score_all(byte_values(batch.column(at))))
+            yield batch.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

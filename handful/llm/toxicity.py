@@ -28,46 +28,60 @@ from handful.llm.labelled import class_counts, held_out, sample_ids
 from handful.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
-BEGIN = 4
+BEGINS = (4, 5, 6, 7, 8)
 BLOCK = 64
 
 
-def begin_of(word: str) -> str:
-    """The term of a word's beginning; the bar keeps it apart from whole words."""
-    return word[:BEGIN] + "|"
-
-
 def words_of(text: bytes) -> list[str]:
     return WORD.findall(text.decode("utf-8", "replace").lower())
 
 
+def begins_of(words: set[str], sizes: tuple[int, ...] = BEGINS) -> dict[str, list[str]]:
+    """Words by their beginnings; a bar keeps a beginning apart from the whole word."""
+    out: dict[str, list[str]] = {}
+    for size in sizes:
+        for word in words:
+            if len(word) > size:
+                out.setdefault(word[:size] + "|", []).append(word)
+    return out
+
+
 def terms_of(text: bytes) -> set[str]:
     words = set(words_of(text))
-    return words | {begin_of(w) for w in words if len(w) > BEGIN}
+    return words | begins_of(words).keys()
 
 
-def term_counts(text: bytes, vocabulary: dict[str, int], begins: set[str]) -> dict[int, int]:
-    """Occurrences of vocabulary terms, by number."""
-    words = words_of(text)
-    distinct = set(words)
-    hits = {w for w in distinct if w in vocabulary or w[:BEGIN] in begins}
-    if not hits:
-        return {}
-    out: Counter[int] = Counter()
-    for word, n in Counter(w for w in words if w in hits).items():
-        if word in vocabulary:
-            out[vocabulary[word]] += n
-        if len(word) > BEGIN and (begin := vocabulary.get(begin_of(word))) is not None:
-            out[begin] += n
-    return dict(out)
+class Vocabulary:
+    """Numbered terms, and the occurrences of each in a text."""
+
+    def __init__(self, terms: list[str]):
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("|")}
+        begins = [(t[:-1], i) for i, t in enumerate(terms) if t.endswith("|")]
+        self.begins = [
+            (size, {t: i for t, i in begins if len(t) == size}) for size in sorted({len(t) for t, _ in begins})
+        ]
+
+    def counts(self, text: bytes) -> dict[int, int]:
+        words = words_of(text)
+        distinct = set(words)
+        found = [(w, self.words[w]) for w in distinct & self.words.keys()]
+        for size, begins in self.begins:
+            found += [(w, begins[w[:size]]) for w in distinct if w[:size] in begins and len(w) > size]
+        if not found:
+            return {}
+        wanted = {w for w, _ in found}
+        times = Counter(w for w in words if w in wanted)
+        out: dict[int, int] = {}
+        for word, term in found:
+            out[term] = out.get(term, 0) + times[word]
+        return out
 
 
 class Index:
     """Inverted index of the examples, with block maxima."""
 
     def __init__(self, terms, counts, ids, labels, stands, k: int, smoothing: float):
-        self.vocabulary = {t: i for i, t in enumerate(terms)}
-        self.begins = {t[:-1] for t in terms if t.endswith("|")}
+        self.vocabulary = Vocabulary(terms)
         self.k, self.smoothing = k, smoothing
         order = np.argsort(ids, kind="stable")
         self.ids, self.labels, self.stands = ids[order], labels[order], stands[order]
@@ -145,7 +159,7 @@ def fit_toxicity(
     text: str = "text",
     per_class: int = 2000,
     max_terms: int = 2000,
-    least_association: float = 12.0,
+    least_association: float = 30.0,
     least_log_odds: float = 1.5,
     k: int = 15,
     smoothing: float = 1.0,
@@ -167,13 +181,13 @@ def fit_toxicity(
             found = [(y, t) for (_, body), y in zip(rows_of(batch), targets) for t in terms_of(body)]
             yield as_batch(shape, label=[y for y, _ in found], term=[t for _, t in found])
 
-    counted = sample.mapInArrow(spread, "label int, term string").groupBy("term").agg(
+    # Copies of a text are one witness.
+    counted = sample.dropDuplicates(["text"]).mapInArrow(spread, "label int, term string").groupBy("term").agg(
         F.sum(1 - F.col("label")).alias("a0"), F.sum("label").alias("a1")
     )
     a0, a1 = F.col("a0"), F.col("a1")
     odds = F.log((a1 + 0.5) * (n0 - a0 + 0.5) / ((a0 + 0.5) * (n1 - a1 + 0.5)))
-    n = n0 + n1
-    chi = n * F.pow(a1 * (n0 - a0) - a0 * (n1 - a1), 2) / ((a0 + a1) * (n - a0 - a1 + 1e-9) * n0 * n1)
+    chi = (n0 + n1) * F.pow(a1 * (n0 - a0) - a0 * (n1 - a1), 2) / ((a0 + a1) * (n0 + n1 - a0 - a1 + 1e-9) * n0 * n1)
     chosen = (
         counted.withColumn("chi", chi)
         .where((F.col("chi") >= least_association) & (F.abs(odds) >= least_log_odds))
@@ -183,14 +197,14 @@ def fit_toxicity(
         .collect()
     )
     terms = sorted(r["term"] for r in chosen)
-    vocabulary, begins = {t: i for i, t in enumerate(terms)}, {t[:-1] for t in terms if t.endswith("|")}
+    vocabulary = Vocabulary(terms)
     kept = pa.schema(
         [("id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
     )
 
     def count(batches):
         for batch in batches:
-            found = [term_counts(body, vocabulary, begins) for _, body in rows_of(batch)]
+            found = [vocabulary.counts(body) for _, body in rows_of(batch)]
             yield as_batch(
                 kept,
                 id=batch.column(0),
@@ -229,7 +243,7 @@ def classify(
             for doc_id, body in rows_of(batch):
                 ids.append(doc_id)
                 fixed = isinstance(own, float)
-                found.append((own, [], []) if fixed else own.score(term_counts(body, own.vocabulary, own.begins)))
+                found.append((own, [], []) if fixed else own.score(own.vocabulary.counts(body)))
             yield as_batch(
                 schema, id=ids, score=[f[0] for f in found], neighbours=[f[1] for f in found], cosines=[f[2] for f in found]
             )
