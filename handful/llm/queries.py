@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handful.llm import exact_dedup, line_dedup, mixing, neighbours, quality, simhash, toxicity, warc
+from handful.llm import exact_dedup, line_dedup, mixing, neighbours, pieces, quality, simhash, toxicity, warc
 from handful.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op8_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     return neighbours.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.encode(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
