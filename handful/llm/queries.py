@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handful.llm import exact_dedup, line_dedup, mixing, neighbours, pieces, quality, simhash, toxicity, warc
+from handful.llm import exact_dedup, line_dedup, mixing, neighbours, pieces, quality, simhash, suffixes, toxicity, warc
 from handful.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ def op8_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf, "documents"), length=100)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
