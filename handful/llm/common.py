@@ -7,6 +7,8 @@ import string
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from handful.session import cut_lineage
+
 # White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -37,3 +39,17 @@ def rows_of(batch: pa.RecordBatch):
 
 def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def keep_rows(docs: DataFrame, key: str, mark: Column, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``stay`` names by id and mark of the text, one of each, with all columns.
+
+    ``stay`` has (id, mark, n): n rows of ``docs`` agree in id and mark.
+    """
+    stay = cut_lineage(stay.select(*(F.col(c).alias(f"_stay_{c}") for c in ("id", "mark", "n"))), "stay")
+    marked = docs.withColumn("_mark", mark)
+    found = marked.join(stay, F.col(key).eqNullSafe(F.col("_stay_id")) & (F.col("_mark") == F.col("_stay_mark")))
+    single = found.where("_stay_n = 1")
+    if not stay.where("_stay_n > 1").isEmpty():
+        single = single.unionByName(found.where("_stay_n > 1").dropDuplicates(["_stay_id", "_stay_mark"]))
+    return single.select(*docs.columns)

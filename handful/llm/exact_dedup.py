@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from handful.llm.common import ascii_lower
+from handful.llm.common import ascii_lower, keep_rows
 from handful.session import cut_lineage, shared_path
 
 # Keyed state on disk; without preallocated files, which would take megabytes for every partition.
@@ -115,6 +115,8 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, key, text, **options).where("kept").select(F.col("key").alias("_stays"))
-    alike = docs.join(kept, F.col(key).eqNullSafe(F.col("_stays")), "left_semi")
-    return alike.dropDuplicates([key, text]) if key in docs.columns else alike
+    rows = exact_groups(docs, key, text, **options).withColumn(
+        "alike", F.count(F.lit(1)).over(W.partitionBy("digest", "key"))
+    )
+    stay = rows.where("kept").select(F.col("key").alias("id"), F.col("digest").alias("mark"), F.col("alike").alias("n"))
+    return keep_rows(docs, key, F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256), stay)

@@ -290,10 +290,20 @@ def classify(
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text", **options
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.3,
+    key: str = "doc_id",
+    text: str = "text",
+    learn_from: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns; scored where they lie."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, key=key, text=text, **options))
+    """The rows of ``docs`` that are not rejected, with all their columns; scored where they lie.
+
+    The labels are those of ``learn_from``, by default of ``docs``.
+    """
+    own = docs if learn_from is None else learn_from
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(own, labels, key=key, text=text, **options))
     at = docs.columns.index(text)
 
     def run(batches):

@@ -24,7 +24,7 @@ def query(run):
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), words=4, seed=42, distance=4)
-    return found.withColumnRenamed("id", "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
 @query

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from handful.llm.common import LOWER, as_batch, rows_of
+from handful.llm.common import LOWER, as_batch, keep_rows, rows_of
 from handful.session import cut_lineage
 
 BITS = 64
@@ -50,9 +50,13 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def mark_of(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42):
-    """(id, print): the fingerprint as a signed 64-bit number."""
-    schema = pa.schema([("id", pa.int64()), ("print", pa.int64())])
+    """(id, mark, print): a hash of the text, and the fingerprint as a signed 64-bit number."""
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("print", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -60,10 +64,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             for doc_id, body in rows_of(batch):
                 ids.append(doc_id)
                 prints.append(fingerprint(body, words, seed))
-            yield as_batch(schema, id=ids, print=np.array(prints, np.uint64).view(np.int64))
+            yield as_batch(schema, id=ids, mark=batch.column(2), print=np.array(prints, np.uint64).view(np.int64))
 
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id bigint, print bigint")
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), mark_of(text).alias("mark"))
+    return rows.mapInArrow(run, "id bigint, mark bigint, print bigint")
 
 
 def bit_groups(sample: np.ndarray, groups: int) -> list[list[int]]:
@@ -188,7 +192,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, distance: int = 4
 ) -> DataFrame:
-    """One row per document: id, fingerprint (hex), component_id."""
+    """One row per document: id, mark, fingerprint (hex), component_id."""
     prints = cut_lineage(fingerprints(docs, key, text, words, seed), "prints")
     distinct = cut_lineage(prints.groupBy("print").agg(F.min("id").alias("first")), "distinct-prints")
     rooted = components(links(distinct.select("print"), distance))
@@ -198,16 +202,17 @@ def near_duplicates(
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = member.join(smallest, "root").select("print", "component_id")
     return prints.join(named, "print").select(
-        "id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+        "id", "mark", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all columns.
+    """One row of ``docs`` of each component, that with the smallest id, with all columns.
 
     A component without ids keeps one row of each text.
     """
-    found = near_duplicates(docs, key, text, **options)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates([key]) if key in docs.columns else kept
+    rows = near_duplicates(docs, key, text, **options).groupBy("component_id", "id", "mark").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "mark", "n")).alias("first")
+    own = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("mark "), "mark"))
+    stay = rows.groupBy(own).agg(first).select("first.id", "first.mark", "first.n")
+    return keep_rows(docs, key, mark_of(text), stay)
