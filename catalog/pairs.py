@@ -170,11 +170,11 @@ def drawn_pair_similarity(spark, sf):
     "drawn_pair_texts",
     f"""WITH {_drawn_sql('documents', 'doc_id', 'lang')}
         SELECT id_1, id_2, label, md5(a.text) AS md5_1, md5(b.text) AS md5_2
-        FROM drawn JOIN documents a ON a.doc_id = id_1 JOIN documents b ON b.doc_id = id_2 WHERE draw = 0""",
+        FROM drawn JOIN documents a ON a.doc_id = id_1 JOIN documents b ON b.doc_id = id_2""",
 )
 def drawn_pair_texts(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), "text")
-    pairs = P.drawn_pairs(docs.select("row_id", "label"), 3).filter("draw = 0")
+    pairs = P.drawn_pairs(docs.select("row_id", "label"), 3)
     full = P.attach_texts(pairs, docs)
     return full.select("id_1", "id_2", "label", F.md5("sentence_1").alias("md5_1"), F.md5("sentence_2").alias("md5_2"))
 
@@ -190,6 +190,74 @@ def teacher_pairs(spark, sf):
     return P.teacher_pairs(_sample(spark, sf)).withColumn("label", r6("label"))
 
 
+_BUDGET = 20_000
+
+
+@register(
+    "capped_pairs_at_volume",
+    f"""WITH ranked AS (SELECT event_id AS row_id, event_type AS label,
+                row_number() OVER (PARTITION BY event_type ORDER BY {key_sql(42, 'event_id')}, event_id) - 1 AS rank FROM events),
+        cls AS (SELECT label, n, off, total - off - n AS after, n::HUGEINT * (n + 1) // 2 AS p, n::HUGEINT * (total - off - n) AS q FROM (
+            SELECT label, n, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off,
+                   (sum(n) OVER ())::BIGINT AS total FROM (SELECT label, count(*) AS n FROM ranked GROUP BY 1))),
+        runs AS (SELECT *, sum(p) OVER (ORDER BY label) AS rp, sum(p) OVER () AS tp, sum(q) OVER (ORDER BY label) AS rq, sum(q) OVER () AS tq FROM cls),
+        marks AS (SELECT *, CASE WHEN {_BUDGET // 2} >= tp THEN rp WHEN rp = tp THEN {_BUDGET // 2}
+                                 ELSE floor(rp::DOUBLE / tp::DOUBLE * {_BUDGET // 2}) END AS mp,
+                            CASE WHEN {_BUDGET // 2} >= tq THEN rq WHEN rq = tq THEN {_BUDGET // 2}
+                                 ELSE floor(rq::DOUBLE / tq::DOUBLE * {_BUDGET // 2}) END AS mq FROM runs),
+        shares AS (SELECT label, n, off, after, (mp - coalesce(lag(mp) OVER (ORDER BY label), 0))::BIGINT AS kp,
+                          (mq - coalesce(lag(mq) OVER (ORDER BY label), 0))::BIGINT AS kq FROM marks),
+        placed AS (SELECT row_id, rank, off + rank AS place, n, off, after, kp, kq FROM ranked JOIN shares USING (label)),
+        wanted AS (SELECT row_id, 1.0::DOUBLE AS label, off + (rank + turn) % n AS place
+                   FROM (SELECT *, unnest(range((kp - rank + n - 1) // n)) AS turn FROM placed WHERE kp > rank)
+                   UNION ALL
+                   SELECT row_id, 0.0::DOUBLE, off + n + (floor(rank::DOUBLE / n * after)::BIGINT + turn) % after
+                   FROM (SELECT *, unnest(range((kq - rank + n - 1) // n)) AS turn FROM placed WHERE kq > rank))
+        SELECT least(w.row_id, b.row_id) AS id_1, greatest(w.row_id, b.row_id) AS id_2, w.label
+        FROM wanted w JOIN placed b ON w.place = b.place""",
+)
+def capped_pairs_at_volume(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.col("event_type").alias("label"))
+    return P.capped_pairs(rows, _BUDGET)
+
+
+@register(
+    "drawn_pairs_multilabel",
+    f"""WITH ranked AS (SELECT doc_id AS row_id, quality, toxic, row_number() OVER (PARTITION BY quality, toxic
+                               ORDER BY {key_sql(42, 'doc_id')}, doc_id) - 1 AS rank FROM labels),
+        sets AS (SELECT quality, toxic, n, coalesce(sum(n) OVER (ORDER BY quality, toxic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+                 FROM (SELECT quality, toxic, count(*) AS n FROM ranked GROUP BY 1, 2)),
+        pairs AS (SELECT a.quality, a.toxic, b.quality AS q2, b.toxic AS t2, b.n, b.off,
+                         (a.quality * b.quality + a.toxic * b.toxic > 0) AS same FROM sets a JOIN sets b ON true),
+        sides AS (SELECT *, (sum(n) OVER (PARTITION BY quality, toxic, same ORDER BY q2, t2))::BIGINT - n AS start,
+                         (sum(n) OVER (PARTITION BY quality, toxic, same))::BIGINT AS size FROM pairs),
+        d AS (SELECT row_id AS id_1, quality, toxic, draw, {number_sql("md5(concat_ws(':', 42, 'p', row_id, draw))", 15)} AS pp,
+                     {number_sql("md5(concat_ws(':', 42, 'n', row_id, draw))", 15)} AS np
+              FROM ranked, (SELECT CAST(range AS INTEGER) AS draw FROM range(3))),
+        wanted AS (SELECT id_1, draw, CASE WHEN same THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+                          off + (CASE WHEN same THEN pp ELSE np END) % size - start AS place
+                   FROM d JOIN sides USING (quality, toxic)
+                   WHERE (CASE WHEN same THEN pp ELSE np END) % size >= start AND (CASE WHEN same THEN pp ELSE np END) % size < start + n),
+        placed AS (SELECT row_id, off + rank AS place FROM ranked JOIN sets USING (quality, toxic))
+        SELECT id_1, row_id AS id_2, label, draw FROM wanted JOIN placed USING (place)""",
+)
+def drawn_pairs_multilabel(spark, sf):
+    rows = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.array("quality", "toxic").alias("label"))
+    return P.drawn_pairs_multilabel(rows, 3)
+
+
+@register(
+    "drawn_teacher_pairs",
+    f"""WITH ranked AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY {key_sql(42, 'vec_id')}, vec_id) - 1 AS rank,
+                               count(*) OVER () AS n FROM embeddings),
+        wanted AS (SELECT row_id, e, (rank + t) % n AS rank FROM ranked, range(4) AS r(t))
+        SELECT least(w.row_id, b.row_id) AS id_1, greatest(w.row_id, b.row_id) AS id_2, round(list_cosine_similarity(w.e, b.e), 6) AS label
+        FROM wanted w JOIN ranked b USING (rank)""",
+)
+def drawn_teacher_pairs(spark, sf):
+    return P.drawn_teacher_pairs(vectors(spark, sf), 4).withColumn("label", r6("label"))
+
+
 @register(
     "cosine_pair_loss",
     f"""WITH {_drawn_sql('embeddings', 'vec_id', 'label')},

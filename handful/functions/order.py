@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from handful.session import cut_lineage
+
 # Spark pushes row_number() <= n below the shuffle only up to this limit.
 GROUP_LIMIT = 1000
 
@@ -67,35 +69,32 @@ def exact_rank(
 
 
 def running_totals(
-    steps: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False, slices: int = 1024
+    steps: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False
 ) -> DataFrame:
-    """Running and whole-group sums in the order of a numeric column that is unique per group.
+    """Running and whole-group sums in the order of a column that is unique per group; NULL comes last.
 
-    Adds ``<sum>_run`` (this row included) and ``<sum>_all``.  Each group is cut into even
-    slices of its value range; slice sums are accumulated first and only slices are sorted.
+    Adds ``<sum>_run`` (this row included) and ``<sum>_all``.  Rows are range-partitioned by
+    group and value at sampled quantiles, so neither a large group nor an outlier fills one task;
+    partitions are written once, their sums accumulated, and only partitions are sorted.
     """
     by = list(by)
-    edges = steps.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    if by:
-        cut = steps.join(edges, by)
-    else:
-        cut = steps.withColumn("_low", edges.select("_low").scalar()).withColumn("_high", edges.select("_high").scalar())
-    far = (F.col("_high") - F.col(value)) if descending else (F.col(value) - F.col("_low"))
-    share = F.when(F.col("_high") > F.col("_low"), far / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))
-    cut = cut.withColumn("_slice", F.floor(share * (slices - 1)).cast("int")).drop("_low", "_high")
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    ranged = steps.repartitionByRange(*[F.col(c).asc() for c in by], order)
+    cut = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()), "ranged")
     parts = cut.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     parts = parts.select(
-        *by,
-        "_slice",
+        *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.col("_slice").alias("_of"),
         *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums],
         *[F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in sums],
     )
-    order = F.col(value).desc() if descending else F.col(value)
     inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(parts, [*by, "_slice"])
-    return joined.select(
+    same = F.col("_slice") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return cut.join(parts, same).select(
         *steps.columns,
         *[(F.col(f"_{c}_before") + F.sum(c).over(inside)).alias(f"{c}_run") for c in sums],
         *[f"{c}_all" for c in sums],

@@ -17,21 +17,30 @@ TRUE, PRED = "true_label", "pred_label"
 
 
 def confusion(preds: DataFrame, by: Sequence[str] = (), true: str = TRUE, pred: str = PRED) -> DataFrame:
-    """Counts (by, true_label, pred_label, n) of the pairs that occur; rows without a label are left out."""
+    """Counts (by, true_label, pred_label, n) of the pairs that occur.
+
+    A row without a prediction is an error of its true label and keeps a NULL ``pred_label``; only rows
+    without a true label are left out (``unlabelled`` counts them).
+    """
     return (
-        preds.filter(F.col(true).isNotNull() & F.col(pred).isNotNull())
+        preds.filter(F.col(true).isNotNull())
         .groupBy(*by, F.col(true).alias(TRUE), F.col(pred).alias(PRED))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def unlabelled(preds: DataFrame, by: Sequence[str] = (), true: str = TRUE) -> DataFrame:
+    """(by, n_unlabelled): rows that no metric can judge."""
+    return preds.groupBy(*by).agg(F.count(F.when(F.col(true).isNull(), 1)).alias("n_unlabelled"))
+
+
 def _text_order(labels: Column) -> Column:
     pairs = F.transform(labels, lambda v: F.struct(v.cast("string").alias("s"), v.alias("v")))
     return F.transform(F.array_sort(F.array_distinct(pairs)), lambda p: p["v"])
 
 
 def confusion_dense(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Confusion counts over the union of true and predicted labels, zeros included.
+    """Confusion counts over the union of true and predicted labels, zeros included; NULL is no label.
 
     A run's class table travels as one array, so no label table is joined.
     """
@@ -80,6 +89,7 @@ def label_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     return (
         counts.select(*by, F.inline(parts))
+        .filter(F.col("label").isNotNull())
         .groupBy(*by, "label")
         .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     )
@@ -162,16 +172,28 @@ def metric_of(dataset: str) -> str:
 
 
 def primary_score(measure) -> Column:
-    """Score x100 picked by metric name from a row of ``scores``; unknown names mean accuracy."""
+    """Score x100 picked by metric name from a row of ``scores`` (with ``mae`` where that is asked for).
+
+    An unknown name stops the job.
+    """
     measure = F.col(measure) if isinstance(measure, str) else measure
+    unknown = F.raise_error(F.concat(F.lit("unknown metric: "), F.coalesce(measure, F.lit("NULL")))).cast("double")
     return (
         F.when(measure == "matthews_correlation", F.col("mcc"))
         .when(measure == "macro_f1", F.col("macro_f1"))
-        .otherwise(F.col("accuracy"))
+        .when(measure == "accuracy", F.col("accuracy"))
+        .when(measure == "mae", F.col("mae"))
+        .otherwise(unknown)
         * 100
     )
 
 
+def mae_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mae) from confusion counts; NULL where labels are no numbers or nothing was predicted."""
+    gap = F.abs(F.col(TRUE).try_cast("double") - F.col(PRED).try_cast("double"))
+    return counts.groupBy(*by).agg((F.sum(gap * F.col("n")) / F.sum(F.when(gap.isNotNull(), F.col("n")))).alias("mae"))
+
+
 def mae(preds: DataFrame, by: Sequence[str] = (), true: str = TRUE, pred: str = PRED) -> DataFrame:
     return preds.groupBy(*by).agg(F.avg(F.abs(F.col(true) - F.col(pred)).cast("double")).alias("mae"))
 
@@ -182,7 +204,7 @@ def average_precision(
     """Average precision as a step sum over distinct scores, so tied rows form one threshold.
 
     Counts are taken per score first; running totals over the scores come in slices, so a
-    run with many distinct scores is not sorted by one task.
+    run with many distinct scores is not sorted by one task.  Rows without a score rank last.
     """
     by = list(by)
     steps = preds.groupBy(*by, score).agg(
@@ -280,7 +302,7 @@ def word_order_sensitivity(
 
 def error_summary(preds: DataFrame, by: Sequence[str] = (), true: str = TRUE, pred: str = PRED) -> DataFrame:
     """Error counts in total, per true label and per (true, pred); ``level`` is 'all', 'class' or 'pair'."""
-    wrong = confusion(preds, by, true, pred).filter(F.col(TRUE) != F.col(PRED))
+    wrong = confusion(preds, by, true, pred).filter(~F.col(TRUE).eqNullSafe(F.col(PRED)))
     keys = [F.col(c) for c in by]
     sets = [[*keys], [*keys, F.col(TRUE)], [*keys, F.col(TRUE), F.col(PRED)]]
     level = F.when(F.grouping(TRUE) == 1, "all").when(F.grouping(PRED) == 1, "class").otherwise("pair")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from handful.functions.order import (
     KEY_DIGITS, among_first, draw_key, draw_number, first_per_group, key_bound, slack, take_first,
 )
-from handful.session import join_checked
+from handful.session import cut_lineage, join_checked
 
 # Seeds and sizes of the standard grid.
 SEEDS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
@@ -47,7 +47,7 @@ def _first_drawn(
         return first_per_group(rows, [*group, "split_idx", "seed"], ["_key", row_id], n)
 
     drawn = narrow.select(*group, row_id, F.inline(numbered)).withColumn("_key", draw_key(F.col("seed"), row_id))
-    sizes = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).persist()
+    sizes = cut_lineage(narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")), "class-sizes")
     if (sizes.agg(F.sum("_size")).first()[0] or 0) <= direct_rows:
         return ranked(drawn)
     bounds = sizes.select(*group, "_size", key_bound(F.lit(n + slack(n)) / F.col("_size")).alias("_bound"))
@@ -55,7 +55,7 @@ def _first_drawn(
     near = near.withColumn("_key", draw_key(F.col("seed"), row_id)).filter(
         F.substring("_key", 1, KEY_DIGITS) <= F.col("_bound")
     )
-    near = near.drop("_bound").persist()
+    near = cut_lineage(near.drop("_bound"), "near-keys")
     enough = near.groupBy(*group, "seed", "_size").count().filter(F.col("count") >= F.least(F.lit(n), F.col("_size")))
     if enough.count() == sizes.count() * len({s for _, s in seeds}):
         return ranked(near.drop("_size"))

@@ -115,7 +115,7 @@ def fewshot_benchmark(
     augmented = confusion_of(grown, by)
 
     confusion = vanilla.withColumn("method", F.lit("vanilla")).unionByName(augmented)
-    runs = E.scores_of(confusion, by).select(
+    runs = E.scores_of(confusion, by).join(E.mae_of(confusion, by), by).select(
         F.lit(dataset).alias("dataset"),
         F.col("sample_size"),
         F.col("seed"),

@@ -16,12 +16,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from handful.functions.order import draw_key, draw_number
+from handful.functions.order import draw_key, draw_number, take_first
 from handful.operators import metrics as E
 from handful.operators.augment import pseudo_label
 from handful.operators.columns import validate_columns
 from handful.operators.heads import FittedHead, MultiHead, fit_head, fit_multi_head
-from handful.operators.pairs import balance_pairs, cap_pairs, contrastive_pairs, drawn_pairs, teacher_pairs
+from handful.operators.pairs import (
+    balance_pairs,
+    capped_pairs,
+    contrastive_pairs,
+    drawn_pairs,
+    drawn_pairs_multilabel,
+    drawn_teacher_pairs,
+    teacher_pairs,
+)
 from handful.operators.scoring import embed
 
 Metric = Callable[[DataFrame], DataFrame]
@@ -139,7 +147,8 @@ def train(
     """Pair phase, then head phase, on a training table (row_id, text or embedding, label).
 
     ``pairs='exact'`` lists all pairs of a few-shot sample; 'drawn' gives every row
-    ``num_iterations`` partners of each kind and suits any size.
+    ``num_iterations`` partners of each kind and suits any size.  With ``max_pairs`` a budget of distinct
+    pairs is drawn (for label sets: one partner of each kind a row, up to the budget), also from tables of any size.
     """
     needed = ("label",) if "embedding" in df.columns else ("text", "label")
     validate_columns(df, mapping, needed)
@@ -151,12 +160,18 @@ def train(
     try:
         if epochs:
             labels = vectors.select(row_id, "label")
+            draw = drawn_pairs if multi_target is None else drawn_pairs_multilabel
             if pairs == "drawn":
-                chosen = drawn_pairs(labels, num_iterations or 1, seed, row_id=row_id)
+                chosen = draw(labels, num_iterations or 1, seed, row_id=row_id)
+            elif max_pairs != -1 and multi_target is None:
+                chosen = balance_pairs(capped_pairs(labels, max_pairs, seed, row_id=row_id), strategy, None, seed)
+            elif max_pairs != -1:
+                rounds = -(-max_pairs // max(2 * labels.count(), 1))
+                chosen = take_first(draw(labels, rounds, seed, row_id=row_id), draw_key(seed, "id_1", "id_2", "draw"), ["id_1", "id_2", "draw", "label"], max_pairs)
             else:
                 every = contrastive_pairs(labels, multilabel=multi_target is not None, row_id=row_id)
                 per_side = num_iterations * labels.count() if num_iterations else None
-                chosen = balance_pairs(cap_pairs(every, max_pairs, seed), strategy, per_side, seed)
+                chosen = balance_pairs(every, strategy, per_side, seed)
             weights, losses = fit_adapter(chosen, vectors, epochs, lr, row_id=row_id)
         ready = vectors if weights is None else adapt(vectors, weights)
         if multi_target is None:
@@ -200,12 +215,17 @@ def distill(
     encoder: Callable | None = None,
     dim: int = 256,
     max_pairs: int = -1,
+    num_iterations: int | None = None,
     epochs: int = 3,
     lr: float = 0.5,
     seed: int = 42,
     row_id: str = "row_id",
 ) -> Model:
-    """Student whose pairs carry the teacher's cosines and whose head learns the teacher's labels."""
+    """Student whose pairs carry the teacher's cosines and whose head learns the teacher's labels.
+
+    ``num_iterations`` pairs a row, or ``max_pairs // 2`` in all, are drawn from tables of any size; with neither, all
+    pairs of a few-shot sample are listed.
+    """
     judged = teacher.predict(unlabelled).select(row_id, "text", F.col("pred_label"))
     if labelled is not None:
         rows = pseudo_label(labelled.select(row_id, "text", "label"), judged).drop("pseudo")
@@ -213,10 +233,13 @@ def distill(
         rows = judged.withColumnRenamed("pred_label", "label")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        pairs = teacher_pairs(teacher.vectors(rows).select(row_id, "embedding"), row_id=row_id)
-        if max_pairs != -1:
-            first = pairs.orderBy(draw_key(seed, "id_1", "id_2"), "id_1", "id_2").limit(max_pairs // 2)
-            pairs = first
+        judged_vectors = teacher.vectors(rows).select(row_id, "embedding")
+        if num_iterations:
+            pairs = drawn_teacher_pairs(judged_vectors, num_iterations, seed, row_id=row_id)
+        elif max_pairs != -1:
+            pairs = drawn_teacher_pairs(judged_vectors, 0, seed, row_id=row_id, max_pairs=max_pairs // 2)
+        else:
+            pairs = teacher_pairs(judged_vectors, row_id=row_id)
         student = embed(rows, encoder, dim=dim)
         weights, losses = fit_adapter(pairs, student, epochs, lr, row_id=row_id)
         head = fit_head(adapt(student, weights))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast only after a count shows it is at most this many rows.
+# A side is broadcast only after a check shows it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -30,9 +30,16 @@ def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master.
+
+    On a cluster every executor would write to a temporary folder of its own, so without a
+    shared folder the job stops.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="handful-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -59,8 +66,14 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
 def join_checked(
     big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Join, broadcasting ``small`` only if a count shows at most ``limit`` rows."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if small.limit(limit + 1).count() <= limit:
+    """Join, broadcasting ``small`` only if it is checked to have few rows and few bytes.
+
+    ``small`` is written first, so that check and join read it without its lineage; the check reads at
+    most ``limit`` + 1 rows and takes them at the size of their JSON text.
+    """
+    small = cut_lineage(small, "small-side")
+    head = small.limit(limit + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("size"))
+    rows, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if rows <= limit and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

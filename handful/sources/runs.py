@@ -1,7 +1,8 @@
 """Reading and writing run results: JSON documents, JSON lines, CSV files and logs.
 
 Files are read as text with their path, so a broken file only loses its own rows.
-Nested records are VARIANT values; unwrapping them stays inside one projection.
+Nested records are VARIANT values, unwrapped level by level as rows until none is left, however deep.
+``position`` orders the rows of a file: its offset and line where it is read by lines, then the place at each level.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from handful.session import cut_lineage
 from handful.functions.cells import normalize_dataset, normalize_method, parse_path, safe_float, safe_int
 
 # Keys that may hold further records, per kind of search.
@@ -30,7 +32,6 @@ COMPLETED = (
 COMPLETED_SHORT = r"Completed dataset=(\S+) shot=(\d+) seed=(\d+)"
 ERROR_MARKS = ["CUDA out of memory", "OutOfMemoryError", "RuntimeError"]
 LOG_METHODS = ["vanilla", "random_aug", "error_driven"]
-MAX_DEPTH = 6
 
 
 def _has(record: Column, key: str) -> Column:
@@ -103,37 +104,43 @@ def _objects(record: Column, key: str, single: bool) -> Column:
 
 
 def unwrap_records(
-    payload: Column,
+    payloads: DataFrame,
     found: Callable[[Column], Column],
     containers: Sequence[str] = CONTAINERS,
     single: bool = True,
-    depth: int = MAX_DEPTH,
-) -> Column:
-    """All records inside a payload, as an array of VARIANT.
+    payload: str = "payload",
+    position: str = "position",
+) -> DataFrame:
+    """All records inside VARIANT payloads: the other columns, ``position`` and the VARIANT ``record``.
 
     A list is searched item by item; an object that is no record itself is searched
-    in its container keys (``single`` also lets a container be one object).
-    Searching goes ``depth`` levels down, which nested result files do not exceed.
+    in its container keys (``single`` also lets a container be one object).  Each round looks
+    one level deeper into what is still open, and the search ends when nothing is.  ``position``, an array that the
+    frame may already have, gets the place at every level.
     """
-
-    def item(v: Column, done: bool) -> Column:
-        return F.named_struct(F.lit("v"), v, F.lit("done"), F.lit(done))
-
-    def inside(x: Column) -> Column:
-        v = x["v"]
+    keep = [c for c in payloads.columns if c not in (payload, position)]
+    start = F.col(position).cast("array<bigint>") if position in payloads.columns else F.array().cast("array<bigint>")
+    level = payloads.select(*keep, start.alias(position), F.col(payload).alias("record"))
+    done = []
+    while True:
+        v = F.col("record")
         listed = F.try_variant_get(v, "$", "array<variant>")
-        below = F.flatten(F.array(*[_objects(v, key, single) for key in containers]))
-        return (
-            F.when(x["done"], F.array(x))
-            .when(listed.isNotNull(), F.transform(listed, lambda o: item(o, False)))
-            .when(found(v), F.array(item(v, True)))
-            .otherwise(F.transform(below, lambda o: item(o, False)))
-        )
-
-    level = F.array(item(payload, False))
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, inside))
-    return F.transform(F.filter(level, lambda x: x["done"]), lambda x: x["v"])
+        # A list holds records, it is none.
+        level = level.withColumn("_listed", listed)
+        level = level.withColumn("_done", F.col("_listed").isNull() & found(v))
+        inside = F.flatten(F.array(*[_objects(v, key, single) for key in containers]))
+        below = F.when(F.col("_done"), F.array().cast("array<variant>")).otherwise(F.coalesce("_listed", inside))
+        level = cut_lineage(level.select(*keep, position, "record", "_done", below.alias("_below")), "unwrapped")
+        done.append(level.filter("_done").select(*keep, position, "record"))
+        deeper = level.filter(F.size("_below") > 0)
+        if deeper.isEmpty():
+            break
+        level = deeper.select(*keep, F.col(position).alias("_up"), F.posexplode("_below").alias("_at", "record"))
+        level = level.withColumn(position, F.concat("_up", F.array(F.col("_at").cast("bigint")))).drop("_up", "_at")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def json_runs(texts: DataFrame, text: str = "value", file: str = "result_file", order: Sequence[str] = ()) -> DataFrame:
@@ -142,13 +149,11 @@ def json_runs(texts: DataFrame, text: str = "value", file: str = "result_file",
     def found(v: Column) -> Column:
         return is_run_record(v, F.col("result_file"))
 
-    parsed = texts.select(F.col(file).alias("result_file"), *order, F.try_parse_json(F.col(text)).alias("_v"))
-    parsed = parsed.filter(F.col("_v").isNotNull())
-    rows = parsed.select(
-        "result_file", *order, F.posexplode(unwrap_records(F.col("_v"), found)).alias("position", "_r")
-    )
+    first = [F.col("position")] if "position" in texts.columns else []
+    parsed = texts.select(F.col(file).alias("result_file"), *order, *first, F.try_parse_json(F.col(text)).alias("payload"))
+    rows = unwrap_records(parsed.filter(F.col("payload").isNotNull()), found)
     return (
-        rows.withColumn("_f", run_fields(F.col("_r"), F.col("result_file")))
+        rows.withColumn("_f", run_fields(F.col("record"), F.col("result_file")))
         .filter(is_run(F.col("_f")))
         .select("_f.*", "result_file", *order, "position")
     )
@@ -159,6 +164,18 @@ def rejected_json(texts: DataFrame, text: str = "value") -> DataFrame:
     return texts.filter((F.trim(F.col(text)) != "") & F.try_parse_json(F.col(text)).isNull())
 
 
+def json_documents(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Texts of ``.json`` files, cut into lines where the first line of several is a whole JSON value."""
+    lines = F.filter(F.split(F.col(text), "\r?\n"), lambda line: F.trim(line) != "")
+    whole = F.array(F.col(text))
+    by_line = (F.size("_lines") > 1) & F.try_parse_json(F.col("_lines")[0]).isNotNull()
+    cut = texts.withColumn("_lines", lines).withColumn("_lines", F.when(by_line, F.col("_lines")).otherwise(whole))
+    rest = [c for c in texts.columns if c not in (text, "position")]
+    return cut.select(*rest, F.posexplode("_lines").alias("_at", text)).withColumn(
+        "position", F.array(F.col("_at").cast("bigint"))
+    ).drop("_at")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _csv_rows(files: pd.Series) -> pd.Series:
     """Rows of each CSV text as JSON objects of text cells."""
@@ -181,16 +198,17 @@ def csv_runs(texts: DataFrame, text: str = "value", file: str = "result_file") -
     return (
         rows.withColumn("_f", run_fields(F.try_parse_json("_t"), F.col("result_file")))
         .filter(is_run(F.col("_f")))
-        .select("_f.*", "result_file", "position")
+        .select("_f.*", "result_file", F.array(F.col("position").cast("bigint")).alias("position"))
     )
 
 
 def log_runs(texts: DataFrame, text: str = "value", file: str = "result_file") -> DataFrame:
     """Three run rows, one per method, for every finished run in a log text."""
     groups = [F.regexp_extract_all(F.col(text), F.lit(COMPLETED), F.lit(i)).alias(f"g{i}") for i in range(1, 7)]
-    runs = texts.select(F.col(file).alias("result_file"), F.arrays_zip(*groups).alias("_m")).select(
-        "result_file", F.posexplode("_m").alias("position", "_m")
-    )
+    first = F.col("position") if "position" in texts.columns else F.array().cast("array<bigint>")
+    runs = texts.select(F.col(file).alias("result_file"), first.alias("_line"), F.arrays_zip(*groups).alias("_m")).select(
+        "result_file", "_line", F.posexplode("_m").alias("_at", "_m")
+    ).withColumn("position", F.concat("_line", F.array(F.col("_at").cast("bigint"))))
     per_method = F.array(
         *[
             F.struct(F.lit(m).alias("method"), F.col(f"_m.g{4 + i}").cast("double").alias("accuracy"))
@@ -212,20 +230,28 @@ def log_runs(texts: DataFrame, text: str = "value", file: str = "result_file") -
 
 
 def read_texts(spark: SparkSession, path: str, glob: str, whole: bool = True) -> DataFrame:
-    """(value, result_file) of all files below ``path`` that match ``glob``; vanished and broken files are skipped."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    """(value, result_file) of all files below ``path`` that match ``glob``, also (``position``) by lines.
+
+    Suffixes match without case; vanished and broken files are skipped.
+    """
+    anycase = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in glob)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", anycase)
     reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    texts = reader.text(path, wholetext=whole)
-    return texts.select("value", F.col("_metadata.file_path").alias("result_file"))
+    texts = reader.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("result_file"), "_metadata")
+    if whole:
+        return texts.select("value", "result_file")
+    # Lines of one block of a file follow each other in one partition.
+    place = F.array(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return texts.select("value", "result_file", place.alias("position"))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run rows of every json, jsonl, csv, log and txt file below ``path``."""
+    """Run rows of every json, jsonl, csv, log and txt file below ``path``; logs and JSON lines are read by lines."""
     parts = [
-        json_runs(read_texts(spark, path, "*.json")),
+        json_runs(json_documents(read_texts(spark, path, "*.json"))),
         json_runs(read_texts(spark, path, "*.jsonl", whole=False)),
         csv_runs(read_texts(spark, path, "*.csv")),
-        log_runs(read_texts(spark, path, "*.{log,txt}")),
+        log_runs(read_texts(spark, path, "*.{log,txt}", whole=False)),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -233,21 +259,43 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def rejected_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """(result_file, line, reason) of what ``read_runs`` cannot read; ``line`` is the start of the text."""
+
+    def told(texts: DataFrame, reason: str) -> DataFrame:
+        return texts.select("result_file", F.substring("value", 1, 200).alias("line"), F.lit(reason).alias("reason"))
+
+    logs = read_texts(spark, path, "*.{log,txt}", whole=False)
+    tables = read_texts(spark, path, "*.csv")
+    kept = ["dataset", "task", "method", "accuracy", "score"]
+    head = F.lower(F.split(F.col("value"), "\r?\n")[0])
+    named = F.lit(False)
+    for name in kept:
+        named = named | head.contains(name)
+    return (
+        told(rejected_json(json_documents(read_texts(spark, path, "*.json"))), "no JSON")
+        .unionByName(told(rejected_json(read_texts(spark, path, "*.jsonl", whole=False)), "no JSON line"))
+        .unionByName(told(tables.filter(~named), "no known column"))
+        .unionByName(told(logs.filter(F.col("value").startswith("Completed") & ~F.col("value").rlike(COMPLETED)), "no finished run"))
+    )
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Full result records (dataset, shot, seed, method named) of all JSON files, as VARIANT ``record``."""
-    texts = read_texts(spark, path, "*.json").withColumn("_v", F.try_parse_json("value")).filter("_v is not null")
-    found = unwrap_records(F.col("_v"), is_full_record, RECORD_CONTAINERS, single=False, depth=4)
-    return texts.select(F.col("result_file").alias("source_file"), F.posexplode(found).alias("position", "record"))
+    texts = json_documents(read_texts(spark, path, "*.json"))
+    parsed = texts.select(F.col("result_file").alias("source_file"), "position", F.try_parse_json("value").alias("payload"))
+    return unwrap_records(parsed.filter("payload is not null"), is_full_record, RECORD_CONTAINERS, single=False)
 
 
-def write_runs(df: DataFrame, path: str, fields: Sequence[str]) -> None:
+def write_runs(df: DataFrame, path: str, fields: Sequence[str], mode: str = "overwrite") -> None:
     """CSV with the given columns in order; columns the frame lacks and missing values are blank."""
     columns = [F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields]
-    df.select(*columns).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    df.select(*columns).write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def write_summary_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_summary_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON lines; ``read_runs`` reads them back line by line."""
+    df.write.mode(mode).json(path)
 
 
 def file_targets(spark: SparkSession, path: str, glob: str = "*.{csv,json,log}") -> DataFrame:

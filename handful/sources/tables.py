@@ -78,15 +78,19 @@ def read_prompt_jsonl(
     return rows.select(*columns, F.col("LBL").alias("label_text"), checked.alias("lbl"))
 
 
-def write_task_jsonl(df: DataFrame, path: str, pair: bool = False, text: str = "text", label: str = "label") -> None:
+def write_task_jsonl(
+    df: DataFrame, path: str, pair: bool = False, text: str = "text", label: str = "label", mode: str = "overwrite"
+) -> None:
     """JSON lines {TEXT1[, TEXT2], LBL} with the label as text."""
     texts = [F.col("text1").alias("TEXT1"), F.col("text2").alias("TEXT2")] if pair else [F.col(text).alias("TEXT1")]
     rows = df.select(*texts, F.col(label).cast("string").alias("LBL"))
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    rows.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def tsv_to_task(spark: SparkSession, path: str, n: int = 32) -> DataFrame:
-    """The first n lines after the header of a tab-separated file as (TEXT1, LBL)."""
+    """The first n lines after the header of tab-separated files, in the order of file name and line, as (TEXT1, LBL)."""
     lines = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
     first, second = lines.columns[:2]
-    return lines.select(F.col(first).alias("TEXT1"), F.col(second).alias("LBL")).limit(n)
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    placed = lines.select(F.col(first).alias("TEXT1"), F.col(second).alias("LBL"), *[c.alias(f"_p{i}") for i, c in enumerate(place)])
+    return placed.orderBy("_p0", "_p1", "_p2").limit(n).select("TEXT1", "LBL")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
 import time
 
@@ -71,7 +72,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     args = parser.parse_args()
-    spark = build_session()
+    spark = build_session(os.environ.get("ORACLE_MASTER", "local[8]"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     wanted = [n for n in QUERIES if not args.names or any(n.startswith(a) for a in args.names)]
