@@ -57,8 +57,8 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.uint64)
         if reach >= depth or (len(order) and int(rank[order[-1]]) == len(data) - 1):
             return order
-        after = np.zeros(len(data), np.uint64)
-        after[: max(len(data) - reach, 0)] = rank[reach:] + np.uint64(1)
+        after = np.full(len(data), len(data), np.uint64)
+        after[: max(len(data) - reach, 0)] = rank[reach:]
         pair = (rank << np.uint64(32)) | after
         order = np.argsort(pair, kind="stable")
         key = pair[order]

@@ -153,7 +153,7 @@ class Network:
         again *= REPEAT_SCALE / sizes
         averages = np.concatenate([seen.sum(1) / valid[:, None], again[:, None]], 1, dtype=np.float32)
         made = self.features(averages)
-        pooled = np.zeros((docs, FEATURES), np.float32)
+        pooled = np.zeros((docs, FEATURES), made.dtype)
         np.maximum.at(pooled, owner, made)
         wrong = (self.probability(pooled) - labels) * weights
         d_pooled = wrong[:, None] * p["out"][None]
@@ -261,7 +261,7 @@ def fit_quality(
     sample.sort(key=lambda r: (r["id"], r["chunks"]))
     targets = np.array([r["label"] for r in sample], np.float32)
     if not len(targets) or targets.min() == targets.max():
-        return Constant(float((targets.sum() + 1) / (len(targets) + 2)))
+        return Constant((float(targets.sum()) + 1) / (len(targets) + 2))
     return Network().fit([(bytes(r["chunks"]), r["valid"]) for r in sample], targets, epochs)
 
 
