@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog.base import (
     HEAD_SQL, RULE_SQL, big, documents, events, head_and_rest, key_sql, number_sql, predictions, register,
@@ -338,10 +338,8 @@ def slugify(spark, sf):
 )
 def string_sorted(spark, sf):
     distinct = table(spark, sf, "customer").select(F.col("c_nationkey").alias("label")).distinct()
-    ordered = C.string_sorted(distinct).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("label").cast("string").alias("s"), "label"))).alias("l")
-    )
-    return ordered.select(F.posexplode("l").alias("p", "e")).select("e.label", big(F.col("p") + 1).alias("place"))
+    ordered = C.string_sorted(distinct).withColumn("at", F.monotonically_increasing_id())
+    return ordered.select("label", big(F.row_number().over(Window.orderBy("at"))).alias("place"))
 
 
 @register(

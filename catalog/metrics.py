@@ -385,18 +385,20 @@ def errors_of(spark, sf):
     return C.errors_of(predictions(spark, sf)).select("row_id", "true_label", "pred_label")
 
 
+_LINE_STATUS = """CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END"""
+
+
 @register(
     "align_predictions",
-    f"""WITH {RULE_SQL} SELECT true_label, pred_label, count(*) AS n FROM rule GROUP BY 1, 2""",
+    f"""WITH p AS (SELECT l_orderkey AS key, {_LINE_STATUS} AS pred_label FROM lineitem GROUP BY 1)
+        SELECT o_orderstatus AS true_label, pred_label, count(*) AS n FROM orders JOIN p ON key = o_orderkey GROUP BY 1, 2""",
 )
 def align_predictions(spark, sf):
-    rows = rule_predictions(spark, sf).groupBy("l_orderkey", "l_linenumber", "true_label", "pred_label").agg(
-        F.count(F.lit(1)).alias("copies")
-    )
-    keyed = rows.withColumn("key", F.concat_ws(":", "l_orderkey", "l_linenumber", "true_label", "pred_label"))
-    both = E.align_predictions(keyed.select("key", "true_label", "copies"), keyed.select("key", "pred_label"), "key")
-    checked = both.filter(F.col("key").isNotNull())
-    return checked.groupBy("true_label", "pred_label").agg(F.sum("copies").alias("n"))
+    """Order status against what the order's lines say, on the orders that have lines."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.expr(_LINE_STATUS).alias("pred_label"))
+    gold = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("true_label"))
+    gold = gold.join(lines.select("key"), "key", "left_semi")
+    return E.align_predictions(gold, lines, "key").groupBy("true_label", "pred_label").agg(F.count("key").alias("n"))
 
 
 @register(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import big, documents, events, key_sql, number_sql, r6, register, table, vectors
+from handful.functions.order import running_totals
 from handful.operators import columns as C, sampling as S
+from handful.session import cut_lineage
 
 
 @register(
@@ -228,9 +230,11 @@ def language_regimes(spark, sf):
         FROM embeddings""",
 )
 def seeded_shuffle(spark, sf):
-    from handful.functions.order import draw_key, exact_rank
-
-    return exact_rank(vectors(spark, sf).select("row_id"), draw_key(42, "row_id"), ["row_id"], name="place")
+    """The operator's order, read off as places of its range partitions."""
+    ordered = C.seeded_shuffle(vectors(spark, sf).select("row_id"), 42)
+    ordered = cut_lineage(ordered.withColumn("at", F.monotonically_increasing_id()), "shuffled")
+    ranked = running_totals(ordered.withColumn("one", F.lit(1)), [], "at", ["one"])
+    return ranked.select("row_id", big(F.col("one_run") - 1).alias("place"))
 
 
 @register(

@@ -231,18 +231,6 @@ def augment_train(
     return balanced_downsample(core.unionByName(cast), size, seed, label, row_id)
 
 
-def augment_cells(
-    train: DataFrame, synthetic: DataFrame, by: Sequence[str], seed="seed", max_examples: int | None = None
-) -> DataFrame:
-    """``augment_train`` in every cell; both inputs have (by, row_id, text, label) with text row ids."""
-    by = list(by)
-    sizes = train.groupBy(*by).agg((F.lit(2) * F.count(F.lit(1))).cast("int").alias("_max"))
-    if max_examples is not None:
-        sizes = sizes.withColumn("_max", F.least("_max", F.lit(max_examples)))
-    rows = train.unionByName(synthetic).join(sizes, by)
-    return downsample_cells(rows, F.col("_max"), by, F.col(seed)).drop("_max")
-
-
 def shuffle_words(text, seed, row_id) -> Column:
     """The words of a text in a seeded order."""
     text = F.col(text) if isinstance(text, str) else text

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from handful.functions.cells import lookup
-from handful.functions.order import draw_key
+from handful.functions.order import draw_key, running_totals
 from handful.session import join_checked
 
 TEXT_LABEL = ("text", "label")
@@ -80,15 +80,6 @@ STAR_NAMES = {
     "es": ["1 estrella", "2 estrellas", "3 estrellas", "4 estrellas", "5 estrellas"],
     "en": ["1 star", "2 stars", "3 stars", "4 stars", "5 stars"],
 }
-LANGUAGE_PATTERNS = {
-    "zh": "[TEXT1] 这是 [LBL]",
-    "de": "[TEXT1] dies ist [LBL]",
-    "fr": "[TEXT1] est noté [LBL]",
-    "ja": "[TEXT1]これは[LBL]だ",
-    "es": "[TEXT1] esto es [LBL]",
-    "ru": "[TEXT1] это [LBL]",
-    "en": "[TEXT1] this is [LBL]",
-}
 SIMILARITY_NAMES = ["very different", "different", "dissimilar", "somewhat similar", "similar", "very similar"]
 
 
@@ -150,14 +141,16 @@ def with_default_ordinal(df: DataFrame) -> DataFrame:
 def encode_labels(df: DataFrame, columns: Sequence[str] = ("true_label", "pred_label")) -> DataFrame:
     """Give the text labels of all ``columns`` one shared 0-based code, in text order.
 
-    Only the distinct labels are ranked; the codes come back as a lookup array.
+    Only the distinct labels are ranked, by range partitions; codes come back by a join per column.
     """
-    seen = df.select(F.explode(F.array_distinct(F.array(*[F.col(c).cast("string") for c in columns]))).alias("v"))
-    domain = seen.filter("v is not null").distinct().agg(F.array_sort(F.collect_list("v"))).scalar()
-    return df.withColumn("_domain", domain).select(
-        *df.columns,
-        *[(F.array_position("_domain", F.col(c).cast("string")) - 1).cast("int").alias(f"{c}_code") for c in columns],
-    )
+    seen = df.select(F.explode(F.array_distinct(F.array(*[F.col(c).cast("string") for c in columns]))).alias("_v"))
+    domain = seen.filter("_v is not null").distinct().withColumn("_one", F.lit(1))
+    ranked = running_totals(domain, [], "_v", ["_one"])
+    out = df
+    for c in columns:
+        codes = ranked.select(F.col("_v").alias(f"_v_{c}"), (F.col("_one_run") - 1).cast("int").alias(f"{c}_code"))
+        out = join_checked(out.withColumn(f"_v_{c}", F.col(c).cast("string")), codes, f"_v_{c}", "left").drop(f"_v_{c}")
+    return out
 
 
 def seeded_shuffle(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:

@@ -16,15 +16,11 @@ from handful.functions.order import quantiles
 from handful.functions.text import unique_join
 
 CELL = ["dataset", "sample_size", "split"]
+# The columns of the raw run table, in order.
 RAW_FIELDS = [
     "dataset", "sample_size", "seed", "iteration", "split", "method", "accuracy", "macro_f1",
     "delta_vs_vanilla", "delta_vs_random_aug", "per_class_accuracy_delta", "result_file",
 ]
-SUMMARY_FIELDS = [
-    "dataset", "sample_size", "split", "method", "n_runs", "accuracy_mean", "accuracy_std", "macro_f1_mean",
-    "macro_f1_std", "delta_error_driven_vs_vanilla", "delta_random_aug_vs_vanilla",
-    "delta_error_driven_vs_random_aug",
-]
 _VERSUS = [("random_aug", "vanilla"), ("error_driven", "vanilla"), ("error_driven", "random_aug")]
 
 
