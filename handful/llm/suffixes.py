@@ -6,15 +6,19 @@ id, or earlier in the same document. Only the suffixes at anchors are sorted. Th
 equal windows have their anchors at the same offset, and each window belongs to one anchor.
 
 1. Texts are written as runs of a few megabytes, bucketed by run; later steps read runs where they lie.
-2. Every run sends the hashes of its anchors' heads; one bit per head comes back: does another run have
-   it, too? Heads found once take part no further, so unique text is never exchanged.
+2. Every run sends the hashes and counts of its anchors' heads; two bits per head come back: does another run have
+   it, too, and are there more than ``hot`` of it? Heads found once take part no further, so unique
+   text is never exchanged.
 3. Every run sorts its remaining suffixes, each with the bytes that its windows reach to the left. Equal ones are
    collapsed to the first, which settles the others. The sorted run is front-coded (length of the
    prefix shared with the suffix before, then the rest) and cut at splitters of the heads.
 4. One task per range combines its runs with a loser tree that compares suffixes only past the prefix
    both are known to share with the last one out. Suffixes with the same head stand next to each other; the
    windows of each are looked up among the earlier ones, and compared byte for byte.
-5. The windows found go back to the runs, which cut the bytes they cover.
+5. Suffixes with a hot head, say inside a line of a third of all documents, would fill one range. Their windows go
+   by a 128-bit digest instead, the first of each in a run only, so equal ones meet once per run
+   and different ones spread over all tasks.
+6. The windows found go back to the runs, which cut the bytes they cover.
 
 Defined results: a null text is empty; documents shorter than ``length`` keep all bytes. Rows without id come
 after all others. Rows that repeat an id are one document: a string at the same id and start is not
@@ -38,6 +42,7 @@ RUN_BYTES = 4 << 20
 SLICE = 1 << 15
 PIECE = 1 << 16
 SPLITTER_SAMPLE = 50_000
+HOT = 4096
 LAST_ID = np.iinfo(np.int64).max
 LOW32 = np.uint64(0xFFFFFFFF)
 _RNG = np.random.default_rng(20240229)
@@ -261,6 +266,34 @@ def repeated_windows(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, start
     return (row, offset) if same.all() else compared_windows(text, group, place, ids, starts, counts, length, right)
 
 
+WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("start", "<i4"), ("owner", "<i4")])
+
+
+def digests(run: Run, chosen: np.ndarray) -> np.ndarray:
+    """All windows of some anchors, by digest."""
+    counts = run.last[chosen] - run.first[chosen] + 1
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = np.repeat(run.first[chosen], counts) + nth
+    data = run.data.tobytes()
+    made = b"".join(hashlib.blake2b(data[b : b + run.length], digest_size=16).digest() for b in begin.tolist())
+    out = np.zeros(len(begin), WINDOW)
+    both = np.frombuffer(made, "<u8").reshape(-1, 2)
+    out["high"], out["low"] = both[:, 0], both[:, 1]
+    out["owner"] = np.repeat(run.owner[chosen], counts)
+    out["id"], out["start"] = run.ids[out["owner"]], begin - run.begins[out["owner"]]
+    return out
+
+
+def later_windows(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows in order of digest and place, which of them an earlier place has, too)."""
+    found = found[np.lexsort((found["start"], found["id"], found["low"], found["high"]))]
+    if not len(found):
+        return found, np.zeros(0, bool)
+    new = np.r_[True, (found["high"][1:] != found["high"][:-1]) | (found["low"][1:] != found["low"][:-1])]
+    leader = found[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return found, (leader["id"] != found["id"]) | (leader["start"] != found["start"])
+
+
 def spans(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
     return np.stack([owner, first, last], 1).astype("<i4").tobytes()
 
@@ -315,7 +348,9 @@ def run_of(docs: pa.Table, length: int) -> Run:
     return Run(byte_values(docs["text"].combine_chunks()), docs["id"].to_pylist(), length)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, hot: int = HOT
+) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256."""
     if not HEAD < length <= 127 + HEAD:
         raise ValueError(f"length is from {HEAD + 1} to {127 + HEAD}")
@@ -325,7 +360,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     width = 2 * length - HEAD + 2
 
     sent = pa.schema(
-        [("bucket", pa.int32()), ("run", pa.int64()), ("heads", pa.binary()), ("sample", pa.list_(pa.binary()))]
+        [
+            ("bucket", pa.int32()),
+            ("run", pa.int64()),
+            ("heads", pa.binary()),
+            ("counts", pa.binary()),
+            ("sample", pa.list_(pa.binary())),
+        ]
     )
 
     def bucket_bounds(found: np.ndarray) -> np.ndarray:
@@ -334,7 +375,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def heads(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         own = run_of(table, length)
-        found = np.unique(own.hash)
+        found, times = np.unique(own.hash, return_counts=True)
+        times = np.minimum(times, 0xFFFF).astype("<u2")
         bounds = bucket_bounds(found)
         full = np.flatnonzero(np.diff(bounds))
         step = max(1, len(own.place) // 32)
@@ -346,31 +388,32 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     bucket=full,
                     run=np.full(len(full), name[0].as_py()),
                     heads=[found[bounds[b] : bounds[b + 1]].astype("<u8").tobytes() for b in full.tolist()],
+                    counts=[times[bounds[b] : bounds[b + 1]].tobytes() for b in full.tolist()],
                     sample=[drawn if k == 0 else [] for k in range(len(full))],
                 )
             ]
         )
 
-    told = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
+    told = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary()), ("hot", pa.binary())])
 
     def compare(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(b, "<u8") for b in byte_values(table["heads"].combine_chunks())]
-        both = np.sort(np.concatenate(lists))
-        twice = np.unique(both[1:][both[1:] == both[:-1]])
-        bits = []
-        for own in lists:
-            at = np.searchsorted(twice, own)
-            hit = twice[np.minimum(at, len(twice) - 1)] == own if len(twice) else np.zeros(len(own), bool)
-            bits.append(np.packbits(hit).tobytes())
+        counts = np.frombuffer(b"".join(byte_values(table["counts"].combine_chunks())), "<u2")
+        _, back, runs_with = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        twice = (runs_with > 1)[back]
+        full = twice & (np.bincount(back, counts) > hot)[back]
+        cuts = np.cumsum([0, *map(len, lists)]).tolist()
+        packed = [[np.packbits(x[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])] for x in (twice, full)]
         return pa.Table.from_batches(
-            [as_batch(told, run=table["run"].combine_chunks(), bucket=[name[0].as_py()] * len(bits), bits=bits)]
+            [as_batch(told, run=table["run"].combine_chunks(), bucket=[name[0].as_py()] * len(lists), bits=packed[0], hot=packed[1])]
         )
 
     announced = cut_lineage(
-        runs.groupBy("run").applyInArrow(heads, "bucket int, run bigint, heads binary, sample array<binary>"), "suffix-heads"
+        runs.groupBy("run").applyInArrow(heads, "bucket int, run bigint, heads binary, counts binary, sample array<binary>"),
+        "suffix-heads",
     )
-    repeated = announced.select("bucket", "run", "heads").groupBy("bucket").applyInArrow(
-        compare, "run bigint, bucket int, bits binary"
+    repeated = announced.select("bucket", "run", "heads", "counts").groupBy("bucket").applyInArrow(
+        compare, "run bigint, bucket int, bits binary, hot binary"
     )
     sample = announced.where(F.size("sample") > 0).select(F.explode("sample").alias("head"))
     drawn = [bytes(r["head"]) for r in sample.orderBy(F.xxhash64("head")).limit(SPLITTER_SAMPLE).collect()]
@@ -387,15 +430,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         run = name[0].as_py()
         found, back, times = np.unique(own.hash, return_inverse=True, return_counts=True)
         bounds = bucket_bounds(found)
-        marked = times > 1
-        for bucket, bits in zip(flags["bucket"].to_pylist(), byte_values(flags["bits"].combine_chunks())):
+        marked, full = times > 1, np.zeros(len(found), bool)
+        for bucket, bits, more in zip(
+            flags["bucket"].to_pylist(), *(byte_values(flags[c].combine_chunks()) for c in ("bits", "hot"))
+        ):
             a, b = bounds[bucket], bounds[bucket + 1]
             marked[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            full[a:b] = np.unpackbits(np.frombuffer(more, np.uint8), count=b - a).astype(bool)
         wanted = np.flatnonzero(marked[back])
         # In the order of ids and places, so that the first of equal suffixes is the earliest.
         starts = own.place - own.begins[own.owner]
         wanted = wanted[np.lexsort((starts[wanted], own.ids[own.owner[wanted]]))]
-        out = []
+        out, crowded = [], []
         for at in range(0, len(wanted), SLICE):
             chosen = wanted[at : at + SLICE]
             rows = own.suffixes(chosen)
@@ -412,13 +458,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 windows = spans(own.owner[settled], own.first[settled] - begin, own.last[settled] - begin)
                 out.append((-1, run, windows))
             # A suffix equal to the leader in id and start as well goes on with it.
-            stays = ~later
+            crowded.append(chosen[~later & full[back[chosen]]])
+            stays = ~later & ~full[back[chosen]]
             rows, ids, start, owner = rows[stays], ids[stays], start[stays], owner[stays]
             part = np.searchsorted(splitters, np.ascontiguousarray(rows[:, :HEAD]).view(f"S{HEAD}").reshape(-1), "right")
             cuts = np.searchsorted(part, np.arange(len(splitters) + 2))
             for p in np.unique(part).tolist():
                 a, b = cuts[p], cuts[p + 1]
                 out.append((p, run, pack(rows[a:b], ids[a:b], start[a:b], owner[a:b])))
+        if crowded and len(chosen := np.concatenate(crowded)):
+            many, later = later_windows(digests(own, chosen))
+            if later.any():
+                out.append((-1, run, to_spans(many["owner"][later], many["start"][later])))
+            many = many[~later]
+            bucket = ((many["high"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cuts = np.searchsorted(bucket, np.arange(parts + 1))
+            out += [(-2 - b, run, many[cuts[b] : cuts[b + 1]].tobytes()) for b in np.unique(bucket).astype(int).tolist()]
         if not out:
             return sorted_run.empty_table()
         part, names, blocks = zip(*out)
@@ -473,8 +528,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             return windows.empty_table()
         return pa.Table.from_batches([as_batch(windows, run=[o[0] for o in out], spans=[o[1] for o in out])])
 
+    def look_up(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names = table["run"].to_numpy()
+        lists = [np.frombuffer(b, WINDOW) for b in byte_values(table["block"].combine_chunks())]
+        run = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        found = np.concatenate(lists)
+        order = np.lexsort((found["start"], found["id"], found["low"], found["high"]))
+        run = run[order]
+        found, later = later_windows(found[order])
+        out = []
+        for r in np.unique(run[later]).tolist():
+            mine = later & (run == r)
+            out.append((names[r], to_spans(found["owner"][mine], found["start"][mine])))
+        if not out:
+            return windows.empty_table()
+        return pa.Table.from_batches([as_batch(windows, run=[o[0] for o in out], spans=[o[1] for o in out])])
+
+    crowd = sorted_runs.where("part <= -2").groupBy("part").applyInArrow(look_up, "run bigint, spans binary")
     merged = sorted_runs.where("part >= 0").groupBy("part").applyInArrow(combine, "run bigint, spans binary")
-    settled = sorted_runs.where("part < 0").select("run", F.col("block").alias("spans"))
+    settled = sorted_runs.where("part = -1").select("run", F.col("block").alias("spans"))
     results = pa.schema(
         [
             ("id", pa.int64()),
@@ -511,7 +583,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     return (
         runs.groupBy("run")
-        .cogroup(merged.unionByName(settled).groupBy("run"))
+        .cogroup(merged.unionByName(settled).unionByName(crowd).groupBy("run"))
         .applyInArrow(
             cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
         )

@@ -223,15 +223,15 @@ def brute_passages(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("run_bytes, piece, slices", [(4 << 20, 1 << 16, 1 << 15), (3000, 64, 17)])
-def test_passages(spark, monkeypatch, run_bytes, piece, slices):
+@pytest.mark.parametrize("run_bytes, hot", [(4 << 20, 4096), (3000, 4096), (3000, 1), (3000, 3)])
+def test_passages(spark, monkeypatch, run_bytes, hot):
     monkeypatch.setattr(suffixes, "RUN_BYTES", run_bytes)
     rng = random.Random(5)
     rows = cases.documents()
     passage = cases.prose(rng, 60)
     rows += [(300 + i, cases.prose(rng, 5) + passage[i * 3 : 200 + i * 7] + cases.prose(rng, 9), "en", "s", 1) for i in range(12)]
     rows += [(400, "\0" * 300 + "a" * 250 + "\0" * 150, "en", "s", 1), (7, "a" * 130 + passage, "en", "s", 1)]
-    got = suffixes.remove_repeats(cases.table(spark, rows, extra=True))
+    got = suffixes.remove_repeats(cases.table(spark, rows, extra=True), hot=hot)
     assert collected(got, "id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_passages(rows)
 
 
