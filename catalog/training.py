@@ -7,6 +7,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.sql import functions as F
 
 from catalog.base import big, documents, key_sql, number_sql, r6, register, table, vectors
+from catalog.pairs import _drawn_sql
 from handful.operators import heads as H, losses as L, metrics as E, sampling as S, scoring as M
 from handful.operators.pairs import drawn_pairs
 from handful.plans import benchmark as B, training as T
@@ -57,6 +58,16 @@ def embed_hashed_words(spark, sf):
     return rows.select("row_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+@register(
+    "embed_hashed_words_totals",
+    r"""SELECT doc_id AS row_id, len(regexp_extract_all(lower(text), '[a-z0-9_]+'))::DOUBLE AS n_words FROM documents""",
+)
+def embed_hashed_words_totals(spark, sf):
+    """Whatever the buckets, their counts add up to the words of the text."""
+    rows = M.embed(documents(spark, sf, "row_id", "text"), dim=64)
+    return rows.select("row_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("n_words"))
+
+
 # --- heads ------------------------------------------------------------------------------
 
 
@@ -194,6 +205,20 @@ def fit_adapter(spark, sf):
     return spark.createDataFrame(list(enumerate(round(x, 6) for x in losses)), "epoch int, loss double")
 
 
+@register(
+    "fit_adapter_first_loss",
+    f"""WITH {_drawn_sql('embeddings', 'vec_id', 'label')},
+        s AS (SELECT drawn.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
+              FROM drawn JOIN embeddings a ON a.vec_id = id_1 JOIN embeddings b ON b.vec_id = id_2)
+        SELECT round(avg((c - label) * (c - label)), 6) AS loss FROM s""",
+)
+def fit_adapter_first_loss(spark, sf):
+    """Before the first step the map is the identity, so its loss is that of the raw pairs."""
+    rows = vectors(spark, sf)
+    _, losses = T.fit_adapter(drawn_pairs(rows.select("row_id", "label"), 3), rows, epochs=1)
+    return spark.createDataFrame([(round(losses[0], 6),)], "loss double")
+
+
 @register("train_and_evaluate")
 def train_and_evaluate(spark, sf):
     train, test = _split_vectors(spark, sf)
@@ -220,7 +245,8 @@ def distill(spark, sf):
     split = S.train_test_split(docs, 0.5, 7)
     teacher = T.train(S.sample_per_class(split.filter("not is_test").drop("is_test"), n=8), letter_encoder, epochs=0)
     rest = split.filter("is_test").drop("is_test")
-    student = T.distill(S.sample_uniform(rest.select("row_id", "text"), 60), teacher, dim=64, epochs=1)
+    share = rest.filter(S.hash_fraction(11) < 0.2).select("row_id", "text")
+    student = T.distill(share, teacher, dim=64, epochs=1, num_iterations=2)
     return T.evaluate(student, rest, "accuracy").withColumn("value", r6("value"))
 
 

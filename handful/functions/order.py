@@ -27,22 +27,15 @@ def draw_number(key: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")
 
 
-def first_per_group(
-    df: DataFrame, by: Sequence, order: Sequence, n: int, rank: str = "rn", salts: int = 64
-) -> DataFrame:
-    """Keep the first ``n`` rows of each group, adding their rank from 1.
+def first_per_group(df: DataFrame, by: Sequence, order: Sequence, n: int, rank: str = "rn") -> DataFrame:
+    """Keep the first ``n`` rows of each group, adding their rank from 1; n is at most ``GROUP_LIMIT``.
 
-    Up to ``GROUP_LIMIT`` Spark trims every map partition to n rows per group
-    before the shuffle, so a dominant group never reaches one task whole.  For
-    larger n the groups are first trimmed inside hash salts, then ranked.
+    Spark trims every map partition to n rows per group before the shuffle, so a dominant group never
+    reaches one task whole.  Beyond the limit use ``exact_rank``.
     """
-    by = [_col(c) for c in by]
-    order = [_col(c) for c in order]
     if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*order), F.lit(salts))
-        inner = Window.partitionBy(*by, salt).orderBy(*order)
-        df = df.withColumn("_in_salt", F.row_number().over(inner)).filter(F.col("_in_salt") <= n).drop("_in_salt")
-    window = Window.partitionBy(*by).orderBy(*order)
+        raise ValueError(f"first_per_group keeps at most {GROUP_LIMIT} rows of a group; exact_rank has no limit")
+    window = Window.partitionBy(*[_col(c) for c in by]).orderBy(*[_col(c) for c in order])
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 

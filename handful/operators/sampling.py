@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handful.functions.order import (
-    KEY_DIGITS, among_first, draw_key, draw_number, first_per_group, key_bound, slack, take_first,
+    GROUP_LIMIT, KEY_DIGITS, among_first, draw_key, draw_number, exact_rank, first_per_group, key_bound, slack, take_first,
 )
 from handful.session import cut_lineage, join_checked
 
@@ -44,7 +44,11 @@ def _first_drawn(
     narrow = df.select(*group, row_id).dropna(subset=group)
 
     def ranked(rows: DataFrame) -> DataFrame:
-        return first_per_group(rows, [*group, "split_idx", "seed"], ["_key", row_id], n)
+        by = [*group, "split_idx", "seed"]
+        if n <= GROUP_LIMIT:
+            return first_per_group(rows, by, ["_key", row_id], n)
+        places = exact_rank(rows.withColumn("_k", F.col("_key")), F.col("_k"), [row_id], by, name="rn")
+        return places.withColumn("rn", F.col("rn") + 1).filter(F.col("rn") <= n).withColumnRenamed("_k", "_key")
 
     drawn = narrow.select(*group, row_id, F.inline(numbered)).withColumn("_key", draw_key(F.col("seed"), row_id))
     sizes = cut_lineage(narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")), "class-sizes")
@@ -194,16 +198,23 @@ def balanced_downsample(
 ) -> DataFrame:
     """Cut to ``max_size`` rows with even class shares; what small classes leave free goes to the others.
 
-    A kept row is always among the first ``max_size`` of its class, so classes are
-    trimmed to that before anything is sorted together.
+    Ranks inside a class and among the rows left over come from slices of the draw keys, so a class of any
+    size is spread over many tasks.  Nothing is ranked when nothing is to be cut.
     """
     if max_size is None:
         return df
-    narrow = df.select(row_id, label).withColumn("_key", draw_key(seed, row_id))
-    quotas = class_quotas(narrow, label, max_size)
-    ranked = first_per_group(narrow, [label], ["_key", row_id], max(max_size, 1)).join(quotas, label)
-    spill = F.when(F.col("rn") > F.col("quota"), F.lit("1")).otherwise(F.lit("0"))
-    picked = take_first(ranked, F.concat(spill, F.col("_key")), [row_id], max_size).select(row_id)
+    narrow = df.select(row_id, label)
+    quotas = cut_lineage(class_quotas(narrow, label, max_size), "quotas")
+    counts = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total, kept = counts.join(quotas, label).agg(F.max("total"), F.sum(F.least("_n", "quota"))).first()
+    if (total or 0) <= max_size:
+        return df
+    ranked = exact_rank(narrow, draw_key(seed, row_id), [row_id], [label], name="_rank")
+    ranked = cut_lineage(join_checked(ranked, quotas.select(label, "quota"), label), "class-ranks")
+    picked = ranked.filter("_rank < quota").select(row_id)
+    if kept < max_size:
+        rest = ranked.filter("_rank >= quota").select(row_id)
+        picked = picked.unionByName(take_first(rest, draw_key(seed, row_id), [row_id], max_size - kept))
     return join_checked(df, picked, row_id).select(*df.columns)
 
 
