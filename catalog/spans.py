@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from catalog.base import big, documents, r6, register, table
 from handful.functions.text import nth_occurrence
 from handful.operators import spans as P
+from handful.session import cut_lineage
 
 
 def rule_tagger():
@@ -90,7 +91,8 @@ _GOLD = """gold AS (SELECT ann.id, x.i AS a, y.i + 1 AS b, label FROM ann JOIN h
 
 
 def annotated(spark, sf):
-    docs = tagged(spark, sf)
+    """(annotations, documents); the documents are tagged once."""
+    docs = cut_lineage(tagged(spark, sf), "tagged")
     word = F.get("tokens", ((F.col("row_id") * 7) % F.size("tokens")).cast("int"))["text"]
     rows = docs.filter(F.size("tokens") > 0).select(
         "row_id", "text", word.alias("span"), (F.col("row_id") % 2).cast("int").alias("ordinal"), F.col("lang").alias("label")
@@ -124,6 +126,18 @@ def gold_spans(spark, sf):
     return placed.select("row_id", big("gold.start").alias("start"), big("gold.stop").alias("stop"))
 
 
+@register(
+    "gold_spans_by_text",
+    f"""WITH {_TOK}, {_ANN}, {_APART}, {_GOLD}
+        SELECT ann.id AS row_id, a AS start, b AS stop FROM ann LEFT JOIN gold USING (id)""",
+)
+def gold_spans_by_text(spark, sf):
+    """Texts as keys: copies of a text do not multiply its annotations."""
+    rows, docs = annotated(spark, sf)
+    placed = P.gold_spans(rows, docs, overlapping=False)
+    return placed.select("row_id", big("gold.start").alias("start"), big("gold.stop").alias("stop"))
+
+
 _FALSE = """fake AS (SELECT asp.id, asp.a, asp.b FROM asp JOIN ann USING (id)
     WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.id = asp.id AND asp.a <= g.b AND g.a <= asp.b))"""
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from handful.functions.text import nth_occurrence
 from handful.operators.columns import with_default_ordinal
 from handful.operators.metrics import accuracy
+from handful.session import cut_lineage
 
 # Tags that make an aspect, and how many words around it the two models read.
 ASPECT_TAGS = ["NOUN", "PROPN"]
@@ -151,6 +152,11 @@ def prepend_span(spans: DataFrame, context: int, text: str = "text", out: str =
     return spans.withColumn(out, F.concat(span_text(text, f"at_{context}"), F.lit(":"), F.col(text)))
 
 
+def distinct_documents(docs: DataFrame, key: str) -> DataFrame:
+    """One row per text where texts are the key; documents with an id of their own stay as they are."""
+    return docs.dropDuplicates([key]) if key == "text" else docs
+
+
 def gold_spans(
     df: DataFrame, docs: DataFrame, overlapping: bool, key: str = "text", tokens: str = "tokens"
 ) -> DataFrame:
@@ -160,7 +166,7 @@ def gold_spans(
     and end with tokens.  Searching may overlap (training) or not (prediction).
     """
     rows = with_default_ordinal(df)
-    joined = rows.join(docs.select(key, tokens), key)
+    joined = rows.join(distinct_documents(docs.select(key, tokens), key), key)
     begin = nth_occurrence("text", "span", F.col("ordinal"), overlapping)
     at = joined.withColumn("_begin", begin).withColumn("_end", F.col("_begin") + F.length("span"))
     first = F.array_position(F.transform(tokens, lambda t: t["start"]), F.col("_begin"))
@@ -191,9 +197,11 @@ def span_training_sets(
     Aspect rows are the gold spans (true) and the extracted spans that touch none (false);
     polarity rows are the gold spans with their labels.
     """
+    # The tokens of annotated documents, written once, serve the gold spans and the candidates.
+    annotated = docs.join(df.select(key).distinct(), key, "left_semi")
+    docs = annotated = cut_lineage(distinct_documents(annotated, key), "annotated")
     placed = gold_spans(df, docs, overlapping=True, key=key, tokens=tokens)
     gold = placed.filter("gold is not null")
-    annotated = docs.join(df.select(key).distinct(), key, "left_semi")
     candidates = explode_aspects(annotated, [key], [ASPECT_CONTEXT], tokens)
     false = non_overlapping(candidates, gold.select(key, "gold"), key)
     placed_gold = place_span(gold.drop("span").withColumnRenamed("gold", "span"), tokens=tokens)
@@ -220,6 +228,7 @@ def predict_spans(docs: DataFrame, aspect_model: Model, polarity_model: Model, k
     A model adds ``pred_label`` to rows with ``input``.  Candidates and both models run
     without a shuffle; only the short spans are gathered per text.
     """
+    docs = cut_lineage(docs, "tagged")
     candidates = explode_aspects(docs, [key, "text"])
     kept = filter_aspects(aspect_model(prepend_span(candidates, ASPECT_CONTEXT))).drop("pred_label", "input")
     judged = polarity_model(prepend_span(kept, POLARITY_CONTEXT))
