@@ -50,12 +50,15 @@ def sampled_chunks(text: bytes, max_chunks: int) -> tuple[bytes, list[int]]:
 
 
 def pieces(text: bytes):
-    """The text, or where it is long, pieces that together have the same chunks."""
+    """(piece, chunks): the text, or where it is long, pieces that together have its chunks.
+
+    Lags do not reach from a piece into the one before.
+    """
     starts = len(chunk_starts(len(text)))
     step = PIECE // HOP
     for first in range(0, starts, step):
         n = min(step, starts - first)
-        yield text[first * HOP : (first + n + 1) * HOP + (WIDTH - STRIDE if first + n < starts else 0)]
+        yield text[first * HOP : (first + n + 1) * HOP + WIDTH - STRIDE], n
 
 
 def repeats(data: np.ndarray) -> np.ndarray:
@@ -105,11 +108,11 @@ class Network:
     def score_all(self, texts: list[bytes]) -> list[float]:
         """Probability of class 1 of each text, from all its chunks."""
         pooled = np.zeros((len(texts), FEATURES), np.float32)
-        parts: list[tuple[int, bytes]] = []
+        parts: list[tuple[int, bytes, int]] = []
         held = 0
         for owner, text in enumerate(texts):
-            for part in pieces(text):
-                parts.append((owner, part))
+            for part, n in pieces(text):
+                parts.append((owner, part, n))
                 held += len(part)
                 if held >= PIECE:
                     self.pool(parts, pooled)
@@ -118,12 +121,12 @@ class Network:
             self.pool(parts, pooled)
         return self.probability(pooled).astype(float).tolist()
 
-    def pool(self, parts: list[tuple[int, bytes]], pooled: np.ndarray) -> None:
+    def pool(self, parts: list[tuple[int, bytes, int]], pooled: np.ndarray) -> None:
         """Raise the maxima of the owners of some pieces, laid out in one run with zeros between them."""
-        chunks = np.array([len(chunk_starts(len(part))) for _, part in parts])
+        chunks = np.array([n for _, _, n in parts])
         slots = chunks + 2
-        row = np.frombuffer(b"".join(p.ljust(n * HOP, b"\0") for (_, p), n in zip(parts, slots.tolist())), np.uint8)
-        sizes = np.array([len(part) for _, part in parts])
+        row = np.frombuffer(b"".join(part.ljust((n + 2) * HOP, b"\0") for _, part, n in parts), np.uint8)
+        sizes = np.array([len(part) for _, part, _ in parts])
         begins = np.r_[0, np.cumsum(slots)[:-1]]
         steps = HOP // STRIDE
         seen = self.windows(row)
@@ -138,7 +141,7 @@ class Network:
         averages = both[:, :FILTERS] / np.clip(-(-left // STRIDE), 1, WINDOWS)[:, None]
         again = REPEAT_SCALE * both[:, FILTERS:].max(1) / np.clip(left, 1, CHUNK)
         made = self.features(np.concatenate([averages, again[:, None]], 1, dtype=np.float32))
-        np.maximum.at(pooled, np.repeat([owner for owner, _ in parts], chunks), made)
+        np.maximum.at(pooled, np.repeat([owner for owner, _, _ in parts], chunks), made)
 
     def gradients(self, data, valid, owner, docs: int, labels, weights) -> dict[str, np.ndarray]:
         """Of the weighted log loss of ``docs`` texts; chunk k belongs to text ``owner[k]`` (ascending)."""
