@@ -32,6 +32,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from handful.llm.common import as_batch, byte_values
@@ -39,7 +40,7 @@ from handful.session import cut_lineage, shared_path
 
 HEAD = 32
 RUN_BYTES = 4 << 20
-SLICE = 1 << 15
+SLICE = 1 << 16
 PIECE = 1 << 16
 SPLITTER_SAMPLE = 50_000
 HOT = 4096
@@ -137,11 +138,12 @@ def pack(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, owners: np.ndarr
     shared = shared_sizes(rows)
     rest = rows[np.arange(rows.shape[1]) >= shared[:, None]]
     parts = [np.array([len(rows)], "<i4"), shared, ids.astype("<i8"), starts.astype("<i4"), owners.astype("<i4"), rest]
-    return b"".join(p.tobytes() for p in parts)
+    return zstandard.compress(b"".join(p.tobytes() for p in parts), 3)
 
 
 def unpack(block: bytes, width: int):
     """(shared sizes, ids, starts, owners, rows as bytes) of a front-coded block."""
+    block = zstandard.decompress(block)
     n = int(np.frombuffer(block, "<i4", 1)[0])
     shared = np.frombuffer(block, np.uint8, n, 4)
     ids = np.frombuffer(block, "<i8", n, 4 + n)
@@ -206,22 +208,34 @@ def merge(runs: list[tuple[list[int], list[bytes]]]):
     while rows[top] is not None:
         yield top, number[top], shared[top]
         sizes, own = runs[top]
-        number[top] += 1
-        if number[top] < len(own):
-            rows[top], shared[top] = own[number[top]], sizes[number[top]]
+        number[top] = nth = number[top] + 1
+        if nth < len(own):
+            x, p = own[nth], sizes[nth]
         else:
-            rows[top] = None
+            x, p = None, 0
+        rows[top], shared[top] = x, p
         at = (leaves + top) // 2
         while at:
-            top, loser[at] = play(top, loser[at])
+            other = loser[at]
+            y = rows[other]
+            if y is not None:
+                q = shared[other]
+                swap = x is None or q > p
+                if q == p and x is not None:
+                    same = first_difference(x, y, p)
+                    swap = other < top if same == len(x) else y[same] < x[same]
+                    shared[top if swap else other] = same
+                if swap:
+                    top, loser[at] = other, top
+                    x, p = y, shared[other]
             at //= 2
 
 
-def compared_windows(text, group, place, ids, starts, counts, length, right):
-    """As ``repeated_windows``, where two different windows share a hash: by their bytes."""
+def compared_windows(text, group, ids, starts, counts, length, right):
+    """As ``repeated_windows``, where two different windows share a hash: by their bytes, rows in order of places."""
     first: dict[tuple[int, int, bytes], int] = {}
     found = []
-    for r in np.argsort(place).tolist():
+    for r in range(len(text)):
         for offset in range(length - int(right[r]), length - int(right[r]) + int(counts[r])):
             begin = length - HEAD - offset
             k = first.setdefault((int(group[r]), offset, text[r, begin : begin + length].tobytes()), r)
@@ -237,6 +251,9 @@ def repeated_windows(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, start
     ``starts`` are the anchors' places in their documents; the window at offset d starts d bytes before.
     """
     back = length - HEAD
+    # In the order of places, so that the first of equal windows is the earliest.
+    sorted_by = np.lexsort((starts, ids))
+    rows, group, ids, starts = rows[sorted_by], group[sorted_by], ids[sorted_by], starts[sorted_by]
     right, left = rows[:, length].astype(np.int64), rows[:, -1].astype(np.int64)
     text = np.concatenate([rows[:, -2:length:-1], rows[:, :length]], 1)
     # Hash of a window from hashes of the row's beginnings: h(i + length) - h(i) * BASE^length.
@@ -245,25 +262,26 @@ def repeated_windows(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, start
         upto[k + 1] = upto[k] * np.uint64(BASE) + BYTE_HASH[column]
     counts = np.maximum(left - (length - right) + 1, 0)
     row = np.repeat(np.arange(len(rows)), counts)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(length - right, counts)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts - (length - right), counts)
     begin = back - offset
     key = upto[begin + length, row] - upto[begin, row] * np.uint64(pow(BASE, length, 1 << 64))
     key ^= (group[row] * 128 + offset).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    place = np.empty(len(rows), np.int64)
-    place[np.lexsort((starts, ids))] = np.arange(len(rows))
-    order = np.lexsort((place[row], key))
-    row, offset, key = row[order], offset[order], key[order]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    leader = row[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else row
+    again = np.flatnonzero(~new)
+    first = order[np.flatnonzero(new)[np.cumsum(new)[again] - 1]]
+    row, offset, leader = row[order[again]], offset[order[again]], row[first]
     later = (ids[row] != ids[leader]) | (starts[row] != starts[leader])
-    row, offset, leader = row[~new & later], offset[~new & later], leader[~new & later]
+    row, offset, leader = row[later], offset[later], leader[later]
     # Byte for byte: no difference between the row and the leader inside the window.
-    pairs, of = np.unique(np.stack([row, leader]), axis=1, return_inverse=True)
-    apart = np.zeros((pairs.shape[1], text.shape[1] + 1), np.int16)
-    np.cumsum(text[pairs[0]] != text[pairs[1]], axis=1, out=apart[:, 1:])
-    of = of.reshape(-1)
+    pairs, of = np.unique(row * len(rows) + leader, return_inverse=True)
+    apart = np.zeros((len(pairs), text.shape[1] + 1), np.uint8)
+    np.cumsum(text[pairs // len(rows)] != text[pairs % len(rows)], axis=1, out=apart[:, 1:])
     same = apart[of, back - offset + length] == apart[of, back - offset]
-    return (row, offset) if same.all() else compared_windows(text, group, place, ids, starts, counts, length, right)
+    if not same.all():
+        row, offset = compared_windows(text, group, ids, starts, counts, length, right)
+    return sorted_by[row], offset
 
 
 WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("start", "<i4"), ("owner", "<i4")])
@@ -428,6 +446,7 @@ def remove_repeats(
             return sorted_run.empty_table()
         own = run_of(table, length)
         run = name[0].as_py()
+        settled_part = 2 * parts + run % parts
         found, back, times = np.unique(own.hash, return_inverse=True, return_counts=True)
         bounds = bucket_bounds(found)
         marked, full = times > 1, np.zeros(len(found), bool)
@@ -456,7 +475,7 @@ def remove_repeats(
             begin = own.begins[own.owner[settled]]
             if len(settled):
                 windows = spans(own.owner[settled], own.first[settled] - begin, own.last[settled] - begin)
-                out.append((-1, run, windows))
+                out.append((settled_part, run, windows))
             # A suffix equal to the leader in id and start as well goes on with it.
             crowded.append(chosen[~later & full[back[chosen]]])
             stays = ~later & ~full[back[chosen]]
@@ -469,60 +488,64 @@ def remove_repeats(
         if crowded and len(chosen := np.concatenate(crowded)):
             many, later = later_windows(digests(own, chosen))
             if later.any():
-                out.append((-1, run, to_spans(many["owner"][later], many["start"][later])))
+                out.append((settled_part, run, to_spans(many["owner"][later], many["start"][later])))
             many = many[~later]
             bucket = ((many["high"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(parts + 1))
-            out += [(-2 - b, run, many[cuts[b] : cuts[b + 1]].tobytes()) for b in np.unique(bucket).astype(int).tolist()]
+            out += [(parts + b, run, many[cuts[b] : cuts[b + 1]].tobytes()) for b in np.unique(bucket).astype(int).tolist()]
         if not out:
             return sorted_run.empty_table()
         part, names, blocks = zip(*out)
         return pa.Table.from_batches([as_batch(sorted_run, part=part, run=names, block=blocks)])
 
-    sorted_runs = cut_lineage(
+    sorted_runs = (
         runs.groupBy("run")
         .cogroup(repeated.groupBy("run"))
-        .applyInArrow(sort, "part int, run bigint, block binary"),
-        "suffix-sorted",
+        .applyInArrow(sort, "part int, run bigint, block binary")
     )
     windows = pa.schema([("run", pa.int64()), ("spans", pa.binary())])
 
     def combine(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         names = table["run"].to_pylist()
         blocks = [unpack(b, width) for b in byte_values(table["block"].combine_chunks())]
+        base = np.cumsum([0, *(len(b[0]) for b in blocks)]).tolist()
+        ids, starts, owners = (np.concatenate([b[k] for b in blocks]) for k in (1, 2, 3))
+        all_rows = [row for b in blocks for row in b[4]]
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in blocks]
 
-        def settle(batch: list[tuple[int, int, int]]) -> None:
+        def settle(batch: list[int], sizes: list[int]) -> None:
             """Windows of some whole groups of suffixes with the same head."""
-            run = np.array([b[0] for b in batch])
-            nth = np.array([b[1] for b in batch])
-            group = np.array([b[2] for b in batch])
-            rows = np.frombuffer(b"".join(blocks[r][4][k] for r, k, _ in batch), np.uint8).reshape(-1, width)
-            ids = np.array([blocks[r][1][k] for r, k, _ in batch], np.int64)
-            start = np.array([blocks[r][2][k] for r, k, _ in batch], np.int64)
-            owner = np.array([blocks[r][3][k] for r, k, _ in batch], np.int64)
-            row, offset = repeated_windows(rows, group, ids, start, length)
-            for r in np.unique(run[row]).tolist():
-                mine = run[row] == r
-                found[r].append((owner[row[mine]], (start[row] - offset)[mine]))
-
-        batch: list[tuple[int, int, int]] = []
-        group: list[tuple[int, int]] = []
-        n_groups = 0
+            own = np.array(batch)
+            rows = np.frombuffer(b"".join([all_rows[k] for k in batch]), np.uint8).reshape(-1, width)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            row, offset = repeated_windows(rows, group, ids[own].astype(np.int64), starts[own].astype(np.int64), length)
+            own = own[row]
+            run = np.searchsorted(base, own, "right") - 1
+            order = np.argsort(run, kind="stable")
+            own, run, start = own[order], run[order], (starts[own] - offset)[order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(run)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b > a:
+                    found[run[a]].append((owners[own[a:b]], start[a:b]))
+
+        batch: list[int] = []
+        sizes: list[int] = []
+        group: list[int] = []
         for run, nth, shared in merge([(b[0], b[4]) for b in blocks]):
             if shared < HEAD:
                 if len(group) > 1:
-                    batch += [(r, k, n_groups) for r, k in group]
-                    n_groups += 1
+                    batch += group
+                    sizes.append(len(group))
                     if len(batch) >= 8192:
-                        settle(batch)
-                        batch = []
+                        settle(batch, sizes)
+                        batch, sizes = [], []
                 group = []
-            group.append((run, nth))
+            group.append(base[run] + nth)
         if len(group) > 1:
-            batch += [(r, k, n_groups) for r, k in group]
+            batch += group
+            sizes.append(len(group))
         if batch:
-            settle(batch)
+            settle(batch, sizes)
         out = [(n, to_spans(*(np.concatenate(x) for x in zip(*f)))) for n, f in zip(names, found) if f]
         if not out:
             return windows.empty_table()
@@ -544,9 +567,15 @@ def remove_repeats(
             return windows.empty_table()
         return pa.Table.from_batches([as_batch(windows, run=[o[0] for o in out], spans=[o[1] for o in out])])
 
-    crowd = sorted_runs.where("part <= -2").groupBy("part").applyInArrow(look_up, "run bigint, spans binary")
-    merged = sorted_runs.where("part >= 0").groupBy("part").applyInArrow(combine, "run bigint, spans binary")
-    settled = sorted_runs.where("part = -1").select("run", F.col("block").alias("spans"))
+    def meet(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Ranges of suffixes, then buckets of windows with a hot head, then what the runs settled themselves."""
+        part = name[0].as_py()
+        if part < 2 * parts:
+            return (combine if part < parts else look_up)(name, table)
+        return pa.Table.from_arrays([table["run"], table["block"]], schema=windows)
+
+    # One exchange carries all three kinds, so that runs are sorted once and not written in between.
+    merged = sorted_runs.groupBy("part").applyInArrow(meet, "run bigint, spans binary")
     results = pa.schema(
         [
             ("id", pa.int64()),
@@ -583,7 +612,7 @@ def remove_repeats(
 
     return (
         runs.groupBy("run")
-        .cogroup(merged.unionByName(settled).unionByName(crowd).groupBy("run"))
+        .cogroup(merged.groupBy("run"))
         .applyInArrow(
             cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
         )
