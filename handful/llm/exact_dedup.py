@@ -79,7 +79,7 @@ def stream_groups(staged: DataFrame, path: str, files_per_batch: int) -> DataFra
 def exact_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", files_per_batch: int = 64
 ) -> DataFrame:
-    """One row per row of ``docs``: key, digest, keep, locator, n, kept."""
+    """One row per row of ``docs``: key, digest, keep, locator, n, kept, and ``alike``, its rows of equal id and text."""
     spark = docs.sparkSession
     rows = arrivals(docs, key, text)
     path = shared_path(spark, "exact-arrivals")
@@ -98,25 +98,30 @@ def exact_groups(
     doubted = cut_lineage(
         contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"), "exact-doubted"
     ).select("digest")
-    found = staged.select("key", "digest").join(groups, "digest")
+    found = numbered(staged, "key", "digest").join(groups, "digest")
     if not doubted.isEmpty():
         # Different bytes under one digest: their groups are those of the bytes.
         split = (
-            rows.join(doubted.join(hits, "digest", "left_semi"), "digest", "left_semi")
+            numbered(rows.join(doubted.join(hits, "digest", "left_semi"), "digest", "left_semi"), "key", "digest", "content")
             .join(contents, ["digest", "content"])
-            .select("digest", "key", "keep", F.lit(None).cast("string").alias("locator"), "n")
+            .select("key", "digest", "number", "alike", "keep", F.lit(None).cast("string").alias("locator"), "n")
         )
         found = found.join(doubted, "digest", "left_anti").unionByName(split)
-    alike = W.partitionBy("digest", "key").orderBy("n")
-    return found.withColumn(
-        "kept", F.col("key").eqNullSafe(F.col("keep")) & (F.row_number().over(alike) == 1)
-    )
+    return found.withColumn("kept", F.col("key").eqNullSafe(F.col("keep")) & (F.col("number") == 1))
+
+
+def numbered(rows: DataFrame, *same: str) -> DataFrame:
+    """Rows with their ``number`` among those that agree in some columns, and how many do (``alike``).
+
+    Rows are numbered before they meet their group, so that a large group can be split over tasks.
+    """
+    window = W.partitionBy(*same)
+    number = F.row_number().over(window.orderBy("key"))
+    return rows.select(*same, number.alias("number"), F.count(F.lit(1)).over(window).alias("alike"))
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows = exact_groups(docs, key, text, **options).withColumn(
-        "alike", F.count(F.lit(1)).over(W.partitionBy("digest", "key"))
-    )
+    rows = exact_groups(docs, key, text, **options)
     stay = rows.where("kept").select(F.col("key").alias("id"), F.col("digest").alias("mark"), F.col("alike").alias("n"))
     return keep_rows(docs, key, F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256), stay)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ from handful.llm.common import rows_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SEGMENT = re.compile(rb" *[^ \n]+|\n+| +")
-CACHED = 700_000
+# Segments a worker keeps, some 50 MB; workers live on after their task.
+CACHED = 200_000
 BATCH_BYTES = 4 << 20
+SLOTS = 20
 END = 0xFF
 
 
@@ -47,22 +50,15 @@ def windows(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the data in the order of their next ``depth`` bytes, by doubling from eight."""
-    order = np.argsort(windows(data), kind="stable")
-    key = windows(data)[order]
-    reach = 8
-    while True:
-        rank = np.empty(len(data), np.uint64)
-        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.uint64)
-        if reach >= depth or (len(order) and int(rank[order[-1]]) == len(data) - 1):
-            return order
-        after = np.full(len(data), len(data), np.uint64)
-        after[: max(len(data) - reach, 0)] = rank[reach:]
-        pair = (rank << np.uint64(32)) | after
-        order = np.argsort(pair, kind="stable")
-        key = pair[order]
-        reach *= 2
+def suffix_array(data: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    """Places of the data in the order of their next sixteen bytes, from the ranks of eight and eight more."""
+    order = np.argsort(eight, kind="stable")
+    key = eight[order]
+    rank = np.empty(len(data), np.uint64)
+    rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.uint64)
+    after = np.full(len(data), len(data), np.uint64)
+    after[: max(len(data) - 8, 0)] = rank[8:]
+    return np.argsort((rank << np.uint64(32)) | after, kind="stable")
 
 
 class Pieces:
@@ -89,8 +85,7 @@ class Pieces:
         self.codes = [n.encode() for n in self.rank]
         self.code_ids = np.array([i for _, i in self.rank.values()], np.int64)
         self.code_sizes = np.array([len(c) for c in self.codes])
-        self.depth = int(self.code_sizes.max())
-        words = -(-self.depth // 8)
+        words = max(2, -(-int(self.code_sizes.max()) // 8))
         low = np.zeros((len(self.codes), words * 8), np.uint8)
         high = np.full((len(self.codes), words * 8), END, np.uint8)
         for k, code in enumerate(self.codes):
@@ -107,7 +102,9 @@ class Pieces:
         self.text = np.frombuffer(b"".join(texts), np.uint8)
         self.alone = np.full(size + 1, -1, np.int8)
         self.alone[self.unknown] = 1
-        self.apart: dict[int, bool] = {}
+        # Known pairs in order, and a table of slots that finds most of them at once.
+        self.pairs, self.apart = np.array([-1]), np.array([False])
+        self.slot_pair, self.slot_apart = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
         self.forget()
 
     def forget(self) -> None:
@@ -135,46 +132,59 @@ class Pieces:
         """Whether each pair of pieces is encoded as these two pieces."""
         out = self.stands_alone(left) & self.stands_alone(right)
         check = np.flatnonzero(out & (left != self.unknown) & (right != self.unknown))
-        keys, back = np.unique(left[check] * (self.unknown + 1) + right[check], return_inverse=True)
-        known, answers = self.apart, np.empty(len(keys), bool)
-        for k, key in enumerate(keys.tolist()):
-            answer = known.get(key)
-            if answer is None:
+        keys = left[check] * (self.unknown + 1) + right[check]
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        lost = np.flatnonzero(self.slot_pair[slot] != keys)
+        answers = self.slot_apart[slot]
+        if len(lost):
+            # Pairs not in their slot: look them up among all known, merge the new ones, and put them there.
+            wanted, back = np.unique(keys[lost], return_inverse=True)
+            at = np.searchsorted(self.pairs, wanted)
+            new = wanted[self.pairs[np.minimum(at, len(self.pairs) - 1)] != wanted]
+            found = []
+            for key in new.tolist():
                 a, b = divmod(key, self.unknown + 1)
-                answer = known[key] = self.merge(self.names[a] + self.names[b]) == [a, b]
-            answers[k] = answer
-        out[check] = answers[back]
+                found.append(self.merge(self.names[a] + self.names[b]) == [a, b])
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.apart = np.insert(self.pairs, place, new), np.insert(self.apart, place, found)
+            right_ones = self.apart[np.searchsorted(self.pairs, wanted)][back]
+            answers[lost] = right_ones
+            self.slot_pair[slot[lost]], self.slot_apart[slot[lost]] = keys[lost], right_ones
+        out[check] = answers
         return out
 
     def occurrences(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, piece) of every occurrence of every piece."""
-        order = suffix_array(data, self.depth)
         eight = windows(data)
+        order = suffix_array(data, eight)
         key = eight[order]
         first = np.searchsorted(key, self.low[:, 0], "left")
         last = np.searchsorted(key, self.high[:, 0], "right")
-        for word in range(1, self.low.shape[1]):
-            rows = np.flatnonzero((self.code_sizes > 8 * word) & (first < last))
-            if not len(rows):
-                break
-
-            def bound(target: np.ndarray, beyond: bool) -> np.ndarray:
-                lo, hi = first[rows].copy(), last[rows].copy()
-                while (open_ := lo < hi).any():
-                    mid = (lo + hi) // 2
-                    at = np.minimum(order[np.minimum(mid, len(order) - 1)] + 8 * word, len(data) - 1)
-                    here = eight[at]
-                    low = (here <= target if beyond else here < target) & open_
-                    lo = np.where(low, mid + 1, lo)
-                    hi = np.where(open_ & ~low, mid, hi)
-                return lo
-
-            a, b = bound(self.low[rows, word], False), bound(self.high[rows, word], True)
-            first[rows], last[rows] = a, b
+        rows = np.flatnonzero((self.code_sizes > 8) & (first < last))
+
+        def bound(target: np.ndarray, beyond: bool) -> np.ndarray:
+            """Binary search of the second eight bytes inside the ranges of the first."""
+            lo, hi = first[rows].copy(), last[rows].copy()
+            while (open_ := lo < hi).any():
+                mid = (lo + hi) // 2
+                here = eight[np.minimum(order[np.minimum(mid, len(order) - 1)] + 8, len(data) - 1)]
+                low = (here <= target if beyond else here < target) & open_
+                lo = np.where(low, mid + 1, lo)
+                hi = np.where(open_ & ~low, mid, hi)
+            return lo
+
+        first[rows], last[rows] = bound(self.low[rows, 1], False), bound(self.high[rows, 1], True)
         counts = np.maximum(last - first, 0)
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = order[np.repeat(first, counts) + within]
-        return starts, np.repeat(self.code_sizes, counts), np.repeat(self.code_ids, counts)
+        code = np.repeat(np.arange(len(counts)), counts)
+        # The order knows sixteen bytes; what longer pieces have beyond is compared.
+        long = np.flatnonzero(self.code_sizes[code] > 16)
+        if len(long):
+            text = data.tobytes()
+            wrong = [k for k in long.tolist() if not text.startswith(self.codes[code[k]], int(starts[k]))]
+            starts, code = np.delete(starts, wrong), np.delete(code, wrong)
+        return starts, self.code_sizes[code], self.code_ids[code]
 
     def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments in a row, number of ids of each)."""
@@ -243,16 +253,17 @@ class Pieces:
         cut = [SEGMENT.findall(b" " + t.replace(mark, b" ")) if t else [] for t in texts]
         if len(self.number) > CACHED:
             self.forget()
-        number = self.number
-        fresh = {s for segments in cut for s in segments} - number.keys()
-        if fresh:
-            fresh_list = sorted(fresh)
-            ids, sizes = self.encode_segments(fresh_list)
-            number.update(zip(fresh_list, range(len(number), len(number) + len(fresh_list))))
+        flat = list(chain.from_iterable(cut))
+        told = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(told < 0)
+        if len(missing):
+            fresh = sorted({flat[k] for k in missing.tolist()})
+            ids, sizes = self.encode_segments(fresh)
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.ids = np.concatenate([self.ids, ids])
-        told = np.fromiter((number[s] for segments in cut for s in segments), np.int64)
+            told[missing] = [self.number[flat[k]] for k in missing.tolist()]
         sizes = self.sizes[told]
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         upto = np.r_[0, np.cumsum(sizes)]

@@ -63,6 +63,13 @@ def head_hashes(data: np.ndarray) -> np.ndarray:
     return own ^ (own >> np.uint64(32))
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of anchors, which are small ones, spread evenly again; different ones stay different."""
+    hashes = hashes * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = hashes ^ (hashes >> np.uint64(32))
+    return hashes * np.uint64(0x94D049BB133111EB)
+
+
 def anchors_of_windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor place of each window, hash of the head at each place)."""
     if len(data) < length:
@@ -103,7 +110,7 @@ class Run:
         self.place = window[heads]
         self.first = places[heads]
         self.last = places[np.r_[cuts - 1, len(window) - 1]] if len(window) else self.first
-        self.hash = hashes[self.place]
+        self.hash = spread(hashes[self.place])
         self.owner = np.searchsorted(self.begins + self.sizes, self.place, "right")
 
     def suffixes(self, chosen: np.ndarray) -> np.ndarray:

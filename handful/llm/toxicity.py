@@ -30,6 +30,8 @@ from handful.session import cut_lineage
 WORD = re.compile(r"[^\W\d_]+")
 BEGINS = (4, 5, 6, 7, 8)
 BLOCK = 64
+# Blocks scored at a time.
+STEP = 4
 
 
 def words_of(text: bytes) -> list[str]:
@@ -78,34 +80,36 @@ class Vocabulary:
 
 
 class Index:
-    """Inverted index of the examples, with block maxima."""
+    """Inverted index of the examples: strips of weights by term and block, and their maxima.
+
+    Examples are ordered by their heaviest term, so that a block's maxima stand for similar examples.
+    """
 
     def __init__(self, terms, counts, ids, labels, stands, k: int, smoothing: float):
         self.vocabulary = Vocabulary(terms)
         self.k, self.smoothing = k, smoothing
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.labels, self.stands = ids[order], labels[order], stands[order]
-        counts = [counts[i] for i in order]
         n = len(ids)
         seen = np.zeros(len(terms))
         for c in counts:
             seen[list(c)] += 1
         self.idf = np.log((1 + n) / (1 + seen)) + 1
-        entries = []
-        for row, c in enumerate(counts):
-            numbers, weights = self.vector(c)
-            entries += [(t, row, w) for t, w in zip(numbers.tolist(), weights.tolist())]
-        entries.sort()
-        self.rows = np.array([e[1] for e in entries], np.int32)
-        self.weights = np.array([e[2] for e in entries])
-        of = np.array([e[0] for e in entries], np.int64)
-        blocks = max(1, -(-n // BLOCK))
-        place = of * blocks + self.rows // BLOCK
-        self.starts = np.searchsorted(place, np.arange(len(terms) * blocks + 1)).reshape(-1)
-        self.blocks = blocks
-        self.most = np.zeros((len(terms), blocks))
-        np.maximum.at(self.most.reshape(-1), place, self.weights)
-        bare = np.array([not c for c in counts], bool)
+        vectors = [self.vector(c) for c in counts]
+        heaviest = [int(numbers[np.argmax(w)]) if len(numbers) else -1 for numbers, w in vectors]
+        order = np.lexsort((ids, labels, heaviest))
+        self.ids, self.labels, self.stands = ids[order], labels[order], stands[order]
+        self.blocks = max(1, -(-n // BLOCK))
+        # Strip 0 is that of a term a block does not have.
+        self.strip_of = np.zeros((len(terms), self.blocks), np.int32)
+        strips = [np.zeros(BLOCK)]
+        for row, k_th in enumerate(order.tolist()):
+            for t, w in zip(*(x.tolist() for x in vectors[k_th])):
+                if not self.strip_of[t, row // BLOCK]:
+                    self.strip_of[t, row // BLOCK] = len(strips)
+                    strips.append(np.zeros(BLOCK))
+                strips[self.strip_of[t, row // BLOCK]][row % BLOCK] = w
+        self.strips = np.array(strips)
+        self.most = self.strips.max(1)[self.strip_of]
+        bare = np.array([not counts[i] for i in order.tolist()], bool)
         self.prior = float((self.stands * self.labels).sum() / self.stands.sum())
         self.bare = self.share(self.stands[bare], self.labels[bare])
 
@@ -125,20 +129,22 @@ class Index:
         if not len(numbers):
             return []
         bounds = weights @ self.most[numbers]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            # Bounds and cosines are summed in different orders, hence the margin.
-            if bounds[block] <= 0 or len(best) == self.k and bounds[block] < -best[-1][0] - 1e-9:
+        order = np.argsort(-bounds, kind="stable")
+        # Bounds and cosines are summed in different orders, hence the margin.
+        order = order[bounds[order] > 1e-9]
+        best, rows = np.zeros(0), np.zeros(0, np.int64)
+        for at in range(0, len(order), STEP):
+            blocks = order[at : at + STEP]
+            if len(best) == self.k and bounds[blocks[0]] < best[-1] - 1e-9:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(numbers.tolist(), weights.tolist()):
-                a, b = self.starts[t * self.blocks + block], self.starts[t * self.blocks + block + 1]
-                scores[self.rows[a:b] - block * BLOCK] += w * self.weights[a:b]
-            found = np.flatnonzero(scores > 0)
-            best += [(-round(scores[i], 12), block * BLOCK + i) for i in found.tolist()]
-            best.sort()
-            del best[self.k :]
-        return [(-s, row) for s, row in best]
+            strips = self.strips[self.strip_of[numbers[:, None], blocks[None]]]
+            scores = np.round(np.einsum("t,tbj->bj", weights, strips), 12).reshape(-1)
+            where = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            found = np.flatnonzero(scores > (best[-1] - 1e-12 if len(best) == self.k else 0))
+            best, rows = np.r_[best, scores[found]], np.r_[rows, where[found]]
+            first = np.lexsort((self.ids[rows], -best))[: self.k]
+            best, rows = best[first], rows[first]
+        return list(zip(best.tolist(), rows.tolist()))
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
         """(score, ids of the neighbours, their cosines)."""
