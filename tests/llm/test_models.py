@@ -384,6 +384,25 @@ def test_one_block_is_exact_with_ties_and_few_rows(spark):
     assert neighbours.search(none, none).collect() == []
 
 
+def test_a_third_of_equal_rows_keeps_the_smallest_ids(spark):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(6000, 12))
+    data[rng.permutation(6000)[:2000]] = data[0]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neighbours.search(frame, frame.where("vec_id % 100 = 0"), block_rows=64).collect()
+    equal = {i for i, v in rows if v == rows[0][1]}
+    found = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found[r["query_id"]].append((r["score"], r["vec_id"]))
+    copies = [q for q in found if q in equal]
+    assert len(copies) > 10
+    for q in copies:
+        assert found[q] == [(0.0, i) for i in sorted(equal - {q})[:10]]
+    hits = sum(len({i for _, i in brute_nearest(rows, q)} & {i for _, i in found[q]}) for q in found)
+    assert len(found) == 60 and hits / 600 >= 0.9
+
+
 def test_hilbert_numbers_are_a_curve():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
