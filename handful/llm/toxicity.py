@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with evidence.
 
 Terms are words and word beginnings. From a bounded sample of labelled rows, the terms whose presence
-depends on the label form the vocabulary, chosen by distributed counts; the examples'
-TF-IDF vectors over it form an inverted index: postings by term, cut into blocks of
+depends on the label form the vocabulary, chosen by distributed counts; document frequencies are counted over all documents. The examples'
+TF-IDF vectors over the vocabulary form an inverted index: postings by term, cut into blocks of
 examples, with the largest weight of each term in each block. A text's terms give an upper bound
 for every block; blocks are scored in falling order of their bounds until none can beat the k-th
 neighbour found, so the neighbours are exact. Votes weigh by nearness and by what a
@@ -63,6 +63,14 @@ class Vocabulary:
             (size, {t: i for t, i in begins if len(t) == size}) for size in sorted({len(t) for t, _ in begins})
         ]
 
+    def present(self, text: bytes) -> set[int]:
+        """The terms that occur in a text."""
+        words = set(words_of(text))
+        found = {self.words[w] for w in words & self.words.keys()}
+        for size, begins in self.begins:
+            found |= {begins[w[:size]] for w in words if w[:size] in begins and len(w) > size}
+        return found
+
     def counts(self, text: bytes) -> dict[int, int]:
         words = words_of(text)
         distinct = set(words)
@@ -82,17 +90,19 @@ class Vocabulary:
 class Index:
     """Inverted index of the examples: strips of weights by term and block, and their maxima.
 
-    Examples are ordered by their heaviest term, so that a block's maxima stand for similar examples.
+    Examples are ordered by their heaviest term, so that a block's maxima stand for similar examples. ``frequency``
+    holds the number of documents and that of each term; without it, the examples are counted.
     """
 
-    def __init__(self, terms, counts, ids, labels, stands, k: int, smoothing: float):
+    def __init__(self, terms, counts, ids, labels, stands, k: int, smoothing: float, frequency=None):
         self.vocabulary = Vocabulary(terms)
         self.k, self.smoothing = k, smoothing
         n = len(ids)
-        seen = np.zeros(len(terms))
-        for c in counts:
-            seen[list(c)] += 1
-        self.idf = np.log((1 + n) / (1 + seen)) + 1
+        total, seen = frequency or (n, np.zeros(len(terms)))
+        if not frequency:
+            for c in counts:
+                seen[list(c)] += 1
+        self.idf = np.log((1 + total) / (1 + seen)) + 1
         vectors = [self.vector(c) for c in counts]
         heaviest = [int(numbers[np.argmax(w)]) if len(numbers) else -1 for numbers, w in vectors]
         order = np.lexsort((ids, labels, heaviest))
@@ -157,6 +167,26 @@ class Index:
         return self.share(votes, self.labels[rows]), self.ids[rows].tolist(), near.tolist()
 
 
+def document_frequencies(rows: DataFrame, vocabulary: Vocabulary, terms: int) -> tuple[int, np.ndarray]:
+    """(number of documents, documents with each term) of all rows (id, text)."""
+    shape = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        # The last place counts documents.
+        seen = np.zeros(terms + 1, np.int64)
+        for batch in batches:
+            for _, body in rows_of(batch):
+                seen[list(vocabulary.present(body))] += 1
+            seen[terms] += batch.num_rows
+        found = np.flatnonzero(seen)
+        yield as_batch(shape, term=found, n=seen[found])
+
+    seen = np.zeros(terms + 1)
+    for term, n in rows.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n")).collect():
+        seen[term] = n
+    return int(seen[terms]), seen[:terms]
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -219,12 +249,20 @@ def fit_toxicity(
                 counts=[list(c.values()) for c in found],
             )
 
+    frequency = document_frequencies(rows, vocabulary, len(terms))
     rows = sample.mapInArrow(count, "id bigint, label int, terms array<int>, counts array<int>").collect()
     rows.sort()
     targets = np.array([r["label"] for r in rows], float)
     stands = np.where(targets == 1, all1 / n1, all0 / n0)
     return Index(
-        terms, [dict(zip(r["terms"], r["counts"])) for r in rows], np.array([r["id"] for r in rows]), targets, stands, k, smoothing
+        terms,
+        [dict(zip(r["terms"], r["counts"])) for r in rows],
+        np.array([r["id"] for r in rows]),
+        targets,
+        stands,
+        k,
+        smoothing,
+        frequency,
     )
 
 

@@ -189,6 +189,19 @@ def test_neighbours_are_exact_whatever_the_blocks(monkeypatch):
         assert np.allclose([s for s, _ in got], [s for s, _ in want])
 
 
+def test_document_frequencies_are_those_of_all_documents(spark):
+    rows, marks = labelled_corpus()
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    more = cases.documents() + [(5000 + i, "Idiot river idiots", "en", "s", 1) for i in range(9)]
+    index = toxicity.fit_toxicity(cases.table(spark, rows + more), labels)
+    texts = [toxicity.terms_of((r[1] or "").encode()) for r in rows + more]
+    known = index.vocabulary.words | {t + "|": i for _, begins in index.vocabulary.begins for t, i in begins.items()}
+    assert "idiot" in known
+    for term, i in known.items():
+        seen = sum(term in own for own in texts)
+        assert index.idf[i] == pytest.approx(math.log((1 + len(texts)) / (1 + seen)) + 1)
+
+
 # mixing
 
 
