@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from handful.session import cut_lineage
@@ -37,6 +39,24 @@ def rows_of(batch: pa.RecordBatch):
     return zip(batch.column(0).to_pylist(), byte_values(batch.column(1)))
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a shared folder's name, as Spark writes it.
+
+    Names without a scheme and ``file:`` names are local to all machines' shared mount; every other name needs
+    a scheme that the file library knows, else an error tells so, since a guess would write to a machine's own disk.
+    """
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    scheme = found[1].lower() if found else ""
+    if scheme in ("", "file"):
+        if not scheme and not path.startswith("/"):
+            raise ValueError(f"the shared folder needs an absolute name: {path}")
+        return fs.LocalFileSystem(), "/" + re.sub(r"^file:/*", "", path, flags=re.I).lstrip("/")
+    if "://" not in path:
+        raise ValueError(f"no file system is known for {path}")
+    # Spark's name of the object store's client.
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path, flags=re.I))
+
+
 def as_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handful.llm import exact_dedup, line_dedup, mixing, neighbours, pieces, quality, simhash, suffixes, toxicity, warc
+from handful.llm import exact_dedup, line_dedup, mixing, neighbours, pieces, quality, simhash, suffixes, token_records, toxicity, warc
 from handful.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,10 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf, "documents"), length=100)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_token_records(spark: SparkSession, sf: str) -> DataFrame:
+    shards = token_records.write_records(table(spark, sf, "documents"), tokenizer=token_records.TOKENIZER, end_id=1)
+    found = token_records.read_records(shards)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

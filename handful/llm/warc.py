@@ -23,10 +23,9 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from handful.llm.common import as_batch, byte_values
+from handful.llm.common import as_batch, byte_values, opened
 from handful.session import cut_lineage, shared_path
 
 GZIP = 31
@@ -52,13 +51,6 @@ RECORD_SCHEMA = pa.schema(
 )
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a shared folder's name, as Spark writes it."""
-    if path.startswith("file:") or "://" not in path:
-        return fs.LocalFileSystem(), "/" + re.sub(r"^file:/*", "", path).lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def record_name(number) -> str:
     return f"<urn:page:{'none' if number is None else number}>"
 

@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, con, name, monkeypatch):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_on_a_folder(spark, tmp_path):
