@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from handful.llm import exact_dedup, line_dedup, mixing, neighbours, pieces, quality, simhash, suffixes, token_records, toxicity, warc
+from handful.llm import (
+    collocations,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    neighbours,
+    pieces,
+    quality,
+    simhash,
+    suffixes,
+    token_records,
+    toxicity,
+    warc,
+    whitening,
+)
 from handful.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +145,43 @@ def op11_token_records(spark: SparkSession, sf: str) -> DataFrame:
     shards = token_records.write_records(table(spark, sf, "documents"), tokenizer=token_records.TOKENIZER, end_id=1)
     found = token_records.read_records(shards)
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf, "embeddings"), components=16, scale=64, offset=1_000_000)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"), min_count=30, share=80, top=2000)
+
+
+ORACLES["op12_collocations"] = f"""
+    WITH texts AS (SELECT coalesce(lang, 'und') AS lang, {LOWER_SQL.format("coalesce(text, '')")} AS body FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(body, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+               FROM texts),
+    totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+    grams AS ({" UNION ALL ".join(
+        f"SELECT lang, {k} AS k, unnest([array_to_string(w[i:i + {k - 1}], ' ') FOR i IN range(1, len(w) - {k} + 2)]) AS phrase "
+        "FROM pieces" for k in range(1, 5)
+    )}),
+    counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    inner_parts AS (SELECT lang, f, unnest(flatten([[array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, k - size + 2)]
+                                                    FOR size IN range(2, k)])) AS phrase
+                    FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 2)),
+    longest AS (SELECT lang, phrase, max(f) AS longer FROM inner_parts GROUP BY ALL),
+    kept AS (SELECT c.lang, c.phrase, c.k, c.f AS a, string_split(c.phrase, ' ') AS w
+             FROM counts c LEFT JOIN longest s USING (lang, phrase)
+             WHERE c.k > 1 AND (s.longer IS NULL OR 100 * s.longer::HUGEINT < 80 * c.f::HUGEINT)),
+    cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS tail
+             FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+    scored AS (SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+               FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = head
+               JOIN counts y ON y.lang = cuts.lang AND y.phrase = tail),
+    weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+    SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+    FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
