@@ -32,15 +32,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from handful.llm.common import as_batch, byte_values, opened
+from handful.llm.common import SPACE, as_batch, byte_values, opened
 from handful.session import cut_lineage, shared_path
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-# Words a worker keeps, some 60 MB; longer words are not kept.
-CACHED, KEPT_BYTES = 400_000, 128
+# Words a worker keeps in each of two generations, some 50 MB each; longer words are not kept.
+CACHED, KEPT_BYTES = 300_000, 128
+# A control character that stands between words.
+BETWEEN = "\x01"
+# Sentence marks that often end a word.
+MARKS = [b".", b",", b";", b":", b"!", b"?"]
 SLICE = 1 << 20
 READ = 4 << 20
 SHARDS = "part int, number int, path string, records bigint, ids bigint, bytes bigint"
@@ -168,6 +173,16 @@ def words_apart(rules: dict) -> bool:
     return bool(plain and no_space and bytewise and tokens and whole and rules["model"]["type"] == "BPE")
 
 
+def letters_are_one(rules: dict) -> bool:
+    """Whether a word of A-Z and a-z alone, maybe with one sentence mark behind it, is small letters to the model."""
+    kinds = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    parts = cuts[0].get("pattern", {}).get("Regex", "").split("|") if cuts else []
+    runs = [r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"]
+    others = [p for p in parts if p not in runs]
+    return "Lowercase" in kinds and all(r in parts for r in runs) and all(p[0] == "'" or p == r"[\p{N}]" for p in others)
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes; one per worker and tokenizer."""
 
@@ -178,40 +193,94 @@ class Encoder:
         self.own = Tokenizer.from_buffer(rules)
         self.width = 2 if self.own.get_vocab_size() <= 1 << 16 else 4
         self.apart = words_apart(json.loads(rules))
+        # Words of this generation, and of the one before: a word that is used again moves on, others go.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        between = self.own.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if self.apart and len(between) == 1 else None
+        self.letters = self.apart and letters_are_one(json.loads(rules))
+        self.marks = dict(zip(MARKS, self.plain(MARKS))) if self.letters else {}
 
     def plain(self, texts: list[bytes]) -> list[bytes]:
         found = self.own.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(f.ids, f"<u{self.width}").tobytes() for f in found]
 
-    def slice_ids(self, text: bytes) -> bytes:
-        words = text.split()
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = set(words)
-        new = sorted(new)
-        self.known.update(zip(new, self.plain(new)))
-        out = b"".join(map(self.known.__getitem__, words))
+    def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """Many words as few texts, with a character between them whose id no word without it has."""
+        mark = BETWEEN.encode()
+        if self.between is None or any(mark in w for w in words):
+            return self.plain(words)
+        out = []
+        lines = [(b" " + mark + b" ").join(words[at : at + 256]) for at in range(0, len(words), 256)]
+        for found in self.own.encode_batch_fast([x.decode() for x in lines], add_special_tokens=False):
+            ids = np.array(found.ids, f"<u{self.width}")
+            cuts = np.flatnonzero(ids == self.between)
+            starts, stops = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            data, size = ids.tobytes(), self.width
+            out += [data[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist())]
+        return out
+
+    def new_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words not met before; plain letters need no rule of the tokenizer but its pairs of pieces."""
+        if not self.letters:
+            return self.ids_of_words(words)
+        out: list[bytes | None] = [None] * len(words)
+        rest = []
+        for k, word in enumerate(words):
+            if word.isalpha():
+                out[k] = self.letter_ids(word)
+            elif word[-1:] in MARKS and word[:-1].isalpha():
+                known = self.known.get(word[:-1]) or self.before.get(word[:-1])
+                out[k] = (known or self.letter_ids(word[:-1])) + self.marks[word[-1:]]
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self.ids_of_words([words[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def letter_ids(self, word: bytes) -> bytes:
+        return np.array([t.id for t in self.own.model.tokenize(word.lower().decode())], f"<u{self.width}").tobytes()
+
+    def word_ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts by their words, each distinct word looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        new = [w for w in words if w not in self.known]
+        if new:
+            if len(self.known) + len(new) > CACHED:
+                self.before, self.known, new = self.known, {}, words
+            old = [w for w in new if w in self.before]
+            self.known.update(zip(old, map(self.before.__getitem__, old)))
+            new = [w for w in new if w not in self.before]
+            self.known.update(zip(new, self.new_ids(new)))
+        found = pa.array(list(map(self.known.__getitem__, words)), pa.binary()).take(coded.indices)
         for word in new:
             if len(word) > KEPT_BYTES:
                 del self.known[word]
-        return out
+        ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
+        data = found.buffers()[2].to_pybytes() if len(found) and found.buffers()[2] else b""
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, text: bytes) -> bytes:
-        if not self.apart:
-            return self.plain([text])[0]
-        if len(text) <= SLICE:
-            return self.slice_ids(text)
+    def long_text(self, text: bytes) -> bytes:
         out, at = [], 0
         while at < len(text):
             end = min(at + SLICE, len(text))
-            while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            while end < len(text) and text[end] not in SPACE:
                 end += 1
-            out.append(self.slice_ids(text[at:end]))
+            out += self.word_ids([text[at:end]])
             at = end
         return b"".join(out)
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts of about a slice together, or of single long ones."""
+        if not self.apart:
+            return self.plain(texts)
+        if sum(map(len, texts)) > 2 * SLICE:
+            return [self.long_text(t) for t in texts]
+        return self.word_ids(texts)
+
 
 @cache
 def worker_encoder(rules: bytes) -> Encoder:
@@ -276,26 +345,24 @@ def write_records(
         end = end_id.to_bytes(encoder.width, "little")
 
         def put(bodies, counts):
-            if bodies:
-                if not shards or shards[-1].bytes >= shard_bytes:
-                    if shards:
-                        shards[-1].close()
-                    shards.append(Shard(folder))
-                shards[-1].add(bodies, counts)
+            if not shards or shards[-1].bytes >= shard_bytes:
+                if shards:
+                    shards[-1].close()
+                shards.append(Shard(folder))
+            shards[-1].add(bodies, counts)
 
         for batch in batches:
-            bodies, counts, held = [], [], 0
-            texts = batch.column(1)
-            for k, number in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.encode(byte_values(texts.slice(k, 1))[0]) + end
-                head = np.array((number or 0, number is None, encoder.width, 0), HEAD)
-                bodies.append(head.tobytes() + ids)
-                counts.append(len(ids) // encoder.width)
-                held += len(ids)
-                if held >= READ:
-                    put(bodies, counts)
-                    bodies, counts, held = [], [], 0
-            put(bodies, counts)
+            if not batch.num_rows:
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for some in groups_by_size(sizes, SLICE):
+                own = batch.slice(some.start, some.stop - some.start)
+                bodies, counts = [], []
+                for number, ids in zip(own.column(0).to_pylist(), encoder.encode(byte_values(own.column(1)))):
+                    head = np.array((number or 0, number is None, encoder.width, 0), HEAD)
+                    bodies.append(head.tobytes() + ids + end)
+                    counts.append(len(ids) // encoder.width + 1)
+                put(bodies, counts)
         if shards:
             shards[-1].close()
             yield as_batch(

@@ -77,17 +77,30 @@ def test_long_texts_are_cut_at_white_space_only(monkeypatch):
     assert mine.apart and mine.width == 2
     for _, text, *_ in odd_rows():
         want = mine.own.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(mine.encode((text or "").encode()), "<u2").tolist() == want
+        assert np.frombuffer(mine.encode([(text or "").encode()])[0], "<u2").tolist() == want
     assert len(mine.known) <= 60 and max(map(len, mine.known)) <= T.KEPT_BYTES
 
 
+@pytest.mark.parametrize("kept", [3, 40, 10_000])
+def test_texts_together_have_the_ids_of_each(monkeypatch, kept):
+    monkeypatch.setattr(T, "CACHED", kept)
+    with open(T.TOKENIZER, "rb") as file:
+        mine = T.Encoder(file.read())
+    assert mine.between is not None
+    texts = [(r[1] or "").encode() for r in odd_rows()] + [b"a \x01 b\x01c", b"\x01", b"! \x02 !!"]
+    want = [mine.own.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    for some in (1, 7, len(texts)):
+        got = [x for at in range(0, len(texts), some) for x in mine.encode(texts[at : at + some])]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+
+
 def test_rules_that_look_at_white_space_take_whole_texts():
     with open("/opt/tokenizers/byte_bpe_50k.json", "rb") as file:
         blob = file.read()
     assert not T.words_apart(json.loads(blob))
     other = T.Encoder(blob)
     text = "Two  words and\n\na line"
-    assert np.frombuffer(other.encode(text.encode()), "<u2").tolist() == other.own.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(other.encode([text.encode()])[0], "<u2").tolist() == other.own.encode(text, add_special_tokens=False).ids
 
 
 def test_shuffled_reads_give_every_record_once_in_an_even_order(spark):
