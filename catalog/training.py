@@ -218,6 +218,173 @@ def fit_adapter_first_loss(spark, sf):
     _, losses = T.fit_adapter(drawn_pairs(rows.select("row_id", "label"), 3), rows, epochs=1)
     return spark.createDataFrame([(round(losses[0], 6),)], "loss double")
 
+# Two epochs of mini-batch training in SQL. A loss gives coefficients k on ordered pairs of rows (its derivative by their
+# cosine, in the mean of its batch); the gradient of the map is the mean over batches of sum du_i x_i^T with
+# du_i = (g_i - (g_i n_i) n_i) / |x_i|, g_i = sum_j (k_ij + k_ji) n_j; the second epoch's rows are x - rate * G x.
+_RATE = 0.1
+
+
+def _label_batches_sql(seed: int, name: str) -> str:
+    return f"""{name} AS (SELECT vec_id, label, (row_number() OVER (ORDER BY {key_sql(seed, "label, unit")}, label, unit, place) - 1) // 16 AS batch_id
+        FROM (SELECT *, place // 2 AS unit FROM (
+                SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {key_sql(seed, 'vec_id')}, vec_id) - 1 AS place,
+                       count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+              WHERE place < n - n % 2))"""
+
+
+def _cosines_sql(batches: str, rows: str, name: str) -> str:
+    return f"""{name} AS (SELECT i.batch_id, i.vec_id AS a, j.vec_id AS b, i.label = j.label AS same,
+            list_cosine_similarity(x.e, y.e) AS c
+        FROM {batches} i JOIN {batches} j ON i.batch_id = j.batch_id AND i.vec_id <> j.vec_id
+        JOIN {rows} x ON x.vec_id = i.vec_id JOIN {rows} y ON y.vec_id = j.vec_id)"""
+
+
+def _descent_sql(k: str) -> str:
+    """Rows after one update, from ``k`` (batch_id, a, b, k) and the number of batches in ``used``."""
+    return f"""{k},
+    unit AS (SELECT vec_id, sqrt(list_dot_product(e, e)) AS size, [v / sqrt(list_dot_product(e, e)) FOR v IN e] AS n FROM x0),
+    both_ways AS (SELECT i, j, sum(k) AS k FROM (SELECT a AS i, b AS j, k FROM k UNION ALL SELECT b, a, k FROM k) GROUP BY 1, 2),
+    flat AS (SELECT vec_id, generate_subscripts(n, 1) AS pos, unnest(n) AS v FROM unit),
+    pull AS (SELECT i AS vec_id, pos, sum(k * v) AS g FROM both_ways JOIN flat ON flat.vec_id = j GROUP BY 1, 2),
+    along AS (SELECT vec_id, sum(g * v) AS d FROM pull JOIN flat USING (vec_id, pos) GROUP BY 1),
+    du AS (SELECT vec_id, pos, (g - d * v) / size AS u FROM pull JOIN flat USING (vec_id, pos) JOIN along USING (vec_id) JOIN unit USING (vec_id)),
+    entries AS (SELECT vec_id, generate_subscripts(e, 1) AS col, unnest(e) AS w FROM x0),
+    grad AS (SELECT pos, col, sum(u * w) / (SELECT n FROM used) AS g FROM du JOIN entries USING (vec_id) GROUP BY 1, 2),
+    moved AS (SELECT vec_id, pos, sum(g * w) AS s FROM grad JOIN entries USING (col) GROUP BY 1, 2),
+    x1 AS (SELECT vec_id, list(w - {_RATE} * s ORDER BY pos) AS e
+           FROM moved JOIN (SELECT vec_id, col AS pos, w FROM entries) USING (vec_id, pos) GROUP BY 1)"""
+
+
+_X0 = "x0 AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+# Of each loss: per batch its value, as SQL over cosines {c}; and its coefficients.
+_LOSS_SQL = {
+    "supcon": (
+        """SELECT batch_id, avg(l) AS l FROM (SELECT batch_id, a, -avg(c / 0.07 - s) FILTER (same) AS l
+             FROM {c} JOIN (SELECT a, ln(sum(exp(c / 0.07))) AS s FROM {c} GROUP BY 1) USING (a) GROUP BY 1, 2) GROUP BY 1""",
+        """SELECT batch_id, a, b, (exp(c / 0.07 - s) - CASE WHEN same THEN 1.0 / p ELSE 0 END) / 0.07 / m AS k
+           FROM c0 JOIN (SELECT a, ln(sum(exp(c / 0.07))) AS s, count(*) FILTER (same) AS p FROM c0 GROUP BY 1) USING (a)
+           JOIN (SELECT batch_id, count(DISTINCT a) AS m FROM c0 GROUP BY 1) USING (batch_id)""",
+    ),
+    "batch_hard": (
+        """SELECT batch_id, avg(greatest(dp - dn + 0.25, 0)) AS l FROM (
+             SELECT batch_id, a, max(1 - c) FILTER (same) AS dp, min(1 - c) FILTER (NOT same) AS dn FROM {c} GROUP BY 1, 2)
+           WHERE dp IS NOT NULL AND dn IS NOT NULL GROUP BY 1""",
+        """SELECT batch_id, a, b, k / m AS k FROM (
+             SELECT batch_id, a, unnest([p, q]) AS b, unnest([-1.0, 1.0]) * (dp - dn + 0.25 > 0)::INT AS k, count(*) OVER (PARTITION BY batch_id) AS m
+             FROM (SELECT batch_id, a, arg_min(b, c) FILTER (same) AS p, arg_max(b, c) FILTER (NOT same) AS q,
+                          max(1 - c) FILTER (same) AS dp, min(1 - c) FILTER (NOT same) AS dn FROM c0 GROUP BY 1, 2)
+             WHERE dp IS NOT NULL AND dn IS NOT NULL)""",
+    ),
+    "batch_hard_soft_margin": (
+        """SELECT batch_id, avg(ln(1 + exp(dp - dn))) AS l FROM (
+             SELECT batch_id, a, max(1 - c) FILTER (same) AS dp, min(1 - c) FILTER (NOT same) AS dn FROM {c} GROUP BY 1, 2)
+           WHERE dp IS NOT NULL AND dn IS NOT NULL GROUP BY 1""",
+        """SELECT batch_id, a, b, k / m AS k FROM (
+             SELECT batch_id, a, unnest([p, q]) AS b, unnest([-1.0, 1.0]) / (1 + exp(dn - dp)) AS k, count(*) OVER (PARTITION BY batch_id) AS m
+             FROM (SELECT batch_id, a, arg_min(b, c) FILTER (same) AS p, arg_max(b, c) FILTER (NOT same) AS q,
+                          max(1 - c) FILTER (same) AS dp, min(1 - c) FILTER (NOT same) AS dn FROM c0 GROUP BY 1, 2)
+             WHERE dp IS NOT NULL AND dn IS NOT NULL)""",
+    ),
+    "batch_semi_hard": (
+        """SELECT batch_id, avg(greatest(dp - dn + 0.25, 0)) AS l FROM (
+             SELECT p.batch_id, p.a, p.b, 1 - p.c AS dp, coalesce(min(1 - n.c) FILTER (1 - n.c > 1 - p.c), max(1 - n.c)) AS dn
+             FROM {c} p JOIN {c} n ON p.a = n.a WHERE p.same AND NOT n.same GROUP BY 1, 2, 3, 4) GROUP BY 1""",
+        """SELECT batch_id, a, unnest([p, q]) AS b, unnest([-1.0, 1.0]) * (dp - dn + 0.25 > 0)::INT / m AS k FROM (
+             SELECT *, 1 - coalesce(near, far) AS dn, coalesce(q_near, q_far) AS q, count(*) OVER (PARTITION BY batch_id) AS m FROM (
+               SELECT p.batch_id, p.a, p.b AS p, 1 - p.c AS dp, max(n.c) FILTER (1 - n.c > 1 - p.c) AS near, min(n.c) AS far,
+                      arg_max(n.b, n.c) FILTER (1 - n.c > 1 - p.c) AS q_near, arg_min(n.b, n.c) AS q_far
+               FROM c0 p JOIN c0 n ON p.a = n.a WHERE p.same AND NOT n.same GROUP BY 1, 2, 3, 4))""",
+    ),
+    "batch_all": (
+        """SELECT batch_id, coalesce(sum(l) / nullif(count(*) FILTER (l > 1e-16), 0), 0) AS l FROM (
+             SELECT p.batch_id, greatest(n.c - p.c + 0.25, 0) AS l FROM {c} p JOIN {c} n ON p.a = n.a WHERE p.same AND NOT n.same) GROUP BY 1""",
+        """SELECT batch_id, a, unnest([p, q]) AS b, unnest([-1.0, 1.0]) / m AS k FROM (
+             SELECT p.batch_id, p.a, p.b AS p, n.b AS q, count(*) OVER (PARTITION BY p.batch_id) AS m
+             FROM c0 p JOIN c0 n ON p.a = n.a WHERE p.same AND NOT n.same AND n.c - p.c + 0.25 > 1e-16)""",
+    ),
+}
+
+
+def _batch_training_sql(loss: str) -> str:
+    value, k = _LOSS_SQL[loss]
+    return f"""WITH {_X0}, {_label_batches_sql(42, 'b0')}, {_label_batches_sql(43, 'b1')}, {_cosines_sql('b0', 'x0', 'c0')},
+        l0 AS ({value.format(c='c0')}), used AS (SELECT count(*) AS n FROM l0), {_descent_sql(f'k AS ({k})')},
+        {_cosines_sql('b1', 'x1', 'c1')}, l1 AS ({value.format(c='c1')})
+        SELECT 0 AS epoch, round(avg(l), 6) AS loss FROM l0 UNION ALL SELECT 1, round(avg(l), 6) FROM l1"""
+
+
+def _losses_by_epoch(spark, losses):
+    return spark.createDataFrame(list(enumerate(round(x, 6) for x in losses)), "epoch int, loss double")
+
+
+def _batch_training(loss: str):
+    def run(spark, sf):
+        """Mean batch loss of all rows before each of two updates."""
+        _, losses = T.fit_adapter(None, vectors(spark, sf), epochs=2, lr=_RATE, loss=loss, batch_size=16)
+        return _losses_by_epoch(spark, losses)
+
+    return run
+
+
+for _name in _LOSS_SQL:
+    register(f"fit_adapter_{_name}", _batch_training_sql(_name))(_batch_training(_name))
+
+
+def _pair_batches_sql(seed: int, name: str) -> str:
+    return f"""{name} AS (SELECT id_1, id_2, label, (row_number() OVER (ORDER BY {key_sql(seed, "id_1, id_2")}, id_1, id_2, label) - 1) // 32 AS batch_id
+        FROM (SELECT DISTINCT id_1, id_2, label::DOUBLE AS label FROM drawn))"""
+
+
+def _pair_cosines_sql(batches: str, rows: str, name: str) -> str:
+    return f"""{name} AS (SELECT batch_id, id_1 AS a, id_2 AS b, label AS y, 1 - list_cosine_similarity(x.e, y.e) AS d
+        FROM {batches} JOIN {rows} x ON x.vec_id = id_1 JOIN {rows} y ON y.vec_id = id_2)"""
+
+
+# The distance beyond which, and below which, a pair of a batch is hard.
+_HARD = """SELECT batch_id, CASE WHEN count(*) FILTER (y = 0) > 1 THEN min(d) FILTER (y = 0) ELSE coalesce(avg(d) FILTER (y = 1), 'inf') END AS near,
+                  CASE WHEN count(*) FILTER (y = 1) > 1 THEN max(d) FILTER (y = 1) ELSE coalesce(avg(d) FILTER (y = 0), '-inf') END AS far
+           FROM {c} GROUP BY 1"""
+_PAIR_LOSS_SQL = {
+    "cosine": (
+        "SELECT batch_id, avg((1 - d - y) ** 2) AS l FROM {c} GROUP BY 1",
+        "SELECT batch_id, a, b, 2 * (1 - d - y) / count(*) OVER (PARTITION BY batch_id) AS k FROM c0",
+    ),
+    "contrastive": (
+        "SELECT batch_id, avg(0.5 * (y * d ** 2 + (1 - y) * greatest(0.5 - d, 0) ** 2)) AS l FROM {c} GROUP BY 1",
+        "SELECT batch_id, a, b, ((1 - y) * greatest(0.5 - d, 0) - y * d) / count(*) OVER (PARTITION BY batch_id) AS k FROM c0",
+    ),
+    "online_contrastive": (
+        f"""SELECT batch_id, coalesce(sum(CASE WHEN y = 1 AND d > near THEN d ** 2 WHEN y = 0 AND d < far THEN greatest(0.5 - d, 0) ** 2 END), 0) AS l
+            FROM {{c}} JOIN ({_HARD}) USING (batch_id) GROUP BY 1""",
+        f"""SELECT batch_id, a, b, CASE WHEN y = 1 AND d > near THEN -2 * d WHEN y = 0 AND d < far THEN 2 * greatest(0.5 - d, 0) ELSE 0 END AS k
+            FROM c0 JOIN ({_HARD.format(c='c0')}) USING (batch_id)""",
+    ),
+}
+
+
+def _pair_training_sql(loss: str) -> str:
+    value, k = _PAIR_LOSS_SQL[loss]
+    return f"""WITH {_drawn_sql('embeddings', 'vec_id', 'label')}, {_X0}, {_pair_batches_sql(42, 'b0')}, {_pair_batches_sql(43, 'b1')},
+        {_pair_cosines_sql('b0', 'x0', 'c0')}, l0 AS ({value.format(c='c0')}), used AS (SELECT count(*) AS n FROM l0),
+        {_descent_sql(f'k AS ({k})')}, {_pair_cosines_sql('b1', 'x1', 'c1')}, l1 AS ({value.format(c='c1')})
+        SELECT 0 AS epoch, round(avg(l), 6) AS loss FROM l0 UNION ALL SELECT 1, round(avg(l), 6) FROM l1"""
+
+
+def _pair_training(loss: str):
+    def run(spark, sf):
+        """Mean batch loss of pairs drawn over the whole table before each of two updates."""
+        rows = vectors(spark, sf)
+        pairs = drawn_pairs(rows.select("row_id", "label"), 3).select("id_1", "id_2", "label").distinct()
+        _, losses = T.fit_adapter(pairs, rows, epochs=2, lr=_RATE, loss=loss, batch_size=32)
+        return _losses_by_epoch(spark, losses)
+
+    return run
+
+
+for _name in _PAIR_LOSS_SQL:
+    register(f"fit_adapter_{_name}_pairs", _pair_training_sql(_name))(_pair_training(_name))
+
 
 @register("train_and_evaluate")
 def train_and_evaluate(spark, sf):

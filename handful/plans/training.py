@@ -30,7 +30,9 @@ from handful.operators.pairs import (
     drawn_teacher_pairs,
     teacher_pairs,
 )
+from handful.operators.gradients import BATCH_LOSSES
 from handful.operators.scoring import embed
+from handful.plans.batches import fit_in_batches
 
 Metric = Callable[[DataFrame], DataFrame]
 
@@ -60,19 +62,24 @@ def _pair_gradient(weights: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndar
 
 
 def fit_adapter(
-    pairs: DataFrame,
+    pairs: DataFrame | None,
     vectors: DataFrame,
     epochs: int = 5,
     lr: float = 0.5,
     vector: str = "embedding",
     row_id: str = "row_id",
+    loss: str = "cosine",
+    **batches,
 ) -> tuple[np.ndarray, list[float]]:
-    """Learn a square linear map of fixed embeddings on the squared cosine loss of pairs.
+    """Learn a square linear map of fixed embeddings on a loss of pairs, or of batches of labelled rows.
 
-    Every epoch each partition adds up its own gradient; partial sums are merged in two
-    levels, and only the dim x dim total comes to the driver.  Returns the map and the mean
-    loss before each step.
+    The squared cosine loss of all pairs together is the default: every epoch each partition adds up its own
+    gradient; partial sums are merged in two levels, and only the dim x dim total comes to the
+    driver. The other losses of ``gradients``, and any settings of ``fit_in_batches``, go by mini-batches; losses of labelled
+    rows take them from ``vectors``, and ``pairs`` may be None. Returns the map and the mean loss before each step.
     """
+    if loss != "cosine" or batches:
+        return fit_in_batches(loss, vectors, pairs, epochs, lr, vector=vector, row_id=row_id, **batches)
     one = vectors.select(F.col(row_id).alias("id_1"), F.col(vector).cast("array<double>").alias("a"))
     two = vectors.select(F.col(row_id).alias("id_2"), F.col(vector).cast("array<double>").alias("b"))
     joined = pairs.select("id_1", "id_2", F.col("label").cast("double").alias("y"))
@@ -143,9 +150,14 @@ def train(
     pairs: str = "exact",
     mapping: Mapping[str, str] | None = None,
     row_id: str = "row_id",
+    loss: str = "cosine",
+    batches: Mapping | None = None,
 ) -> Model:
     """Pair phase, then head phase, on a training table (row_id, text or embedding, label).
 
+    ``loss`` is any loss of ``fit_adapter`` and ``batches`` its settings; losses of batches of labelled rows need no
+    pairs, and class labels rather than label sets.
+
     ``pairs='exact'`` lists all pairs of a few-shot sample; 'drawn' gives every row
     ``num_iterations`` partners of each kind and suits any size.  With ``max_pairs`` a budget of distinct
     pairs is drawn (for label sets: one partner of each kind a row, up to the budget), also from tables of any size.
@@ -160,8 +172,12 @@ def train(
     try:
         if epochs:
             labels = vectors.select(row_id, "label")
+            if loss in BATCH_LOSSES and multi_target is not None:
+                raise ValueError(f"the loss {loss!r} needs one label a row")
             draw = drawn_pairs if multi_target is None else drawn_pairs_multilabel
-            if pairs == "drawn":
+            if loss in BATCH_LOSSES:
+                chosen = None
+            elif pairs == "drawn":
                 chosen = draw(labels, num_iterations or 1, seed, row_id=row_id)
             elif max_pairs != -1 and multi_target is None:
                 chosen = balance_pairs(capped_pairs(labels, max_pairs, seed, row_id=row_id), strategy, None, seed)
@@ -172,7 +188,7 @@ def train(
                 every = contrastive_pairs(labels, multilabel=multi_target is not None, row_id=row_id)
                 per_side = num_iterations * labels.count() if num_iterations else None
                 chosen = balance_pairs(every, strategy, per_side, seed)
-            weights, losses = fit_adapter(chosen, vectors, epochs, lr, row_id=row_id)
+            weights, losses = fit_adapter(chosen, vectors, epochs, lr, row_id=row_id, loss=loss, **(batches or {}))
         ready = vectors if weights is None else adapt(vectors, weights)
         if multi_target is None:
             head = fit_head(ready, estimator=estimator)
