@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 from functools import cache
 
@@ -40,8 +41,8 @@ from handful.llm.common import SPACE, as_batch, byte_values, opened
 from handful.session import cut_lineage, shared_path
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-# Words a worker keeps in each of two generations, some 50 MB each; longer words are not kept.
-CACHED, KEPT_BYTES = 300_000, 128
+# Words a worker keeps in each of two generations, some 90 MB each; longer words are not kept.
+CACHED, KEPT_BYTES = 450_000, 128
 # A control character that stands between words.
 BETWEEN = "\x01"
 # Sentence marks that often end a word.
@@ -230,8 +231,11 @@ class Encoder:
             if word.isalpha():
                 out[k] = self.letter_ids(word)
             elif word[-1:] in MARKS and word[:-1].isalpha():
-                known = self.known.get(word[:-1]) or self.before.get(word[:-1])
-                out[k] = (known or self.letter_ids(word[:-1])) + self.marks[word[-1:]]
+                core = word[:-1]
+                ids = self.known.get(core) or self.before.get(core)
+                if ids is None:
+                    ids = self.known[core] = self.letter_ids(core)
+                out[k] = ids + self.marks[word[-1:]]
             else:
                 rest.append(k)
         for k, ids in zip(rest, self.ids_of_words([words[k] for k in rest])):
@@ -239,7 +243,8 @@ class Encoder:
         return out
 
     def letter_ids(self, word: bytes) -> bytes:
-        return np.array([t.id for t in self.own.model.tokenize(word.lower().decode())], f"<u{self.width}").tobytes()
+        ids = [t.id for t in self.own.model.tokenize(word.lower().decode())]
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def word_ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts by their words, each distinct word looked up once."""
@@ -258,6 +263,7 @@ class Encoder:
         for word in new:
             if len(word) > KEPT_BYTES:
                 del self.known[word]
+                self.known.pop(word[:-1], None)
         ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
         data = found.buffers()[2].to_pybytes() if len(found) and found.buffers()[2] else b""
         cuts = ends[lists.offsets.to_numpy()].tolist()
