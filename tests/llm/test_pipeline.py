@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from handful.llm.queries import ORACLES, QUERIES
-from handful.llm import exact_dedup, mixing, pieces, quality, simhash
+from handful.llm import exact_dedup, mixing, near_copies, pieces, quality
 from tests import oracle
 from tests.llm import cases
 
@@ -43,7 +43,7 @@ def test_pipeline_on_a_folder(spark, tmp_path):
     left = docs.where(docs.doc_id.isin([i for i in good if i is not None]) | docs.doc_id.isNull())
     left = left if None in good else left.where("doc_id is not null")
     left = exact_dedup.drop_exact_copies(left)
-    left = simhash.keep_one_each(left)
+    left = near_copies.keep_one_near(left)
     left = mixing.take_mixture(left)
     want = pieces.encode(left)
     found = Counter((r["doc_id"], tuple(r["token_ids"])) for r in got.collect())
