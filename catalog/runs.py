@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog.base import big, documents, r6, register, table
 from handful.functions import cells as L, text as X
+from handful.functions.order import unique_lists
 from handful.operators import runs as R
-from handful.sources import runs as SR
+from handful.sources import files as SF, runs as SR
 from handful.session import shared_path
 
 # Runs: the flag gives the dataset, supplier the seed, line number the size, part the method.
@@ -515,8 +516,8 @@ def format_score(spark, sf):
 )
 def unique_join(spark, sf):
     user = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.col("user_id").cast("string"))
-    sets = table(spark, sf, "events").groupBy("event_type").agg(F.collect_set(user).alias("u"))
-    return sets.select("event_type", X.unique_join("u").alias("users"))
+    users = table(spark, sf, "events").select("event_type", user.alias("users"))
+    return unique_lists(users, ["event_type"], ["users"]).select("event_type", "users")
 
 
 @register(
@@ -593,3 +594,113 @@ def read_runs(spark, sf):
     return back.select(
         "dataset", "sample_size", "seed", "split", "method", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1")
     )
+
+
+# A tree of run files: folders name dataset, size and a group of seeds; every tenth seed group has a broken file more.
+_TREE = f"""{_RUNS},
+    logged AS (SELECT dataset, sample_size, seed, split FROM runs WHERE seed % 4 = 3 GROUP BY 1, 2, 3, 4 HAVING count(*) = 3),
+    placed AS (SELECT runs.*, 'results/' || replace(dataset, '_', '-') || '/' || sample_size || '-shot/seed-' || seed % 10 AS folder,
+                      CASE WHEN seed % 4 = 0 THEN 'csv' WHEN seed % 4 = 1 THEN 'json' WHEN l.seed IS NOT NULL THEN 'log' ELSE 'jsonl' END AS kind
+               FROM runs LEFT JOIN (SELECT dataset, sample_size, seed, split FROM logged) l USING (dataset, sample_size, seed, split))"""
+
+
+def _write_tree(spark, sf):
+    """Write all runs below the shared folder as CSV, nested JSON, JSON lines and logs, with broken files among them."""
+    rows = runs(spark, sf)
+    cell = ["dataset", "sample_size", "seed", "split"]
+    full = rows.filter("seed % 4 = 3").groupBy(*cell).count().filter("count = 3").select(*cell, F.lit(True).alias("_full"))
+    kind = F.when(F.col("seed") % 4 == 0, "csv").when(F.col("seed") % 4 == 1, "json").when(F.col("_full"), "log").otherwise("jsonl")
+    folder = F.concat(
+        F.lit("results/"), F.replace("dataset", F.lit("_"), F.lit("-")), F.lit("/"), F.col("sample_size").cast("string"),
+        F.lit("-shot/seed-"), (F.col("seed") % 10).cast("string"),
+    )
+    placed = rows.join(full, cell, "left").select("*", kind.alias("kind"), folder.alias("folder"))
+    names = [*cell, "method", "accuracy", "macro_f1"]
+    record = F.to_json(F.struct(*names))
+
+    def texts(name, lines, before="", between="\n", after="\n"):
+        inside = F.array_join(F.array_sort(F.collect_list("line")), between)
+        files = lines.groupBy("folder").agg(F.concat(F.lit(before), inside, F.lit(after)).alias("value"))
+        return files.select(F.concat("folder", F.lit(name)).alias("name"), "value")
+
+    of = lambda k: placed.filter(F.col("kind") == k)
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in names])
+    logs = of("log").groupBy("folder", *cell).agg(
+        *[F.max(F.when(F.col("method") == m, F.format_string("%.3f", "accuracy"))).alias(m) for m in L.METHODS]
+    )
+    told = F.format_string(
+        "Completed dataset=%s shot=%d seed=%d: vanilla=%s, random=%s, error-driven=%s", "dataset", "sample_size", "seed", *L.METHODS
+    )
+    broken = placed.filter("seed % 10 = 9").select(F.concat("folder", F.lit("/vanilla.json")).alias("name"), F.lit('{"results": [').alias("value"))
+    parts = [
+        texts("/runs.csv", of("csv").select("folder", line.alias("line")), ",".join(names) + "\n"),
+        texts("/runs.json", of("json").select("folder", record.alias("line")), '{"results": [' , ",", "]}"),
+        texts("/runs.jsonl", of("jsonl").select("folder", F.concat(F.lit('{"runs": ['), record, F.lit("]}")).alias("line")), "{\n"),
+        texts("/ag-news_shot4_seed1.log", logs.select("folder", told.alias("line")), "start\n", "\n", "\nRuntimeError\n"),
+        broken.distinct(),
+    ]
+    path = shared_path(spark, "run-tree")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    SF.write_texts(out, path)
+    return path
+
+
+@register(
+    "read_run_tree",
+    f"""WITH {_TREE} SELECT dataset, sample_size::VARCHAR AS sample_size, seed::VARCHAR AS seed, CASE WHEN kind = 'log' THEN '' ELSE split END AS split,
+               method, CASE WHEN kind = 'log' THEN round(accuracy, 3) ELSE round(accuracy, 6) END AS accuracy,
+               CASE WHEN kind <> 'log' THEN round(macro_f1, 6) END AS macro_f1 FROM placed""",
+)
+def read_run_tree(spark, sf):
+    """All runs, read back from files of every suffix."""
+    back = SR.read_runs(spark, _write_tree(spark, sf))
+    return back.select("dataset", "sample_size", "seed", "split", "method", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"))
+
+
+@register(
+    "rejected_inputs",
+    f"""WITH {_TREE} SELECT 'no JSON line' AS reason, count(DISTINCT folder) AS n FROM placed WHERE kind = 'jsonl'
+        UNION ALL SELECT 'no JSON', count(DISTINCT folder) FROM placed WHERE seed % 10 = 9""",
+)
+def rejected_inputs(spark, sf):
+    """Texts that gave no run, by reason."""
+    return SR.rejected_inputs(spark, _write_tree(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_JOINED = "list_aggregate({0}[1:30], 'string_agg', ';') || CASE WHEN len({0}) > 30 THEN ';...(+' || (len({0}) - 30) || ')' ELSE '' END"
+
+
+@register(
+    "audit_files",
+    f"""WITH {_TREE}, files AS (
+            SELECT folder || '/runs.' || kind AS path, kind, count(*) AS n, list_sort(list(DISTINCT seed::VARCHAR)) AS seeds,
+                   list_sort(list(DISTINCT method)) AS methods, any_value(dataset) AS dataset, any_value(sample_size)::VARCHAR AS shot
+            FROM placed WHERE kind IN ('csv', 'json') GROUP BY folder, kind)
+        SELECT path, kind, CASE kind WHEN 'csv' THEN n + 1 ELSE 1 END AS line_count, n AS n_rows,
+               CASE kind WHEN 'csv' THEN 'accuracy;dataset;macro_f1;method;sample_size;seed;split' ELSE 'accuracy;dataset;macro_f1;method;sample_size;seed;split' END AS columns,
+               dataset AS unique_dataset, shot AS unique_shot, array_to_string(methods, ';') AS unique_method, {_JOINED.format('seeds')} AS unique_seed,
+               TRUE AS has_seed_field, NULL::BIGINT AS n_completed, NULL::BOOLEAN AS contains_error, NULL::VARCHAR AS parsed_dataset, NULL::VARCHAR AS read_error FROM files
+        UNION ALL SELECT DISTINCT folder || '/vanilla.json', 'json', 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no JSON' FROM placed WHERE seed % 10 = 9
+        UNION ALL SELECT folder || '/ag-news_shot4_seed1.log', 'log', count(*) // 3 + 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*) // 3, TRUE, 'ag_news', NULL
+        FROM placed WHERE kind = 'log' GROUP BY folder""",
+)
+def audit_files(spark, sf):
+    """The audit of the tree; sizes and ages depend on the run and are left out."""
+    found = SF.audit_files(spark, _write_tree(spark, sf))
+    return found.select(
+        "path", "kind", "line_count", "n_rows", "columns", "unique_dataset", "unique_shot", "unique_method", "unique_seed", "has_seed_field",
+        "n_completed", "contains_error", "parsed_dataset", "read_error",
+    )
+
+
+@register(
+    "inventory",
+    f"""WITH {_TREE} SELECT folder || '/runs.' || kind AS path, dataset, sample_size::VARCHAR AS shot, method, count(*) AS n_rows, count(DISTINCT seed) AS n_seeds
+        FROM placed WHERE kind IN ('csv', 'json') GROUP BY ALL
+        UNION ALL SELECT folder || '/ag-news_shot4_seed1.log', dataset, sample_size::VARCHAR, method, count(*), count(DISTINCT seed) FROM placed WHERE kind = 'log' GROUP BY ALL""",
+)
+def inventory(spark, sf):
+    """Runs per file, from records, paths and logs."""
+    return SF.inventory(spark, _write_tree(spark, sf)).select("path", "dataset", "shot", "method", "n_rows", "n_seeds")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import HEAD_SQL, big, head_and_rest, predictions, r6, register, vectors
+from catalog.base import HEAD_SQL, big, head_and_rest, key_sql, predictions, r6, register, vectors
 from handful.functions import vectors as V
 from handful.operators import scoring as M
+from handful.operators.sampling import fewshot_splits, sample_per_class
 
 
 @register(
@@ -184,3 +185,40 @@ def mean_pool(spark, sf):
     )
     pooled = M.pool_tokens(tokens).select("row_id", F.posexplode("embedding").alias("p", "x"))
     return pooled.select("row_id", big(F.col("p") + 1).alias("pos"), r6("x").alias("x"))
+
+
+@register(
+    "predict_top_labels",
+    f"""WITH {HEAD_SQL} SELECT vec_id AS row_id, place, cls AS label, round(p, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, cls::VARCHAR) AS place FROM probs) WHERE place <= 3""",
+)
+def predict_top_labels(spark, sf):
+    """The three best labels of every row outside the sample, the head sent in blocks of four labels."""
+    rows = vectors(spark, sf)
+    picked = sample_per_class(rows.select("row_id", "label"), n=8, seed=42)
+    heads = M.class_means(rows.drop("label").join(picked, "row_id"))
+    rest = rows.join(picked.select("row_id"), "row_id", "left_anti")
+    top = M.predict_top(rest, heads, ["row_id"], k=3, limit=4 * 65).select("row_id", F.posexplode("top").alias("place", "one"))
+    return top.select("row_id", big(F.col("place") + 1).alias("place"), "one.label", r6("one.score").alias("score"))
+
+
+@register(
+    "grid_confusion",
+    f"""WITH grid AS (SELECT unnest([1, 2, 3])::BIGINT AS seed),
+    sample AS (SELECT seed, vec_id, label, embedding FROM (
+        SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY {key_sql('seed', 'vec_id')}, vec_id) AS rn FROM embeddings, grid) WHERE rn <= 8),
+    means AS (SELECT seed, label, pos, avg(v) AS m FROM (
+        SELECT seed, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM sample) GROUP BY 1, 2, 3),
+    bias AS (SELECT seed, label, -sum(m * m) / 2 AS b FROM means GROUP BY 1, 2),
+    held AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    logits AS (SELECT means.seed, vec_id, held.label AS true_label, means.label AS cls, sum(v * m) + min(b) AS z
+               FROM held JOIN means USING (pos) JOIN bias ON bias.label = means.label AND bias.seed = means.seed GROUP BY 1, 2, 3, 4)
+    SELECT seed, true_label, pred_label, count(*) AS n FROM (
+        SELECT seed, vec_id, true_label, arg_max(cls, z)::BIGINT AS pred_label FROM logits GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
+)
+def grid_confusion(spark, sf):
+    """Confusion counts of three seeds' heads over the whole table, counted inside the tasks."""
+    rows = vectors(spark, sf)
+    splits = fewshot_splits(rows.select("row_id", "label"), [8], [1, 2, 3]).withColumn("seed", F.col("seed").cast("bigint"))
+    heads = M.class_means(splits.select("seed", "row_id", "label").join(rows.drop("label"), "row_id"), ["seed"])
+    return M.grid_confusion(rows, M.load_head(heads, ["seed"]), true="label")

@@ -61,6 +61,33 @@ def exact_rank(
     )
 
 
+def unique_lists(df: DataFrame, by: Sequence[str], columns: Sequence[str], limit: int = 30) -> DataFrame:
+    """(by..., columns...): the first ``limit`` distinct non-blank values of each column in text order, joined by
+    ';', with '...(+n)' for n others; '' where there are none. ``n_<column>`` counts the distinct values.
+
+    Values are made distinct first; each task passes on ``limit`` of a group and counts of the rest, so no row
+    grows with the values of its group. Groups without any value are left out.
+    """
+    by = list(by)
+    cells = F.array(*[F.struct(F.lit(c).alias("_field"), F.col(c).cast("string").alias("_value")) for c in columns])
+    values = cut_lineage(df.select(*by, F.inline(cells)).filter("_value <> ''").distinct(), "distinct-values")
+    counts = values.groupBy(*by, "_field").agg(F.count(F.lit(1)).alias("_n"))
+    first = first_per_group(values, [*by, "_field"], ["_value"], limit).groupBy(*by, "_field")
+    heads = first.agg(F.array_join(F.array_sort(F.collect_list("_value")), ";").alias("_head"))
+    empty = F.lit(None)
+    both = heads.withColumn("_n", empty.cast("bigint")).unionByName(counts.withColumn("_head", empty.cast("string")))
+    own = lambda c, v: F.max(F.when(F.col("_field") == c, F.col(v)))
+    out = both.groupBy(*by).agg(
+        *[own(c, "_head").alias(f"_head_{c}") for c in columns], *[F.coalesce(own(c, "_n"), F.lit(0)).alias(f"n_{c}") for c in columns]
+    )
+    told = []
+    for c in columns:
+        rest = F.col(f"n_{c}") - limit
+        more = F.when(rest > 0, F.concat(F.lit(";...(+"), rest.cast("string"), F.lit(")"))).otherwise(F.lit(""))
+        told.append(F.coalesce(F.concat(f"_head_{c}", more), F.lit("")).alias(c))
+    return out.select(*by, *told, *[f"n_{c}" for c in columns])
+
+
 def running_totals(
     steps: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False
 ) -> DataFrame:

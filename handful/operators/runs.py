@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from handful.functions.cells import METHODS
-from handful.functions.order import quantiles
-from handful.functions.text import unique_join
+from handful.functions.order import quantiles, unique_lists
 
 CELL = ["dataset", "sample_size", "split"]
 # The columns of the raw run table, in order.
@@ -228,17 +227,13 @@ def seed_coverage(runs: DataFrame, required: Sequence[int]) -> DataFrame:
 def missing_runs(runs: DataFrame, limit: int = 30) -> DataFrame:
     """Methods with fewer seeds than the best covered method of the same dataset and shot.
 
-    Seeds of one method are collected as distinct text: they are as many as the runs of one cell.
+    The seeds are listed up to ``limit``, with the number of the others.
     """
-    seen = runs.filter(F.col("seed").isNotNull()).groupBy("dataset", "sample_size", "method").agg(
-        F.collect_set(F.col("seed").cast("string")).alias("_seeds")
-    )
-    most = F.max(F.size("_seeds")).over(Window.partitionBy("dataset", "sample_size"))
-    return (
-        seen.select("dataset", "sample_size", "method", F.size("_seeds").alias("runs"), most.alias("expected"), "_seeds")
-        .filter("runs < expected")
-        .withColumn("seeds", unique_join("_seeds", limit))
-        .drop("_seeds")
+    cell = ["dataset", "sample_size", "method"]
+    seen = unique_lists(runs.filter(F.col("seed").isNotNull()), cell, ["seed"], limit)
+    most = F.max("n_seed").over(Window.partitionBy("dataset", "sample_size"))
+    return seen.select(*cell, F.col("n_seed").alias("runs"), most.alias("expected"), F.col("seed").alias("seeds")).filter(
+        "runs < expected"
     )
 
 

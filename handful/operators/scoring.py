@@ -7,18 +7,23 @@ passes through Arrow batches, without a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from handful.functions.order import draw_key, exact_rank
 from handful.functions.vectors import argmax, cosine, l2_normalize, softmax
 from handful.operators.columns import label_name
+from handful.session import cut_lineage
 
 # A head may hold this many numbers (256 MB of doubles); more is refused, not cut.
 MAX_HEAD_NUMBERS = 32_000_000
@@ -118,7 +123,7 @@ class Head:
 
 
 def load_head(heads: DataFrame, by: Sequence[str] = (), limit: int = MAX_HEAD_NUMBERS) -> Head:
-    """Collect a head table; one that holds more than ``limit`` numbers is refused.
+    """Collect a head table; one that holds more than ``limit`` numbers is refused (``predict_top`` takes any size).
 
     Labels are kept in text order.  The stored table must have (by..., label, weights, bias).
     """
@@ -230,6 +235,134 @@ def predict_grid(df: DataFrame, head: Head, keep: Sequence[str], vector: str = "
     return placed.join(F.broadcast(names), ["_cell", "_place"]).drop("_cell", "_place")
 
 
+def grid_confusion(df: DataFrame, head: Head, true: str = "true_label", vector: str = "embedding") -> DataFrame:
+    """Confusion counts of every cell's head over all rows: (by..., true_label, pred_label, n).
+
+    Each task multiplies its batches with all heads, counts (cell, true, predicted) itself and passes on these counts
+    alone, so at most cells x classes^2 rows leave a task however many rows it scores. Rows without a true
+    label are left out; a row without a vector is an error with a NULL prediction.
+    """
+    sample = next(v for labels in head.labels for v in labels)
+    kind = T.StringType() if isinstance(sample, str) else T.LongType()
+    schema = T.StructType(
+        [T.StructField(c, _spark_type(v)) for c, v in zip(head.by, head.cells[0])]
+        + [T.StructField("true_label", df.schema[true].dataType), T.StructField("pred_label", kind), T.StructField("n", T.LongType())]
+    )
+    arrow = to_arrow_schema(schema)
+    joined, bias = np.concatenate(head.weights), np.concatenate(head.bias)
+    edges = np.cumsum([0] + [len(v) for v in head.labels])
+    shared = df.sparkSession.sparkContext.broadcast((joined, bias))
+    cell_of = np.repeat(np.arange(len(head.cells)), np.diff(edges))
+    label_of = [label for labels in head.labels for label in labels]
+
+    def run(batches):
+        weights, plus = shared.value
+        codes, counts = {}, Counter()
+        for batch in batches:
+            trues = [codes.setdefault(v, len(codes)) for v in batch.column(0).to_pylist()]
+            known = np.asarray(batch.column(1).is_valid())
+            x = batch.column(1).drop_null()
+            code, none = np.array(trues, np.int64)[known], np.array(trues, np.int64)[~known]
+            counts.update((t, -1) for t in none.tolist())
+            if not len(x):
+                continue
+            logits = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) @ weights.T + plus
+            flat = [code * len(weights) + a + logits[:, a:b].argmax(axis=1) for a, b in zip(edges, edges[1:])]
+            found, times = np.unique(np.concatenate(flat), return_counts=True)
+            for f, n in zip(found.tolist(), times.tolist()):
+                counts[divmod(f, len(weights))] += n
+        names = list(codes)
+        rows = []
+        for (t, place), n in counts.items():
+            if place < 0:
+                rows += [(*cell, names[t], None, n) for cell in head.cells]
+            else:
+                rows.append((*head.cells[cell_of[place]], names[t], label_of[place], n))
+        for at in range(0, len(rows), 10_000):
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 10_000]), arrow)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    narrow = df.filter(F.col(true).isNotNull()).select(true, F.col(vector).cast("array<double>").alias("vector"))
+    counted = narrow.mapInArrow(run, schema)
+    return counted.groupBy(*head.by, "true_label", "pred_label").agg(F.sum("n").alias("n"))
+
+
+def predict_top(
+    df: DataFrame,
+    heads: DataFrame,
+    keep: Sequence[str],
+    k: int = 1,
+    vector: str = "embedding",
+    limit: int = MAX_HEAD_NUMBERS,
+) -> DataFrame:
+    """The ``k`` best labels of a head of any size: (keep..., top), ``top`` an array of (label, score), best first.
+
+    The head table (label, weights, bias) is cut into blocks of at most ``limit`` numbers. Block by block goes to the tasks,
+    which keep each row's best labels so far and the sum of all powers, so scores are those of the softmax over
+    all labels. Rows never move. Ties go to the label first in text order; a row without a vector has a NULL ``top``.
+    """
+    sample = heads.select(F.size("weights").alias("d")).first()
+    if sample is None:
+        raise ValueError("The head has no labels.")
+    block = max(1, limit // (sample["d"] + 1))
+    kind = heads.schema["label"].dataType
+    placed = exact_rank(heads.select("label"), draw_key(0, "label"), ["label"], name="_place")
+    placed = placed.select("label", F.floor(F.col("_place") / block).alias("_block"))
+    table = cut_lineage(heads.select("label", F.col("weights").cast("array<double>").alias("weights"), "bias").join(placed, "label"), "head-blocks")
+    blocks = -(-table.count() // block)
+    state = T.StructType(
+        [T.StructField("labels", T.ArrayType(kind)), T.StructField("logits", T.ArrayType(T.DoubleType())), T.StructField("total", T.DoubleType())]
+    )
+    empty = F.struct(F.array().cast(T.ArrayType(kind)).alias("labels"), F.array().cast("array<double>").alias("logits"), F.lit(0.0).alias("total"))
+    rows = df.select(*keep, F.col(vector).cast("array<double>").alias("_x"), empty.alias("_s"))
+    for number in range(blocks):
+        own = sorted(table.filter(F.col("_block") == number).collect(), key=lambda r: str(r["label"]))
+        shared = df.sparkSession.sparkContext.broadcast(
+            ([r["label"] for r in own], np.array([r["weights"] for r in own], np.float64), np.array([r["bias"] for r in own], np.float64))
+        )
+        merged = _merge_block(shared, k, state)
+        rows = rows.select(*keep, "_x", merged(F.col("_x"), F.col("_s")).alias("_s"))
+        # The block has been used when the next one comes, so tasks hold one at a time.
+        if number + 1 < blocks:
+            rows = cut_lineage(rows, "top-labels")
+            shared.destroy()
+    scores = F.transform(
+        F.arrays_zip(F.col("_s.labels").alias("label"), F.col("_s.logits").alias("logit")),
+        lambda e: F.struct(e["label"].alias("label"), (F.exp(e["logit"] - F.col("_s.logits")[0]) / F.col("_s.total")).alias("score")),
+    )
+    return rows.select(*keep, F.when(F.col("_x").isNotNull(), scores).alias("top"))
+
+
+def _merge_block(shared, k: int, state: T.StructType):
+    """Rows' best labels and sum of powers (relative to the best logit) after one more block of labels."""
+
+    @F.pandas_udf(state)
+    def merge(x: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        labels, weights, bias = shared.value
+        out = []
+        for at in range(0, len(x), 256):
+            part = x.iloc[at : at + 256]
+            known = part.notna().to_numpy()
+            logits = np.full((len(part), len(labels)), -np.inf)
+            if known.any():
+                logits[known] = (np.stack(part[known].to_numpy()) @ weights.T + bias) / (TEMPERATURE + EPSILON)
+            some = min(k, len(labels))
+            edge = np.partition(logits, len(labels) - some, axis=1)[:, len(labels) - some]
+            for i, row in enumerate(logits):
+                if not known[i]:
+                    out.append((None, None, None))
+                    continue
+                old = before.iloc[at + i]
+                pairs = list(zip(old["logits"], old["labels"])) + [(row[j], labels[j]) for j in np.flatnonzero(row >= edge[i])]
+                best = sorted(pairs, key=lambda p: (-p[0], str(p[1])))[:k]
+                top = best[0][0]
+                had = old["total"] * np.exp(old["logits"][0] - top) if len(old["logits"]) else 0.0
+                out.append(([p[1] for p in best], [float(p[0]) for p in best], float(had + np.exp(row - top).sum())))
+        return pd.DataFrame(out, columns=["labels", "logits", "total"])
+
+    return merge
+
+
 def _spark_type(value) -> T.DataType:
     if isinstance(value, str):
         return T.StringType()

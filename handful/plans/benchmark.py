@@ -16,7 +16,7 @@ from handful.operators.columns import label_name
 from handful.operators.heads import fit_cells
 from handful.operators.runs import pending_runs
 from handful.operators.sampling import downsample_cells, fewshot_splits
-from handful.operators.scoring import class_means, embed, load_head, predict_grid
+from handful.operators.scoring import class_means, embed, grid_confusion, load_head
 from handful.session import cut_lineage, join_checked
 
 CELL = ["sample_size", "seed"]
@@ -84,7 +84,7 @@ def fewshot_benchmark(
 
     def confusion_of(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         heads = load_head(_heads(rows, by, head), by)
-        return cut_lineage(E.confusion(predict_grid(scored, heads, ["true_label"]), by))
+        return cut_lineage(grid_confusion(scored, heads))
 
     vanilla = confusion_of(core, CELL)
 

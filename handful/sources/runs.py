@@ -7,16 +7,13 @@ Nested records are VARIANT values, unwrapped level by level as rows until none i
 
 from __future__ import annotations
 
-import csv
-import io
-import json
 from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from handful.session import cut_lineage
 from handful.functions.cells import normalize_dataset, normalize_method, parse_path, safe_float, safe_int
+from handful.sources.files import csv_rows, file_facts
 
 # Keys that may hold further records, per kind of search.
 CONTAINERS = ("results", "records", "runs", "items", "summary", "metrics")
@@ -176,30 +173,24 @@ def json_documents(texts: DataFrame, text: str = "value") -> DataFrame:
     ).drop("_at")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _csv_rows(files: pd.Series) -> pd.Series:
-    """Rows of each CSV text as JSON objects of text cells."""
-    def rows(text: str | None) -> list[str]:
-        try:
-            reader = csv.DictReader(io.StringIO((text or "").removeprefix("\ufeff")))
-            return [json.dumps({k: v for k, v in row.items() if k}, ensure_ascii=False) for row in reader]
-        except csv.Error:
-            return []
+def _csv_read(spark: SparkSession, path: str) -> DataFrame:
+    """CSV rows with their run fields ``_f``; files made by the summaries are skipped."""
+    rows = csv_rows(spark, path, GENERATED_FILES)
+    return rows.withColumn("_f", run_fields(F.to_variant_object("cells"), F.col("result_file")))
 
-    return pd.Series([rows(t) for t in files], dtype=object)
 
+def csv_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Run rows of the CSV files below ``path``, each with its own header."""
+    rows = _csv_read(spark, path).filter(F.col("reason").isNull() & is_run(F.col("_f")))
+    return rows.select("_f.*", "result_file", "position")
 
-def csv_runs(texts: DataFrame, text: str = "value", file: str = "result_file") -> DataFrame:
-    """Run rows of whole CSV texts, each with its own header; files made by the summaries are skipped."""
-    name = F.element_at(F.split(F.col(file), "/"), -1)
-    rows = texts.filter(~name.isin(*GENERATED_FILES)).select(
-        F.col(file).alias("result_file"), F.posexplode(_csv_rows(F.col(text))).alias("position", "_t")
-    )
-    return (
-        rows.withColumn("_f", run_fields(F.try_parse_json("_t"), F.col("result_file")))
-        .filter(is_run(F.col("_f")))
-        .select("_f.*", "result_file", F.array(F.col("position").cast("bigint")).alias("position"))
-    )
+
+def rejected_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(result_file, value, reason) of every CSV row that gives no run."""
+    lacks = F.concat_ws(", ", *[F.when(F.col("_f")[c].isNull(), F.lit(c)) for c in ("dataset", "method", "sample_size", "accuracy")])
+    reason = F.coalesce("reason", F.when(~F.coalesce(is_run(F.col("_f")), F.lit(False)), F.concat(F.lit("no run without "), lacks)))
+    rows = _csv_read(spark, path).select("result_file", F.concat_ws(",", F.map_values("cells")).alias("value"), reason.alias("reason"))
+    return rows.filter("reason is not null")
 
 
 def log_runs(texts: DataFrame, text: str = "value", file: str = "result_file") -> DataFrame:
@@ -250,7 +241,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     parts = [
         json_runs(json_documents(read_texts(spark, path, "*.json"))),
         json_runs(read_texts(spark, path, "*.jsonl", whole=False)),
-        csv_runs(read_texts(spark, path, "*.csv")),
+        csv_runs(spark, path),
         log_runs(read_texts(spark, path, "*.{log,txt}", whole=False)),
     ]
     out = parts[0]
@@ -266,17 +257,14 @@ def rejected_inputs(spark: SparkSession, path: str) -> DataFrame:
         return texts.select("result_file", F.substring("value", 1, 200).alias("line"), F.lit(reason).alias("reason"))
 
     logs = read_texts(spark, path, "*.{log,txt}", whole=False)
-    tables = read_texts(spark, path, "*.csv")
-    kept = ["dataset", "task", "method", "accuracy", "score"]
-    head = F.lower(F.split(F.col("value"), "\r?\n")[0])
-    named = F.lit(False)
-    for name in kept:
-        named = named | head.contains(name)
+    facts = file_facts(spark, path, ["json", "jsonl", "csv", "log", "txt"])
+    unread = facts.filter(~F.col("read_error").startswith("UnicodeDecodeError"))
     return (
         told(rejected_json(json_documents(read_texts(spark, path, "*.json"))), "no JSON")
         .unionByName(told(rejected_json(read_texts(spark, path, "*.jsonl", whole=False)), "no JSON line"))
-        .unionByName(told(tables.filter(~named), "no known column"))
+        .unionByName(rejected_csv(spark, path).select("result_file", F.substring("value", 1, 200).alias("line"), "reason"))
         .unionByName(told(logs.filter(F.col("value").startswith("Completed") & ~F.col("value").rlike(COMPLETED)), "no finished run"))
+        .unionByName(unread.select("result_file", F.lit(None).cast("string").alias("line"), F.col("read_error").alias("reason")))
     )
 
 

@@ -218,3 +218,34 @@ def test_scoring_runs_on_a_stream(spark, tmp_path):
     query = M.predict(stream, head).select("row_id", "pred_label").writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(spark.table("scored")) == rows(M.predict(cloud(spark), head), "row_id", "pred_label")
+
+
+def test_confusion_of_a_grid_is_that_of_its_predictions(spark):
+    df = cloud(spark).withColumn("cell", F.explode(F.array(F.lit(1), F.lit(2)))).filter("cell = 1 or row_id < 30")
+    heads = M.load_head(H.fit_cells(df, ["cell"]), ["cell"])
+    data = cloud(spark).withColumn("label", F.when(F.col("row_id") != 7, F.col("label")))
+    data = data.withColumn("embedding", F.when(F.col("row_id") != 9, F.col("embedding")))
+    got = [tuple(r) for r in M.grid_confusion(data, heads, true="label").select("cell", "true_label", "pred_label", "n").collect()]
+    preds = M.predict_grid(data.filter("embedding is not null"), heads, ["label"])
+    want = rows(E.confusion(preds, ["cell"], true="label"), "cell", "true_label", "pred_label", "n")
+    assert sorted(map(str, got)) == sorted(map(str, want + [(1, 0, None, 1), (2, 0, None, 1)]))
+
+
+def test_heads_of_any_size_go_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=(1000, 6))
+    weights[17] = weights[411] = weights[412]
+    heads = spark.createDataFrame([(f"l{i:03d}", w.tolist(), 0.1) for i, w in enumerate(weights)], "label string, weights array<double>, bias double")
+    x = [rng.normal(size=6).tolist() for _ in range(40)] + [None, (weights[17] * 9).tolist()]
+    df = spark.createDataFrame(list(enumerate(x)), "row_id long, embedding array<double>")
+    blocks, whole = ({r["row_id"]: r["top"] for r in M.predict_top(df, heads, ["row_id"], k=4, limit=n).collect()} for n in (700, 10**6))
+    full = {r["row_id"]: r for r in M.predict(df.filter("embedding is not null"), M.load_head(heads)).collect()}
+    assert blocks[40] is None and whole[40] is None
+    for i, row in full.items():
+        assert i == 41 or [t["label"] for t in blocks[i]] == [t["label"] for t in whole[i]]
+        assert i == 41 or blocks[i][0]["label"] == row["pred_label"]
+        assert blocks[i][0]["score"] == pytest.approx(row["score"])
+        assert [t["score"] for t in blocks[i]] == pytest.approx(sorted(row["probs"], reverse=True)[:4])
+    assert sorted(t["label"] for t in blocks[41][:3]) == ["l017", "l411", "l412"]
+    with pytest.raises(ValueError, match="no labels"):
+        M.predict_top(df, heads.limit(0), ["row_id"])
