@@ -234,7 +234,8 @@ def test_confusion_of_a_grid_is_that_of_its_predictions(spark):
 def test_heads_of_any_size_go_in_blocks(spark):
     rng = np.random.default_rng(3)
     weights = rng.normal(size=(1000, 6))
-    weights[17] = weights[411] = weights[412]
+    weights[17] = weights[411] = 6 * weights[412]
+    weights[412] = weights[17]
     heads = spark.createDataFrame([(f"l{i:03d}", w.tolist(), 0.1) for i, w in enumerate(weights)], "label string, weights array<double>, bias double")
     x = [rng.normal(size=6).tolist() for _ in range(40)] + [None, (weights[17] * 9).tolist()]
     df = spark.createDataFrame(list(enumerate(x)), "row_id long, embedding array<double>")
