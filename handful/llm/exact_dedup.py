@@ -1,9 +1,13 @@
 """Exact duplicates by a stateful stream: DataFrame functions only.
 
-Digests arrive as a file stream. Keyed state on disk (RocksDB), never expired, retains for each
-digest the stable id of the row that stays, the locator of its content and the number of arrivals;
-a restarted stream goes on from its checkpoint. Every digest that was hit again is then checked on
-full bytes: rows are grouped by digest and content, and a digest with two contents is taken apart.
+Normalised texts are stored as arrival files, and their digests arrive as a file stream. Keyed state on disk (RocksDB),
+never expired, retains for each digest the stable id of the row that stays, the locator of its content (arrival file
+and row) and the number of arrivals. With a ``state`` folder of the caller a later call adds its rows to the same files and goes on
+from the same state, and its result covers all rows that ever arrived; else the folder is one of its own.
+
+Every digest that was hit again is checked on full bytes: a bitmap of the hits, of bounded size, is held against the arrivals
+where they are read, so that texts without a copy are never shuffled; the others are compared by digest and content, and
+a digest with two contents is taken apart.
 
 Defined results: a null text is the empty text, and equal to it. Rows without id count in their
 group and stay only where no row of the group has an id. Of rows that agree in id and text,
@@ -24,6 +28,10 @@ STATE = {
 }
 
 
+# Bits of the bitmap of hits that tasks hold at most.
+MOST_BITS = 1 << 28
+
+
 def arrivals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, content): the normalised text and its digest."""
     content = ascii_lower(F.coalesce(F.col(text), F.lit("")))
@@ -32,28 +40,30 @@ def arrivals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def stream_groups(staged: DataFrame, path: str, files_per_batch: int) -> DataFrame:
-    """(digest, keep, locator, n) of every digest, kept in the state of one stream.
+def stream_groups(path: str, staged: DataFrame, state: str, files_per_batch: int) -> DataFrame:
+    """(digest, keep, locator, n) of every digest, kept in the state of one stream over the arrival files at ``path``.
 
-    ``staged`` describes the table at ``path``. Each micro-batch takes ``files_per_batch`` of its files
-    and writes the groups it changed; a repeated batch replaces its own output.
+    Each micro-batch takes ``files_per_batch`` new files and writes the groups it changed; a repeated batch replaces its own
+    output.
     """
     spark = staged.sparkSession
-    out, memory = shared_path(spark, "exact-groups"), shared_path(spark, "exact-state")
+    out = f"{state}/groups"
     before = {name: spark.conf.get(name, None) for name in STATE}
     for name, value in STATE.items():
         spark.conf.set(name, value)
     try:
+        locator = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
         groups = (
-            spark.readStream.schema(staged.schema)
+            spark.readStream.schema("key bigint, digest string")
             .option("maxFilesPerTrigger", files_per_batch)
             .parquet(path)
+            .select("key", "digest", locator.alias("locator"))
             .groupBy("digest")
             .agg(F.max(F.struct("key", "locator")).alias("kept"), F.count(F.lit(1)).alias("n"))
         )
         query = (
             groups.writeStream.outputMode("update")
-            .option("checkpointLocation", memory)
+            .option("checkpointLocation", f"{state}/stream")
             .trigger(availableNow=True)
             .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
             .start()
@@ -62,10 +72,8 @@ def stream_groups(staged: DataFrame, path: str, files_per_batch: int) -> DataFra
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-    schema = "digest string, kept struct<key: bigint, locator: string>, n bigint, batch int"
-    changes = spark.createDataFrame([], schema)
-    if query.lastProgress is not None and not staged.isEmpty():
-        changes = spark.read.schema(schema).parquet(out)
+    schema = "digest string, kept struct<key: bigint, locator: struct<file: string, row: bigint>>, n bigint, batch int"
+    changes = spark.createDataFrame([], schema) if staged.isEmpty() else spark.read.schema(schema).parquet(out)
     # Counts only grow, so the largest is the last state of a digest.
     last = changes.groupBy("digest").agg(F.max(F.struct("n", "kept")).alias("last"))
     return last.select(
@@ -76,35 +84,48 @@ def stream_groups(staged: DataFrame, path: str, files_per_batch: int) -> DataFra
     )
 
 
+def among_hits(rows: DataFrame, hits: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows whose digest may be a hit, found where they are read: all hits, and few others.
+
+    The bitmap has some 64 bits a hit, up to ``most_bits`` (32 MB), in pieces of 4 KB; beyond, more rows pass.
+    """
+    bits = 1 << min(most_bits.bit_length() - 1, max(16, (hits.count() * 64).bit_length()))
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+    pieces = hits.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("piece"))
+    bitmap = pieces.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    placed = rows.withColumn("place", place).withColumn("piece", F.bitmap_bucket_number("place"))
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)")), 16, 10).cast("bigint")
+    # At most most_bits / 8 bytes are broadcast.
+    met = placed.join(F.broadcast(bitmap), "piece").where(F.getbit(byte, at % 8) == 1)
+    return met.select(*rows.columns)
+
+
 def exact_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", files_per_batch: int = 64
+    docs: DataFrame, key: str = "doc_id", text: str = "text", files_per_batch: int = 64, state: str | None = None
 ) -> DataFrame:
-    """One row per row of ``docs``: key, digest, keep, locator, n, kept, and ``alike``, its rows of equal id and text."""
+    """One row per arrived row: key, digest, keep, locator, n, kept, and ``alike``, its rows of equal id and text."""
     spark = docs.sparkSession
-    rows = arrivals(docs, key, text)
-    path = shared_path(spark, "exact-arrivals")
-    (
-        docs.select(
-            F.col(key).cast("bigint").alias("key"),
-            F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256).alias("digest"),
-            F.input_file_name().alias("locator"),
-        ).write.parquet(path)
-    )
-    staged = spark.read.schema("key bigint, digest string, locator string").parquet(path)
-    groups = cut_lineage(stream_groups(staged, path, files_per_batch), "exact-groups")
+    state = state or shared_path(spark, "exact-state")
+    path = f"{state}/arrivals"
+    arrivals(docs, key, text).withColumn("key", F.col("key").cast("bigint")).write.mode("append").parquet(path)
+    stored = spark.read.schema("key bigint, digest string, content string").parquet(path)
+    staged = stored.select("key", "digest")
+    groups = cut_lineage(stream_groups(path, staged, state, files_per_batch), "exact-groups")
 
-    contents = rows.groupBy("digest", "content").agg(F.max("key").alias("keep"), F.count(F.lit(1)).alias("n"))
     hits = groups.where("n > 1").select("digest")
-    doubted = cut_lineage(
-        contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"), "exact-doubted"
-    ).select("digest")
     found = numbered(staged, "key", "digest").join(groups, "digest")
+    contents = among_hits(stored, hits).select("digest", "content").distinct()
+    doubted = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest")
+    doubted = cut_lineage(doubted, "exact-doubted")
     if not doubted.isEmpty():
         # Different bytes under one digest: their groups are those of the bytes.
+        bytes_of = among_hits(stored, doubted).join(doubted, "digest", "left_semi")
+        own = bytes_of.groupBy("digest", "content").agg(F.max("key").alias("keep"), F.count(F.lit(1)).alias("n"))
         split = (
-            numbered(rows.join(doubted.join(hits, "digest", "left_semi"), "digest", "left_semi"), "key", "digest", "content")
-            .join(contents, ["digest", "content"])
-            .select("key", "digest", "number", "alike", "keep", F.lit(None).cast("string").alias("locator"), "n")
+            numbered(bytes_of, "key", "digest", "content")
+            .join(own, ["digest", "content"])
+            .select("key", "digest", "number", "alike", "keep", F.lit(None).cast(groups.schema["locator"].dataType).alias("locator"), "n")
         )
         found = found.join(doubted, "digest", "left_anti").unionByName(split)
     return found.withColumn("kept", F.col("key").eqNullSafe(F.col("keep")) & (F.col("number") == 1))

@@ -65,6 +65,40 @@ def test_different_bytes_under_one_digest_are_taken_apart(spark, monkeypatch):
     )
 
 
+def test_a_second_run_goes_on_from_the_state_of_the_first(spark, tmp_path):
+    rows = [(i, "Ab" if i % 2 else f"t{i}", "en", "s", 1) for i in range(40)]
+    state = str(tmp_path / "state")
+    first = exact_dedup.exact_groups(cases.table(spark, rows[:25]).repartition(3), state=state)
+    assert collected(first, "key", "keep", "n", "kept", "digest") == expected_exact(rows[:25])
+    second = exact_dedup.exact_groups(cases.table(spark, rows[25:]).repartition(2), state=state)
+    assert collected(second, "key", "keep", "n", "kept", "digest") == expected_exact(rows)
+    # A third run without new rows reads no arrival again and tells the same.
+    third = exact_dedup.exact_groups(cases.table(spark, []), state=state)
+    assert collected(third, "key", "keep", "n", "kept", "digest") == expected_exact(rows)
+
+
+def test_locators_lead_to_the_kept_content(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    state = str(tmp_path / "state")
+    found = exact_dedup.exact_groups(cases.table(spark), state=state).where("kept").select("digest", "locator.*")
+    stored = spark.read.parquet(f"{state}/arrivals").select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), F.sha2("content", 256).alias("have")
+    )
+    assert found.join(stored, ["file", "row"]).where("digest = have").count() == found.count() > 10
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 28])
+def test_texts_without_a_copy_do_not_pass_the_bitmap(spark, bits):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
+    hits = rows.where("id % 50 = 0").select("digest")
+    met = {r["id"] for r in exact_dedup.among_hits(rows, hits, bits).collect()}
+    assert set(range(0, 5000, 50)) <= met and len(met) < 160
+    assert exact_dedup.among_hits(rows, hits.limit(0), bits).count() == 0
+
+
 def test_drop_exact_copies_keeps_columns_and_one_row_each(spark):
     rows = cases.documents()
     docs = cases.table(spark, extra=True)
