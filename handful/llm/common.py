@@ -13,6 +13,8 @@ from handful.session import cut_lineage
 
 # White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = b" \t\n\x0b\x0c\r"
+# Bits of a bitmap of wanted values that tasks hold at most.
+MOST_BITS = 1 << 28
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
@@ -73,3 +75,20 @@ def keep_rows(docs: DataFrame, key: str, mark: Column, stay: DataFrame) -> DataF
     if not stay.where("_stay_n > 1").isEmpty():
         single = single.unionByName(found.where("_stay_n > 1").dropDuplicates(["_stay_id", "_stay_mark"]))
     return single.select(*docs.columns)
+
+
+def among(rows: DataFrame, wanted: DataFrame, column: str, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows whose value in ``column`` may be one of ``wanted``, found where they are read: all of them, and few others.
+
+    A bitmap of hashes has some 64 bits a value, up to ``most_bits`` (32 MB), in pieces of 4 KB; beyond, more
+    other rows pass. Values in ``wanted`` are distinct.
+    """
+    bits = 1 << min(most_bits.bit_length() - 1, max(16, (wanted.count() * 64).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    pieces = wanted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_piece"))
+    bitmap = pieces.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bitmap"))
+    placed = rows.withColumn("_place", place).withColumn("_piece", F.bitmap_bucket_number("_place"))
+    byte = F.expr("cast(conv(hex(substring(_bitmap, cast(bitmap_bit_position(_place) div 8 as int) + 1, 1)), 16, 10) as bigint)")
+    # At most most_bits / 8 bytes are broadcast.
+    met = placed.join(F.broadcast(bitmap), "_piece").where(F.getbit(byte, F.bitmap_bit_position("_place") % 8) == 1)
+    return met.select(*rows.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from handful.llm.common import ascii_lower, keep_rows
+from handful.llm.common import among, ascii_lower, keep_rows
 from handful.session import cut_lineage, shared_path
 
 # Keyed state on disk; without preallocated files, which would take megabytes for every partition.
@@ -28,10 +28,6 @@ STATE = {
 }
 
 
-# Bits of the bitmap of hits that tasks hold at most.
-MOST_BITS = 1 << 28
-
-
 def arrivals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, content): the normalised text and its digest."""
     content = ascii_lower(F.coalesce(F.col(text), F.lit("")))
@@ -84,23 +80,6 @@ def stream_groups(path: str, staged: DataFrame, state: str, files_per_batch: int
     )
 
 
-def among_hits(rows: DataFrame, hits: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows whose digest may be a hit, found where they are read: all hits, and few others.
-
-    The bitmap has some 64 bits a hit, up to ``most_bits`` (32 MB), in pieces of 4 KB; beyond, more rows pass.
-    """
-    bits = 1 << min(most_bits.bit_length() - 1, max(16, (hits.count() * 64).bit_length()))
-    place = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
-    pieces = hits.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("piece"))
-    bitmap = pieces.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
-    placed = rows.withColumn("place", place).withColumn("piece", F.bitmap_bucket_number("place"))
-    at = F.bitmap_bit_position("place")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)")), 16, 10).cast("bigint")
-    # At most most_bits / 8 bytes are broadcast.
-    met = placed.join(F.broadcast(bitmap), "piece").where(F.getbit(byte, at % 8) == 1)
-    return met.select(*rows.columns)
-
-
 def exact_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", files_per_batch: int = 64, state: str | None = None
 ) -> DataFrame:
@@ -115,12 +94,12 @@ def exact_groups(
 
     hits = groups.where("n > 1").select("digest")
     found = numbered(staged, "key", "digest").join(groups, "digest")
-    contents = among_hits(stored, hits).select("digest", "content").distinct()
+    contents = among(stored, hits, "digest").select("digest", "content").distinct()
     doubted = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest")
     doubted = cut_lineage(doubted, "exact-doubted")
     if not doubted.isEmpty():
         # Different bytes under one digest: their groups are those of the bytes.
-        bytes_of = among_hits(stored, doubted).join(doubted, "digest", "left_semi")
+        bytes_of = among(stored, doubted, "digest").join(doubted, "digest", "left_semi")
         own = bytes_of.groupBy("digest", "content").agg(F.max("key").alias("keep"), F.count(F.lit(1)).alias("n"))
         split = (
             numbered(bytes_of, "key", "digest", "content")

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from handful.llm.common import LOWER, as_batch, byte_values
+from handful.llm.common import LOWER, among, as_batch, byte_values
 from handful.llm.simhash import BITS, components, mark_of
 from handful.session import cut_lineage
 
@@ -107,6 +107,9 @@ def signatures(rows: DataFrame, text: str, words: int) -> DataFrame:
 def compared(pairs: DataFrame, rows: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """(a, b, linked): whether the shingle sets of the two rows agree; a row ``a`` of many pairs is met in slices."""
     texts = rows.select(F.col(NODE).alias("node"), F.col(text).alias("text"))
+    # Texts of rows without a candidate are not shuffled.
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = among(texts, wanted, "node")
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
     members = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
     members = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "text")
@@ -139,7 +142,7 @@ def compared(pairs: DataFrame, rows: DataFrame, text: str, words: int, similarit
 def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """(a, b) of linked rows by their numbers, a < b."""
     marks = cut_lineage(signatures(rows, text, words), "signatures")
-    members = marks.select("node", "print", "further", F.lit(False).alias("settled"), F.posexplode("keys").alias("band", "key"))
+    members = marks.select("node", "print", F.lit(False).alias("settled"), F.posexplode("keys").alias("band", "key"))
     judged, done = None, 0
     while True:
         open_one = F.when(~F.col("settled"), F.struct("node", "print"))
@@ -155,16 +158,17 @@ def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> Dat
         pairs = left.where("near").select("a", "b").distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs, "pairs")
         found = compared(pairs, rows, text, words, similarity)
         judged = cut_lineage(found if judged is None else judged.unionByName(found), "compared")
         linked = judged.where("linked").select("a", "b", F.lit(True).alias("now"))
         members = left.join(linked, ["a", "b"], "left").select(
-            "node", "print", "further", (F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled"), "band", "key"
+            "node", "print", (F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled"), "band", "key"
         )
         done += 1
         if done >= PLAIN_ROUNDS and done - PLAIN_ROUNDS < FURTHER:
-            more = F.element_at("further", done - PLAIN_ROUNDS + 1)
-            members = members.withColumn("key", F.xxhash64("key", more))
+            more = marks.select("node", F.element_at("further", done - PLAIN_ROUNDS + 1).alias("more"))
+            members = members.join(more, "node").withColumn("key", F.xxhash64("key", "more")).drop("more")
     if judged is None:
         return left.select("a", "b")
     return judged.where("linked").select("a", "b")

@@ -14,13 +14,15 @@ and sent to the executors; it is bounded (some 32,000 pieces).
 
 Defined results: a null or empty text has no pieces. Decoding turns the piece space back into spaces, so a
 text that holds the character U+2581 itself comes back with spaces there and ``round_trip`` is false; it is
-true for all others. Long texts, also without any space, are encoded whole. Rows that repeat an id stay rows;
+true for all others. Long texts are encoded whole; a segment of more than ``LONG`` bytes without a space is merged by a heap, in
+time and memory in proportion to it. Rows that repeat an id stay rows;
 an empty table gives no rows; extra columns take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from itertools import chain, repeat
 
@@ -35,9 +37,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SEGMENT = re.compile(rb" *[^ \n]+|\n+| +")
 # Segments a worker keeps, some 50 MB; workers live on after their task.
-CACHED = 200_000
-BATCH_BYTES = 4 << 20
+CACHED, CACHED_BYTES = 200_000, 16 << 20
+BATCH_BYTES = 2 << 20
 SLOTS = 20
+# Pairs a worker knows at most, some 4 MB; beyond, it starts anew.
+PAIRS = 400_000
+# Segments of more bytes are merged by a heap.
+LONG = 512
 END = 0xFF
 
 
@@ -74,6 +80,7 @@ class Pieces:
             if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i))
         ]
         self.rank = {names[i]: (-own.get_score(i), i) for i in plain}
+        self.longest = max(map(len, self.rank), default=0)
         self.names = names
         self.unknown = size
         self.byte_ids = np.array([own.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
@@ -110,6 +117,7 @@ class Pieces:
     def forget(self) -> None:
         """Empty the cache of segments."""
         self.number: dict[bytes, int] = {}
+        self.held = 0
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
@@ -123,6 +131,41 @@ class Pieces:
             k = min(found)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
+    def merge_long(self, text: str) -> list[int]:
+        """The same of a long text, also with characters that have no piece, by a heap of neighbours."""
+        parts, n = list(text), len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, longest = self.rank, self.longest
+        heap = []
+
+        def join(k: int) -> None:
+            if after[k] < n:
+                both = parts[k] + parts[after[k]]
+                if len(both) <= longest and both in rank:
+                    heapq.heappush(heap, (rank[both][0], k, both))
+
+        for k in range(n):
+            join(k)
+        while heap:
+            _, k, both = heapq.heappop(heap)
+            right = after[k]
+            if right >= n or parts[k] + parts[right] != both:
+                continue
+            parts[k], parts[right] = both, ""
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+            join(k)
+            if before[k] >= 0:
+                join(before[k])
+        out: list[int] = []
+        for part in parts:
+            if part in rank:
+                out.append(rank[part][1])
+            elif part:
+                out += self.byte_ids[list(part.encode())].tolist()
+        return out
+
     def stands_alone(self, ids: np.ndarray) -> np.ndarray:
         for i in np.unique(ids[self.alone[ids] < 0]).tolist():
             self.alone[i] = self.merge(self.names[i]) == [i]
@@ -145,6 +188,13 @@ class Pieces:
             for key in new.tolist():
                 a, b = divmod(key, self.unknown + 1)
                 found.append(self.merge(self.names[a] + self.names[b]) == [a, b])
+            if len(self.pairs) > PAIRS:
+                self.pairs, self.apart = wanted, np.full(len(wanted), False)
+                # All pairs asked for now are known again at once.
+                self.apart[:] = [
+                    self.merge(self.names[a] + self.names[b]) == [a, b] for a, b in (divmod(w, self.unknown + 1) for w in wanted.tolist())
+                ]
+                new, found = new[:0], []
             place = np.searchsorted(self.pairs, new)
             self.pairs, self.apart = np.insert(self.pairs, place, new), np.insert(self.apart, place, found)
             right_ones = self.apart[np.searchsorted(self.pairs, wanted)][back]
@@ -186,6 +236,18 @@ class Pieces:
             starts, code = np.delete(starts, wrong), np.delete(code, wrong)
         return starts, self.code_sizes[code], self.code_ids[code]
 
+    def encode_new(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments in a row, number of ids of each), long ones by themselves."""
+        long = [k for k, s in enumerate(segments) if len(s) > LONG]
+        if not long:
+            return self.encode_segments(segments)
+        short = [s for s in segments if len(s) <= LONG]
+        ids, counts = self.encode_segments(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        own = iter(np.split(ids, np.cumsum(counts)[:-1]) if short else [])
+        merged = {k: np.array(self.merge_long(segments[k].decode().replace(" ", SPACE)), np.int32) for k in long}
+        each = [merged[k] if k in merged else next(own) for k in range(len(segments))]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
     def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments in a row, number of ids of each)."""
         space = SPACE.encode()
@@ -251,14 +313,15 @@ class Pieces:
         """(ids of all texts in a row, number of ids of each)."""
         mark = SPACE.encode()
         cut = [SEGMENT.findall(b" " + t.replace(mark, b" ")) if t else [] for t in texts]
-        if len(self.number) > CACHED:
+        if len(self.number) > CACHED or self.held > CACHED_BYTES:
             self.forget()
         flat = list(chain.from_iterable(cut))
         told = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(told < 0)
         if len(missing):
             fresh = sorted({flat[k] for k in missing.tolist()})
-            ids, sizes = self.encode_segments(fresh)
+            ids, sizes = self.encode_new(fresh)
+            self.held += sum(map(len, fresh))
             self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])

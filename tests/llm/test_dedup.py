@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from handful.llm import exact_dedup, line_dedup, simhash, suffixes
+from handful.llm import common, exact_dedup, line_dedup, simhash, suffixes
 from tests.llm import cases
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -94,9 +94,9 @@ def test_texts_without_a_copy_do_not_pass_the_bitmap(spark, bits):
 
     rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
     hits = rows.where("id % 50 = 0").select("digest")
-    met = {r["id"] for r in exact_dedup.among_hits(rows, hits, bits).collect()}
+    met = {r["id"] for r in common.among(rows, hits, "digest", bits).collect()}
     assert set(range(0, 5000, 50)) <= met and len(met) < 160
-    assert exact_dedup.among_hits(rows, hits.limit(0), bits).count() == 0
+    assert common.among(rows, hits.limit(0), "digest", bits).count() == 0
 
 
 def test_drop_exact_copies_keeps_columns_and_one_row_each(spark):
