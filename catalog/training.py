@@ -417,6 +417,60 @@ def distill(spark, sf):
     return T.evaluate(student, rest, "accuracy").withColumn("value", r6("value"))
 
 
+# Class means of the learning rows as a head: every step of training, scoring and search has a closed form.
+_MEANS = f"""flat AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos,
+                             {number_sql(key_sql(42, 'vec_id'))} / 4294967296.0 < 0.3 AS is_test FROM embeddings),
+    means AS (SELECT label, pos, avg(v) AS m FROM flat WHERE NOT is_test GROUP BY 1, 2),
+    bias AS (SELECT label, -sum(m * m) / 2 AS b FROM means GROUP BY 1),
+    logits AS (SELECT vec_id, f.label AS t, m.label AS cls, sum(v * m) + min(b) AS z
+               FROM flat f JOIN means m USING (pos) JOIN bias ON bias.label = m.label WHERE is_test GROUP BY 1, 2, 3),
+    preds AS (SELECT vec_id, t, arg_max(cls, z) AS p FROM logits GROUP BY 1, 2)"""
+
+
+@register(
+    "evaluate_means",
+    f"""WITH {_MEANS} SELECT 'accuracy' AS metric, round(avg((t = p)::INTEGER), 6) AS value FROM preds
+        UNION ALL SELECT 'within_one', round(avg((abs(t - p) <= 1)::INTEGER), 6) FROM preds""",
+)
+def evaluate_means(spark, sf):
+    """Training without a pair phase, scored by a named metric and by a user's function."""
+    train, test = _split_vectors(spark, sf)
+    model = T.train(train, epochs=0, head="means")
+
+    def near(preds):
+        return preds.agg(F.avg((F.abs(F.col("true_label") - F.col("pred_label")) <= 1).cast("double")).alias("within_one"))
+
+    both = T.evaluate(model, test).unionByName(T.evaluate(model, test, near))
+    return both.withColumn("value", r6("value"))
+
+
+@register(
+    "distill_means",
+    f"""WITH {_EMBEDDED},
+    part AS (SELECT doc_id, lang, {number_sql(key_sql(7, 'doc_id'))} / 4294967296.0 < 0.5 AS is_test FROM documents),
+    sample AS (SELECT doc_id, lang FROM part WHERE NOT is_test
+               QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {key_sql(42, 'doc_id')}, doc_id) <= 8),
+    tm AS (SELECT sample.lang AS cls, pos, avg(v) AS m FROM sample JOIN emb USING (doc_id) GROUP BY 1, 2),
+    tb AS (SELECT cls, -sum(m * m) / 2 AS b FROM tm GROUP BY 1),
+    tz AS (SELECT e.doc_id, tm.cls, sum(v * m) + min(b) AS z FROM emb e JOIN part p ON p.doc_id = e.doc_id AND p.is_test
+           JOIN tm ON tm.pos = e.pos JOIN tb ON tb.cls = tm.cls GROUP BY 1, 2),
+    judged AS (SELECT doc_id, arg_max(cls, z) AS cls FROM tz GROUP BY 1),
+    sm AS (SELECT judged.cls, pos, avg(v) AS m FROM judged JOIN emb USING (doc_id) GROUP BY 1, 2),
+    sb AS (SELECT cls, -sum(m * m) / 2 AS b FROM sm GROUP BY 1),
+    sz AS (SELECT e.doc_id, e.lang AS t, sm.cls, sum(v * m) + min(b) AS z FROM emb e JOIN judged ON judged.doc_id = e.doc_id
+           JOIN sm ON sm.pos = e.pos JOIN sb ON sb.cls = sm.cls GROUP BY 1, 2, 3)
+    SELECT 'accuracy' AS metric, round(avg((t = p)::INTEGER), 6) AS value FROM (SELECT doc_id, t, arg_max(cls, z) AS p FROM sz GROUP BY 1, 2)""",
+)
+def distill_means(spark, sf):
+    """A teacher of class means judges all other documents; the student's means are those of its judgements."""
+    docs = documents(spark, sf, "row_id", "text", F.col("lang").alias("label"))
+    split = S.train_test_split(docs, 0.5, 7)
+    teacher = T.train(S.sample_per_class(split.filter("not is_test").drop("is_test"), n=8), letter_encoder, epochs=0, head="means")
+    rest = split.filter("is_test").drop("is_test")
+    student = T.distill(rest.select("row_id", "text"), teacher, encoder=letter_encoder, epochs=0, head="means")
+    return T.evaluate(student, rest).withColumn("value", r6("value"))
+
+
 _SHARE = "({} / 4294967296.0::DOUBLE)"
 
 
@@ -450,6 +504,32 @@ def grid_search(spark, sf):
     return search.trials.withColumn("objective", r6("objective"))
 
 
+@register(
+    "grid_search_means",
+    f"""WITH t AS (SELECT unnest(range(4)) AS trial), trials AS (SELECT trial, [2, 4, 8, 16][{_draw('size')} % 4 + 1] AS size FROM t),
+    ranked AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY {key_sql(42, 'vec_id')}, vec_id) AS rn FROM embeddings),
+    sample AS (SELECT trial, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM ranked JOIN trials ON rn <= size),
+    means AS (SELECT trial, label, pos, avg(v) AS m FROM sample GROUP BY 1, 2, 3),
+    bias AS (SELECT trial, label, -sum(m * m) / 2 AS b FROM means GROUP BY 1, 2),
+    flat AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    logits AS (SELECT means.trial, vec_id, flat.label AS t, means.label AS cls, sum(v * m) + min(b) AS z FROM flat JOIN means USING (pos)
+               JOIN bias ON bias.trial = means.trial AND bias.label = means.label GROUP BY 1, 2, 3, 4),
+    preds AS (SELECT trial, vec_id, t, arg_max(cls, z) AS p FROM logits GROUP BY 1, 2, 3)
+    SELECT trial, any_value(size) AS size, round(avg((t = p)::INTEGER), 6) AS objective FROM preds JOIN trials USING (trial) GROUP BY 1""",
+)
+def grid_search_means(spark, sf):
+    """Four drawn sample sizes, each scored by the accuracy of its class means over the whole table."""
+    rows = vectors(spark, sf)
+
+    def run(setting):
+        picked = S.sample_per_class(rows.select("row_id", "label"), n=setting["size"], seed=42)
+        sample = rows.drop("label").join(picked.select("row_id", "label"), "row_id")
+        return T.evaluate(T.train(sample, epochs=0, head="means"), rows)
+
+    search = T.grid_search(spark, run, n_trials=4, space={"size": ("choice", [2, 4, 8, 16])})
+    return search.trials.withColumn("objective", r6("objective"))
+
+
 # --- benchmark --------------------------------------------------------------------------
 
 
@@ -494,3 +574,19 @@ def fewshot_benchmark(spark, sf):
 def run_records(spark, sf):
     records = B.run_records(_benchmark(spark, sf, "means"), "languages", settings={"classifier": "class means"})
     return records.select("dataset", "shot", "seed", "method", F.to_json(F.struct("*")).alias("record"))
+
+
+@register(
+    "run_record_scores",
+    f"""WITH {_VANILLA} SELECT sample_size AS shot, seed::BIGINT AS seed, round(100 * avg((t = p)::INTEGER), 6) AS accuracy,
+               count(*) FILTER (t <> p) AS num_errors, 0.0::DOUBLE AS accuracy_delta,
+               round(100 * count(*) FILTER (t = p AND t = 'en') / count(*) FILTER (t = 'en')::DOUBLE, 6) AS accuracy_en FROM preds GROUP BY 1, 2""",
+)
+def run_record_scores(spark, sf):
+    """Scores, errors and accuracy of one class inside the nested records of the vanilla runs."""
+    records = B.run_records(_benchmark(spark, sf, "means"), "languages").filter("method = 'vanilla'")
+    return records.select(
+        F.col("shot").cast("int").alias("shot"), F.col("seed").cast("bigint").alias("seed"), r6("accuracy").alias("accuracy"),
+        F.col("error_analysis.num_errors").cast("bigint").alias("num_errors"), r6("improvement_delta.accuracy_delta").alias("accuracy_delta"),
+        r6(F.col("per_class_accuracy")["en"]).alias("accuracy_en"),
+    )

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from handful.functions.vectors import let
 
@@ -46,25 +42,40 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = r"\b(a|an|the)\b"
 
 
-def _answer_bag(answer: str | None) -> Counter:
-    """Lower-case words of an answer, counted, without punctuation and articles."""
-    bare = (answer or "").lower().translate(dict.fromkeys(map(ord, PUNCTUATION)))
-    return Counter(re.sub(ARTICLES, " ", bare).split())
+def answer_words(answer) -> Column:
+    """Lower-case words of an answer, without punctuation and articles."""
+    bare = F.translate(F.lower(F.coalesce(_col(answer), F.lit(""))), PUNCTUATION, "")
+    plain = F.regexp_replace(bare, "(?U)" + ARTICLES, " ")
+    return F.filter(F.split(plain, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
-@F.pandas_udf(T.DoubleType())
-def token_f1(prediction: pd.Series, gold: pd.Series) -> pd.Series:
+def token_f1(prediction, gold) -> Column:
     """F1 of the two bags of answer words; 0 when nothing is shared.
 
-    An Arrow batch function: rows need no shuffle, and counting words is linear in
-    the text, which array expressions in SQL are not.
+    The words of both sides are sorted together, and one walk pairs those that agree.
     """
 
-    def f1(p: Counter, g: Counter) -> float:
-        shared = (p & g).total()
-        return 2.0 * shared / (p.total() + g.total()) if shared else 0.0
-
-    return pd.Series([f1(_answer_bag(p), _answer_bag(g)) for p, g in zip(prediction, gold)], dtype="float64")
+    def tagged(words: Column, side: int) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(side).alias("s")))
+
+    def walk(state: Column, e: Column) -> Column:
+        # How many predicted words of the current kind are still without a partner.
+        spare = F.when(state["w"] == e["w"], state["spare"]).otherwise(F.lit(0))
+        paired = (e["s"] == 1) & (spare > 0)
+        return F.struct(
+            e["w"].alias("w"),
+            F.when(e["s"] == 0, spare + 1).when(paired, spare - 1).otherwise(spare).alias("spare"),
+            F.when(paired, state["shared"] + 1).otherwise(state["shared"]).alias("shared"),
+        )
+
+    def score(words: Column) -> Column:
+        both = F.array_sort(F.concat(tagged(words["p"], 0), tagged(words["g"], 1)))
+        start = F.struct(F.lit("").alias("w"), F.lit(0).alias("spare"), F.lit(0).alias("shared"))
+        shared = F.aggregate(both, start, walk, lambda s: s["shared"])
+        total = F.size(words["p"]) + F.size(words["g"])
+        return F.coalesce(F.try_divide(F.lit(2.0) * shared, total), F.lit(0.0))
+
+    return let(F.struct(answer_words(prediction).alias("p"), answer_words(gold).alias("g")), score)
 
 
 def format_score(value) -> Column:

@@ -13,7 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from handful.operators.scoring import Head
+from handful.operators.scoring import Head, class_means, load_head, predict
 
 STRATEGIES = ("one-vs-rest", "multi-output", "classifier-chain")
 
@@ -65,6 +65,29 @@ class FittedHead:
         return Head([], [()], [list(self.classes)], [weights], [bias])
 
 
+@dataclass
+class MeansHead:
+    """The class means as a head: the nearest mean wins."""
+
+    head: Head
+
+    @property
+    def classes(self) -> list:
+        return self.head.labels[0]
+
+    def predict(self, df: DataFrame, vector: str = "embedding") -> DataFrame:
+        """Add ``pred_label`` and ``probs``."""
+        return predict(df, self.head, vector).drop("score")
+
+    def as_head(self) -> Head:
+        return self.head
+
+
+def fit_means(df: DataFrame, label: str = "label", vector: str = "embedding") -> MeansHead:
+    """One aggregation over the rows that have a label."""
+    return MeansHead(load_head(class_means(df.filter(F.col(label).isNotNull()), label=label, vector=vector)))
+
+
 def fit_head(df: DataFrame, vector: str = "embedding", label: str = "label", estimator: Estimator | None = None) -> FittedHead:
     """Fit one head on embeddings; any Spark ML classifier with columns (features, _y) may replace the default."""
     classes = _classes(df, label)

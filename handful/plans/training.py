@@ -20,7 +20,7 @@ from handful.functions.order import draw_key, draw_number, take_first
 from handful.operators import metrics as E
 from handful.operators.augment import pseudo_label
 from handful.operators.columns import validate_columns
-from handful.operators.heads import FittedHead, MultiHead, fit_head, fit_multi_head
+from handful.operators.heads import FittedHead, MeansHead, MultiHead, fit_head, fit_means, fit_multi_head
 from handful.operators.pairs import (
     balance_pairs,
     capped_pairs,
@@ -123,7 +123,7 @@ class Model:
     encoder: Callable | None
     dim: int
     adapter: np.ndarray | None
-    head: FittedHead | MultiHead
+    head: FittedHead | MeansHead | MultiHead
     losses: list[float] = field(default_factory=list)
 
     def vectors(self, df: DataFrame, text: str = "text") -> DataFrame:
@@ -152,11 +152,13 @@ def train(
     row_id: str = "row_id",
     loss: str = "cosine",
     batches: Mapping | None = None,
+    head: str = "logistic",
 ) -> Model:
     """Pair phase, then head phase, on a training table (row_id, text or embedding, label).
 
     ``loss`` is any loss of ``fit_adapter`` and ``batches`` its settings; losses of batches of labelled rows need no
-    pairs, and class labels rather than label sets.
+    pairs, and class labels rather than label sets. ``head`` is 'logistic' (or what ``estimator`` fits) or 'means', the
+    class means.
 
     ``pairs='exact'`` lists all pairs of a few-shot sample; 'drawn' gives every row
     ``num_iterations`` partners of each kind and suits any size.  With ``max_pairs`` a budget of distinct
@@ -190,13 +192,19 @@ def train(
                 chosen = balance_pairs(every, strategy, per_side, seed)
             weights, losses = fit_adapter(chosen, vectors, epochs, lr, row_id=row_id, loss=loss, **(batches or {}))
         ready = vectors if weights is None else adapt(vectors, weights)
-        if multi_target is None:
-            head = fit_head(ready, estimator=estimator)
+        if multi_target is not None:
+            fitted = fit_multi_head(ready, len(vectors.first()["label"]), multi_target)
         else:
-            head = fit_multi_head(ready, len(vectors.first()["label"]), multi_target)
+            fitted = _fit(ready, head, estimator)
     finally:
         vectors.unpersist()
-    return Model(encoder, dim, weights, head, losses)
+    return Model(encoder, dim, weights, fitted, losses)
+
+
+def _fit(rows: DataFrame, head: str, estimator=None) -> FittedHead | MeansHead:
+    if head not in ("logistic", "means"):
+        raise ValueError(f"head is 'logistic' or 'means', not {head!r}")
+    return fit_means(rows) if head == "means" else fit_head(rows, estimator=estimator)
 
 
 def metric_rows(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -236,11 +244,12 @@ def distill(
     lr: float = 0.5,
     seed: int = 42,
     row_id: str = "row_id",
+    head: str = "logistic",
 ) -> Model:
     """Student whose pairs carry the teacher's cosines and whose head learns the teacher's labels.
 
     ``num_iterations`` pairs a row, or ``max_pairs // 2`` in all, are drawn from tables of any size; with neither, all
-    pairs of a few-shot sample are listed.
+    pairs of a few-shot sample are listed. Without ``epochs`` there is no pair phase.
     """
     judged = teacher.predict(unlabelled).select(row_id, "text", F.col("pred_label"))
     if labelled is not None:
@@ -249,19 +258,21 @@ def distill(
         rows = judged.withColumnRenamed("pred_label", "label")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        judged_vectors = teacher.vectors(rows).select(row_id, "embedding")
-        if num_iterations:
-            pairs = drawn_teacher_pairs(judged_vectors, num_iterations, seed, row_id=row_id)
-        elif max_pairs != -1:
-            pairs = drawn_teacher_pairs(judged_vectors, 0, seed, row_id=row_id, max_pairs=max_pairs // 2)
-        else:
-            pairs = teacher_pairs(judged_vectors, row_id=row_id)
         student = embed(rows, encoder, dim=dim)
-        weights, losses = fit_adapter(pairs, student, epochs, lr, row_id=row_id)
-        head = fit_head(adapt(student, weights))
+        weights, losses = None, []
+        if epochs:
+            judged_vectors = teacher.vectors(rows).select(row_id, "embedding")
+            if num_iterations:
+                pairs = drawn_teacher_pairs(judged_vectors, num_iterations, seed, row_id=row_id)
+            elif max_pairs != -1:
+                pairs = drawn_teacher_pairs(judged_vectors, 0, seed, row_id=row_id, max_pairs=max_pairs // 2)
+            else:
+                pairs = teacher_pairs(judged_vectors, row_id=row_id)
+            weights, losses = fit_adapter(pairs, student, epochs, lr, row_id=row_id)
+        fitted = _fit(student if weights is None else adapt(student, weights), head)
     finally:
         rows.unpersist()
-    return Model(encoder, dim, weights, head, losses)
+    return Model(encoder, dim, weights, fitted, losses)
 
 
 # The default search space: bounds of the learning rate (on a log scale), epochs and seed, and choices.
