@@ -407,13 +407,12 @@ def evaluate_with_metric(spark, sf):
 
 @register("distill")
 def distill(spark, sf):
-    """A teacher on sampled documents labels another sample; the student reads hashed words."""
+    """A teacher on sampled documents labels all others; the student reads hashed words."""
     docs = documents(spark, sf, "row_id", "text", F.col("lang").alias("label"))
     split = S.train_test_split(docs, 0.5, 7)
     teacher = T.train(S.sample_per_class(split.filter("not is_test").drop("is_test"), n=8), letter_encoder, epochs=0)
     rest = split.filter("is_test").drop("is_test")
-    share = rest.filter(S.hash_fraction(11) < 0.2).select("row_id", "text")
-    student = T.distill(share, teacher, dim=64, epochs=1, num_iterations=2)
+    student = T.distill(rest.select("row_id", "text"), teacher, dim=64, epochs=1, num_iterations=2)
     return T.evaluate(student, rest, "accuracy").withColumn("value", r6("value"))
 
 
