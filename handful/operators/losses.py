@@ -106,30 +106,30 @@ def mine_triplets(
 
     def work(ids, labels, x):
         d = _distances(x, metric)
-        same = labels[:, None] == labels[None, :]
-        positive = same & ~np.eye(len(ids), dtype=bool)
-        rows = []
-        for a in range(len(ids)):
-            pos, neg = np.flatnonzero(positive[a]), np.flatnonzero(~same[a])
-            if not len(pos) or not len(neg):
-                continue
-            if mode in ("hard", "hard_soft_margin"):
-                p, n = pos[d[a, pos].argmax()], neg[d[a, neg].argmin()]
-                gap = d[a, p] - d[a, n]
-                loss = np.log1p(np.exp(gap)) if mode == "hard_soft_margin" else max(gap + margin, 0.0)
-                rows.append((ids[a], ids[p], ids[n], float(loss), 1))
-                continue
-            gaps = d[a, pos][:, None] - d[a, neg][None, :]
-            if mode == "semi_hard":
-                beyond = np.where(gaps < 0, d[a, neg][None, :], np.inf).min(axis=1)
-                picked = np.where(np.isinf(beyond), d[a, neg].max(), beyond)
-                loss = np.maximum(d[a, pos] - picked + margin, 0.0)
-                rows.append((ids[a], None, None, float(loss.sum()), len(pos)))
-            else:
-                loss = np.maximum(gaps + margin, 0.0)
-                rows.append((ids[a], None, None, float(loss.sum()), int((loss > 1e-16).sum())))
-        out = pd.DataFrame(rows, columns=[row_id, "positive", "negative", "loss", "n_triplets"])
-        return out.astype({"positive": "object", "negative": "object"})
+        other = labels[:, None] != labels[None, :]
+        positive = ~other & ~np.eye(len(ids), dtype=bool)
+        valid = positive.any(axis=1) & other.any(axis=1)
+        anchors = np.flatnonzero(valid)
+        none = np.full(len(anchors), None, dtype=object)
+        out = {row_id: ids[anchors], "positive": none, "negative": none}
+        if mode in ("hard", "hard_soft_margin"):
+            p = np.where(positive, d, -np.inf)[anchors].argmax(axis=1)
+            n = np.where(other, d, np.inf)[anchors].argmin(axis=1)
+            gap = d[anchors, p] - d[anchors, n]
+            loss = np.log1p(np.exp(gap)) if mode == "hard_soft_margin" else np.maximum(gap + margin, 0.0)
+            out |= {"positive": ids[p], "negative": ids[n], "loss": loss, "n_triplets": np.ones(len(anchors), np.int64)}
+        elif mode == "semi_hard":
+            a, p = np.nonzero(positive & valid[:, None])
+            beyond = np.where(other[a] & (d[a] > d[a, p][:, None]), d[a], np.inf).min(axis=1, initial=np.inf)
+            far = np.where(other[a], d[a], -np.inf).max(axis=1, initial=-np.inf)
+            loss = np.maximum(d[a, p] - np.where(np.isinf(beyond), far, beyond) + margin, 0.0)
+            sums, times = (np.bincount(a, w, minlength=len(ids))[anchors] for w in (loss, None))
+            out |= {"loss": sums, "n_triplets": times}
+        else:
+            gaps = np.maximum(d[anchors, :, None] - d[anchors, None, :] + margin, 0.0)
+            gaps = np.where(positive[anchors, :, None] & other[anchors, None, :], gaps, 0.0)
+            out |= {"loss": gaps.sum(axis=(1, 2)), "n_triplets": (gaps > 1e-16).sum(axis=(1, 2))}
+        return pd.DataFrame(out).astype({"positive": "object", "negative": "object"})
 
     fields = [
         df.schema[row_id],
