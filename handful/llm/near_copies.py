@@ -152,14 +152,18 @@ def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> Dat
         )
         left = members.join(buckets, ["band", "key"]).where("node <> a")
         left = left.withColumn("near", F.bit_count(F.col("print").bitwiseXOR(F.col("a_print"))) <= FAR)
-        left = cut_lineage(left.withColumn("b", F.greatest("a", "node")).withColumn("a", F.least("a", "node")), "candidates")
+        left = left.withColumn("pivot", F.col("a")).withColumn("b", F.greatest("a", "node")).withColumn("a", F.least("a", "node"))
+        left = cut_lineage(left, "candidates")
         if left.isEmpty():
             break
-        pairs = left.where("near").select("a", "b").distinct()
+        pairs = left.where("near").groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
+        # The first text of a bucket is met by many others and stands in front, as it is the one sent in slices.
+        other = F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        pairs = cut_lineage(pairs.select(F.col("pivot").alias("a"), other.alias("b")), "pairs")
         found = compared(pairs, rows, text, words, similarity)
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked")
         judged = cut_lineage(found if judged is None else judged.unionByName(found), "compared")
         linked = judged.where("linked").select("a", "b", F.lit(True).alias("now"))
         members = left.join(linked, ["a", "b"], "left").select(
