@@ -20,12 +20,13 @@ smallest id stays (rows without one last, ties by the text), with all columns. A
 from __future__ import annotations
 
 from collections import defaultdict
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from handful.llm.common import LOWER, among, as_batch, byte_values
 from handful.llm.simhash import BITS, components, mark_of
@@ -36,6 +37,8 @@ PLAIN_ROUNDS = 3
 FAR = 24
 SLICE_ROWS = 256
 NODE = "near_copies_node"
+# Texts go to Python in small batches, so that long ones take little memory beside the executor's own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -139,6 +142,19 @@ def compared(pairs: DataFrame, rows: DataFrame, text: str, words: int, similarit
     return met.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """The batch sizes hold for what is run inside; the session's own come back."""
+    before = {name: spark.conf.get(name, None) for name in BATCHES}
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """(a, b) of linked rows by their numbers, a < b."""
     marks = cut_lineage(signatures(rows, text, words), "signatures")
@@ -183,7 +199,10 @@ def keep_one_near(
 ) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group that with the smallest id, with all columns."""
     rows = cut_lineage(docs.withColumn(NODE, F.monotonically_increasing_id()), "rows")
-    grouped = components(near_links(rows, text, words, similarity))
+    # Every step inside is run at once: it is written.
+    with small_batches(rows.sparkSession):
+        links = near_links(rows, text, words, similarity)
+    grouped = components(links)
     every = cut_lineage(grouped.unionByName(grouped.select(F.col("root").alias("node"), "root").distinct()), "groups")
     named = rows.select(
         F.col(NODE).alias("node"), F.struct(F.col(key).isNull(), F.col(key), mark_of(text), F.col(NODE).alias("node")).alias("name")
