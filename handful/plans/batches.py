@@ -63,7 +63,8 @@ def _total(rows: DataFrame, work: Callable[[pd.DataFrame], Sequence[np.ndarray]]
     def run(block: pd.DataFrame) -> pd.DataFrame:
         found = [sums for _, batch in block.groupby("batch_id", sort=True) for sums in work(batch)]
         part = int(block["_block"].iloc[0] % 32)
-        return pd.DataFrame({"part": [part] * bool(found), "sums": [np.sum(found, axis=0)] if found else []})
+        sums = [np.sum(found, axis=0)] if found else []
+        return pd.DataFrame({"part": pd.Series([part] * len(sums), dtype="int32"), "sums": pd.Series(sums, dtype=object)})
 
     partial = rows.groupBy("_block").applyInPandas(run, PARTIAL).withColumn("_v", array_to_vector("sums"))
     merged = partial.groupBy("part").agg(Summarizer.sum(F.col("_v")).alias("_v"))
