@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from handful.functions.text import nth_occurrence
@@ -21,6 +23,8 @@ from handful.session import cut_lineage
 ASPECT_TAGS = ["NOUN", "PROPN"]
 ASPECT_CONTEXT, POLARITY_CONTEXT = 0, 3
 CONTEXTS = (ASPECT_CONTEXT, POLARITY_CONTEXT)
+# Texts are tagged in pieces of about so many bytes, as tokens take some fifty times the memory of their text.
+PIECE_BYTES = 1 << 20
 
 TOKEN = T.StructType(
     [
@@ -37,6 +41,34 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def text_pieces(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """The texts in order, in slices of at most ``most`` bytes or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, before + (most or PIECE_BYTES), "right")))
+        yield texts.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
+
+
+def _tokens_of(texts: pa.Array, run: Callable[[str], Sequence[tuple]]) -> pa.Array:
+    """The tokens of each text."""
+    edges, places, words, tags, starts, ends = [0], [], [], [], [], []
+    for value in texts:
+        count = 0
+        for word, tag, start, end in run(value.as_py() or ""):
+            words.append(word)
+            tags.append(tag)
+            starts.append(start)
+            ends.append(end)
+            places.append(count)
+            count += 1
+        edges.append(len(places))
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+    columns = [pa.array(values, kind) for values, kind in zip((places, words, tags, starts, ends), kinds)]
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(columns, TOKEN.names))
+
+
 def tag_tokens(df: DataFrame, tagger: Callable[[], Callable[[str], Sequence[tuple]]], text: str = "text") -> DataFrame:
     """Add ``tokens`` with a user's tagger.
 
@@ -48,24 +80,8 @@ def tag_tokens(df: DataFrame, tagger: Callable[[], Callable[[str], Sequence[tupl
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = tagger()
         for texts in batches:
-            edges, places, flat = [0], [], []
-            for value in texts.to_pylist():
-                found = list(run(value or ""))
-                places.extend(range(len(found)))
-                flat.extend(found)
-                edges.append(len(flat))
-            words, tags, starts, ends = zip(*flat) if flat else ((), (), (), ())
-            tokens = pa.StructArray.from_arrays(
-                [
-                    pa.array(places, pa.int32()),
-                    pa.array(words, pa.string()),
-                    pa.array(tags, pa.string()),
-                    pa.array(starts, pa.int32()),
-                    pa.array(ends, pa.int32()),
-                ],
-                TOKEN.names,
-            )
-            yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), tokens)
+            for piece in text_pieces(texts):
+                yield _tokens_of(piece, run)
 
     # marked so that the planner keeps one call per row instead of copying it into filters
     return df.withColumn("tokens", tag.asNondeterministic()(F.col(text)))

@@ -95,3 +95,33 @@ def test_gold_polarity_stays_with_its_row(spark):
 def test_evaluate(spark):
     a = spark.createDataFrame([("aspect", "aspect"), ("no aspect", "aspect")], "true_label string, pred_label string")
     assert dict(rows(P.span_evaluate(a, a.limit(1)))) == {"aspect": 0.5, "polarity": 1.0}
+
+
+class Word(str):
+    """A token that counts how many of its kind are alive."""
+
+    live = 0
+
+    def __new__(cls, value):
+        Word.live += 1
+        return super().__new__(cls, value)
+
+    def __del__(self):
+        Word.live -= 1
+
+
+def counting_tagger():
+    def run(text):
+        yield Word("w"), "X", Word.live, len(text or "")
+
+    return run
+
+
+def test_tokens_of_few_texts_are_held_at_once(spark):
+    """Long texts of one batch are tagged in pieces; all of them come back in their order."""
+    texts = [(i, "a" * (600_000 + i) if i % 5 else None) for i in range(20)]
+    df = spark.createDataFrame(texts, "id int, text string").coalesce(1)
+    got = {r["id"]: r["tokens"][0] for r in P.tag_tokens(df, counting_tagger).select("id", "tokens").collect()}
+    assert [got[i]["end"] for i in range(20)] == [len(t or "") for _, t in texts]
+    assert max(t["start"] for t in got.values()) <= 4
+    assert P.tag_tokens(df.limit(0), counting_tagger).count() == 0
