@@ -61,19 +61,21 @@ def embed(
             column = "_unit"
         return made.select(*df.columns, vector_to_array(column).alias(out))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = encoder()
         for texts in batches:
+            # Only the texts of one call are strings of Python; the others stay in the Arrow batch.
             parts = [
-                np.asarray(run(texts.iloc[i : i + batch_size].fillna("").tolist()), dtype=np.float64)
+                np.asarray(run([t or "" for t in texts.slice(i, batch_size).to_pylist()]), dtype=np.float64)
                 for i in range(0, len(texts), batch_size)
             ]
             matrix = np.concatenate(parts) if parts else np.zeros((0, 0))
             if normalize:
                 size = np.linalg.norm(matrix, axis=1, keepdims=True)
                 matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-            yield pd.Series(list(matrix), index=texts.index)
+            edges = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(matrix.ravel(), pa.float64(), from_pandas=True))
 
     # marked so that the planner keeps one call per row instead of copying it into filters
     return df.withColumn(out, encode.asNondeterministic()(F.col(text)))

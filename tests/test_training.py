@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import HashingTF
@@ -48,6 +50,27 @@ def test_user_encoder_batches_and_normalizes(spark, reviews):
     assert all(np.linalg.norm(r["embedding"]) == pytest.approx(1.0) for r in out.collect())
 
 
+def traced_encoder():
+    """The MB that Python holds while texts are encoded."""
+    tracemalloc.start()
+
+    def run(texts):
+        held = tracemalloc.get_traced_memory()[0] / 1e6
+        if len(texts) < 32:
+            tracemalloc.stop()
+        return np.array([[held, len(t)] for t in texts])
+
+    return run
+
+
+def test_user_encoder_holds_the_texts_of_one_call(spark):
+    df = spark.range(0, 1001, 1, 1).select("id", F.when(F.col("id") % 100 < 99, F.repeat(F.lit("a"), (40_000 + F.col("id")).cast("int"))).alias("text"))
+    got = {r["id"]: r["embedding"] for r in M.embed(df, traced_encoder).select("id", "embedding").collect()}
+    assert all(got[i][1] == (40_000 + i if i % 100 < 99 else 0) for i in range(1001))
+    # The batch of 40 MB itself, but no second copy of it as strings.
+    assert max(v[0] for v in got.values()) < 60
+
+
 def test_head_agrees_with_its_optimum(spark):
     df = cloud(spark)
     fitted = H.fit_head(df)
