@@ -1,10 +1,11 @@
 """Near copies by word shingles: SimHash of five-word shingles, candidates by bands, links by exact Jaccard similarity.
 
 At a Jaccard similarity of 0.8 two SimHashes of 64 bits differ in about ten bits, and a pigeonhole search that wide has to
-compare large shares of the table. So candidates come from bands of minima: each text's shingle hashes
-are taken to their minimum under ``BANDS * ROWS`` mappings, and texts that agree in all minima of a band are
-candidates unless their SimHashes are more than ``FAR`` bits apart. Candidates are compared by the whole sets of shingles, and
-texts linked at ``similarity`` or more form groups by connected components.
+compare large shares of the table. So candidates come from two sources. The generalised pigeonhole search links SimHashes
+at ``NEAR`` or fewer differing bits, and the texts of one component of these links are candidates. Those further apart come from
+bands of minima: each text's shingle hashes are taken to their minimum under ``BANDS * ROWS`` mappings, and texts that agree in
+all minima of a band are candidates. Either way they are dropped if their SimHashes are more than ``FAR`` bits apart. Candidates are
+compared by the whole sets of shingles, and texts linked at ``similarity`` or more form groups by connected components.
 
 In a band's bucket the first text is compared with all others. While some are linked to no first one yet, the first of
 these is compared with all in the next round, so a bucket of a thousand copies costs a few thousand comparisons, not half a
@@ -29,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from handful.llm.common import LOWER, among, as_batch, byte_values
-from handful.llm.simhash import BITS, components, mark_of
+from handful.llm.simhash import BITS, components, links, mark_of
 from handful.session import cut_lineage
 
 BANDS, ROWS, FURTHER = 10, 5, 8
 PLAIN_ROUNDS = 3
-FAR = 24
+NEAR, FAR = 4, 24
 SLICE_ROWS = 256
 NODE = "near_copies_node"
 # Texts go to Python in small batches, so that long ones take little memory beside the executor's own.
@@ -155,10 +156,19 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def with_simhash_key(marks: DataFrame) -> DataFrame:
+    """One key more for every row: the component of its SimHash under links of at most ``NEAR`` bits."""
+    prints = cut_lineage(marks.select("print").distinct(), "distinct-prints")
+    rooted = components(links(prints, NEAR)).select(F.col("node").alias("print"), "root")
+    own = F.concat("keys", F.array(F.coalesce("root", "print")))
+    return marks.join(rooted, "print", "left").select("node", "print", own.alias("keys"), "further")
+
+
 def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """(a, b) of linked rows by their numbers, a < b."""
     marks = cut_lineage(signatures(rows, text, words), "signatures")
-    members = marks.select("node", "print", F.lit(False).alias("settled"), F.posexplode("keys").alias("band", "key"))
+    keyed = with_simhash_key(marks)
+    members = keyed.select("node", "print", F.lit(False).alias("settled"), F.posexplode("keys").alias("band", "key"))
     judged, done = None, 0
     while True:
         open_one = F.when(~F.col("settled"), F.struct("node", "print"))

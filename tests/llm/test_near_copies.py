@@ -86,6 +86,19 @@ def shared(rows, text, words, plain):
     return rows.sparkSession.createDataFrame(table, "node bigint, print bigint, keys array<bigint>, further array<bigint>")
 
 
+def test_close_simhashes_are_candidates_without_a_common_band(spark, monkeypatch):
+    """No two texts share a band; those of close SimHashes are met all the same, and unlike ones are not linked."""
+    rng = random.Random(8)
+    base, prints = [cases.prose(rng, 60) for _ in range(12)], [rng.getrandbits(62) for _ in range(12)]
+    rows = [(i, base[i % 12] + (" end" if i >= 12 else ""), "en", "s", 1) for i in range(24)] + [(24, cases.prose(rng, 60), "en", "s", 1)]
+    marks = [(i, prints[i % 12] ^ (7 if i >= 12 else 0), [i * N.BANDS + b for b in range(N.BANDS)], [i] * N.FURTHER) for i in range(25)]
+    ddl = "node bigint, print bigint, keys array<bigint>, further array<bigint>"
+    monkeypatch.setattr(N, "signatures", lambda rows, text, words: rows.sparkSession.createDataFrame(marks, ddl))
+    docs = cases.table(spark, rows).withColumn(N.NODE, F.col("doc_id"))
+    links = N.near_links(docs, "text", 5, 0.8).distinct().collect()
+    assert sorted((r["a"], r["b"]) for r in links) == [(i, i + 12) for i in range(12)]
+
+
 @pytest.mark.parametrize("level", [0.8, 0.9, 0.95])
 def test_most_similar_pairs_become_candidates(level):
     rng, far, met, n = random.Random(int(level * 100)), 0, 0, 150
