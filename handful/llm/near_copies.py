@@ -7,11 +7,13 @@ bands of minima: each text's shingle hashes are taken to their minimum under ``B
 all minima of a band are candidates. Either way they are dropped if their SimHashes are more than ``FAR`` bits apart. Candidates are
 compared by the whole sets of shingles, and texts linked at ``similarity`` or more form groups by connected components.
 
-In a band's bucket the first text is compared with all others. While some are linked to no first one yet, the first of
-these is compared with all in the next round, so a bucket of a thousand copies costs a few thousand comparisons, not half a
-million; a link is missed only between two texts that are no first one in any band. From the fourth round on, buckets
-that are left are split by further minima, which near copies share as well. A text that very many others meet is compared
-in slices.
+In a band's bucket the first text is compared with all others. While some are linked to no first one yet, the first ones of
+these are compared with all in the next round, so a bucket of a thousand copies costs a few thousand comparisons, not half a
+million; a link is missed only between two texts that are no first one in any band. A small bucket has several first ones in
+a round, up to ``SLOTS``, so that the many rounds of a large group of texts at the edge of the similarity become few; how many
+comparisons a bucket may take for that grows while a round makes fewer than the first one did, so rounds stay linear in the input.
+From the fourth round on, buckets that are left are split by further minima, which near copies share as well. A text that very
+many others meet is compared in slices.
 
 Defined results: a null text is empty; texts without a word are copies of each other, and texts of fewer words than a
 shingle are one shingle. Rows are told apart by their place, so ids may repeat or be null; of each group the row with the
@@ -37,6 +39,8 @@ BANDS, ROWS, FURTHER = 10, 5, 8
 PLAIN_ROUNDS = 3
 NEAR, FAR = 4, 24
 SLICE_ROWS = 256
+# First ones of a bucket in a round; comparisons that a bucket may take for more than one, at first; their growth in a round.
+SLOTS, ROOM, GROWTH = 16, 128, 8
 NODE = "near_copies_node"
 # Texts go to Python in small batches, so that long ones take little memory beside the executor's own.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -110,15 +114,13 @@ def signatures(rows: DataFrame, text: str, words: int) -> DataFrame:
 
 def compared(pairs: DataFrame, rows: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """(a, b, linked): whether the shingle sets of the two rows agree; a row ``a`` of many pairs is met in slices."""
-    texts = rows.select(F.col(NODE).alias("node"), F.col(text).alias("text"))
-    # Texts of rows without a candidate are not shuffled.
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = among(texts, wanted, "node")
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
     members = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
-    members = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "text")
-    firsts = slices.join(texts.withColumnRenamed("node", "a"), "a")
-    firsts = firsts.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("bigint").alias("b"), "text")
+    firsts = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("bigint").alias("b"))
+    asked = firsts.unionByName(members.select("a", "slice", "b")).withColumn("node", F.coalesce("b", "a"))
+    # Texts of rows without a candidate are not shuffled.
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    texts = among(rows.select(F.col(NODE).alias("node"), F.col(text).alias("text")), wanted, "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches):
@@ -139,7 +141,7 @@ def compared(pairs: DataFrame, rows: DataFrame, text: str, words: int, similarit
                 yield as_batch(schema, **dict(zip(("a", "b", "linked"), zip(*out))))
 
     order = [F.col("a"), F.col("slice"), F.col("b").asc_nulls_first()]
-    met = firsts.unionByName(members).repartition("a", "slice").sortWithinPartitions(*order)
+    met = asked.join(texts, "node").repartition("a", "slice").sortWithinPartitions(*order)
     return met.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
@@ -164,23 +166,42 @@ def with_simhash_key(marks: DataFrame) -> DataFrame:
     return marks.join(rooted, "print", "left").select("node", "print", own.alias("keys"), "further")
 
 
+def buckets_of(members: DataFrame, slots: int, room: int) -> DataFrame:
+    """(band, key, firsts): the texts that a bucket of several is compared with; it has one of each slot at most."""
+    open_one = ~F.col("settled")
+    if slots > 1:
+        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+        least = [F.min(F.when(open_one & (slot == s), F.struct("node", "print"))) for s in range(slots)]
+    else:
+        least = [F.min(F.when(open_one, F.struct("node", "print")))]
+    names = [f"least{s}" for s in range(slots)]
+    found = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *(x.alias(name) for x, name in zip(least, names)))
+    firsts = F.sort_array(F.array_compact(F.array(*names)))
+    many = F.greatest(F.lit(1), F.floor(F.lit(room) / F.col("n"))).cast("int")
+    return found.where("n > 1").select("band", "key", F.slice(firsts, 1, many).alias("firsts")).where("size(firsts) > 0")
+
+
 def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """(a, b) of linked rows by their numbers, a < b."""
     marks = cut_lineage(signatures(rows, text, words), "signatures")
     keyed = with_simhash_key(marks)
     members = keyed.select("node", "print", F.lit(False).alias("settled"), F.posexplode("keys").alias("band", "key"))
-    judged, done = None, 0
+    judged, done, slots, room, at_first = None, 0, 1, ROOM, 0
     while True:
-        open_one = F.when(~F.col("settled"), F.struct("node", "print"))
-        buckets = members.groupBy("band", "key").agg(F.min(open_one).alias("first"), F.count(F.lit(1)).alias("n"))
-        buckets = buckets.where("n > 1 and first is not null").select(
-            "band", "key", F.col("first.node").alias("a"), F.col("first.print").alias("a_print")
+        met = members.join(buckets_of(members, slots, room), ["band", "key"])
+        # Two first ones of a bucket meet once, and neither is compared further.
+        own = F.exists("firsts", lambda first: first["node"] == F.col("node"))
+        met = met.withColumn("done", own).withColumn("first", F.explode("firsts"))
+        left = met.where(F.when(F.col("done"), F.col("node") > F.col("first.node")).otherwise(True)).select(
+            *members.columns,
+            "done",
+            F.col("first.node").alias("pivot"),
+            (F.bit_count(F.col("print").bitwiseXOR(F.col("first.print"))) <= FAR).alias("near"),
         )
-        left = members.join(buckets, ["band", "key"]).where("node <> a")
-        left = left.withColumn("near", F.bit_count(F.col("print").bitwiseXOR(F.col("a_print"))) <= FAR)
-        left = left.withColumn("pivot", F.col("a")).withColumn("b", F.greatest("a", "node")).withColumn("a", F.least("a", "node"))
+        left = left.withColumn("a", F.least("pivot", "node")).withColumn("b", F.greatest("pivot", "node"))
         left = cut_lineage(left, "candidates")
-        if left.isEmpty():
+        made = left.count()
+        if not made:
             break
         pairs = left.where("near").groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
         if judged is not None:
@@ -192,13 +213,19 @@ def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> Dat
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked")
         judged = cut_lineage(found if judged is None else judged.unionByName(found), "compared")
         linked = judged.where("linked").select("a", "b", F.lit(True).alias("now"))
-        members = left.join(linked, ["a", "b"], "left").select(
-            "node", "print", (F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled"), "band", "key"
-        )
+        members = left.where("not done").join(linked, ["a", "b"], "left")
+        settled = F.max(F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled")
+        kept = [F.first(c).alias(c) for c in members.columns if c in ("print", "further")]
+        members = members.groupBy("node", "band", "key").agg(settled, *kept)
         done += 1
         if done >= PLAIN_ROUNDS and done - PLAIN_ROUNDS < FURTHER:
-            more = marks.select("node", F.element_at("further", done - PLAIN_ROUNDS + 1).alias("more"))
-            members = members.join(more, "node").withColumn("key", F.xxhash64("key", "more")).drop("more")
+            if done == PLAIN_ROUNDS:
+                members = members.join(marks.select("node", "further"), "node")
+            members = members.withColumn("key", F.xxhash64("key", F.element_at("further", done - PLAIN_ROUNDS + 1)))
+        if done > 1:
+            room *= max(1, min(GROWTH, at_first // made))
+        else:
+            at_first, slots = made, SLOTS
     if judged is None:
         return left.select("a", "b")
     return judged.where("linked").select("a", "b")

@@ -38,7 +38,11 @@ SPACE = "▁"
 SEGMENT = re.compile(rb" *[^ \n]+|\n+| +")
 # Segments a worker keeps, some 50 MB; workers live on after their task.
 CACHED, CACHED_BYTES = 200_000, 16 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
+# New segments are matched in parts of so many bytes, as the tables of a part take some hundred times its bytes.
+NEW_BYTES = 128 << 10
+# Rows of a batch that are Python objects at a time.
+BATCH_ROWS = 512
 SLOTS = 20
 # Pairs a worker knows at most, some 4 MB; beyond, it starts anew.
 PAIRS = 400_000
@@ -240,9 +244,10 @@ class Pieces:
         """(ids of all segments in a row, number of ids of each), long ones by themselves."""
         long = [k for k, s in enumerate(segments) if len(s) > LONG]
         if not long:
-            return self.encode_segments(segments)
+            made = [self.encode_segments(segments[a:b]) for a, b in parts_of(segments, NEW_BYTES)]
+            return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
         short = [s for s in segments if len(s) <= LONG]
-        ids, counts = self.encode_segments(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        ids, counts = self.encode_new(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         own = iter(np.split(ids, np.cumsum(counts)[:-1]) if short else [])
         merged = {k: np.array(self.merge_long(segments[k].decode().replace(" ", SPACE)), np.int32) for k in long}
         each = [merged[k] if k in merged else next(own) for k in range(len(segments))]
@@ -384,21 +389,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path:
     def run(batches):
         own = worker_pieces(model.value)
         for batch in batches:
-            ids, texts = zip(*rows_of(batch)) if batch.num_rows else ((), ())
-            for a, b in parts_of(list(texts), BATCH_BYTES):
-                tokens, counts = own.encode(list(texts[a:b]))
-                back = own.decode(tokens, counts)
-                offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[a:b], pa.int64()),
-                        pa.array(counts.astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()),
-                        pa.array([x == y for x, y in zip(back, texts[a:b])], pa.bool_()),
-                    ],
-                    schema=shape,
-                )
+            some = (batch.slice(at, BATCH_ROWS) for at in range(0, batch.num_rows, BATCH_ROWS))
+            for ids, texts in (zip(*rows_of(rows)) for rows in some):
+                for a, b in parts_of(list(texts), BATCH_BYTES):
+                    tokens, counts = own.encode(list(texts[a:b]))
+                    back = own.decode(tokens, counts)
+                    offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[a:b], pa.int64()),
+                            pa.array(counts.astype(np.int64)),
+                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)),
+                            pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()),
+                            pa.array([x == y for x, y in zip(back, texts[a:b])], pa.bool_()),
+                        ],
+                        schema=shape,
+                    )
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id bigint, n_tokens bigint, token_ids array<int>, decoded_sha256 string, round_trip boolean")

@@ -80,6 +80,21 @@ def test_a_bucket_of_unlike_texts_is_worked_off(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in links) == [(i, i + 12) for i in range(12)]
 
 
+def test_a_bucket_of_many_unlike_texts_takes_few_rounds(spark, monkeypatch):
+    """With one first text a round, 24 unlike texts of one bucket took 23 rounds; the links are still all found."""
+    plain, compared, rounds = N.signature, N.compared, []
+    monkeypatch.setattr(N, "PLAIN_ROUNDS", 99)
+    monkeypatch.setattr(N, "signatures", lambda rows, text, words: shared(rows, text, words, plain))
+    monkeypatch.setattr(N, "compared", lambda pairs, *more: rounds.append(pairs.count()) or compared(pairs, *more))
+    rng = random.Random(7)
+    base = [cases.prose(rng, 60) for _ in range(24)]
+    rows = [(i, base[i % 24] + (" end" if i >= 24 else ""), "en", "s", 1) for i in range(26)]
+    docs = cases.table(spark, rows).withColumn(N.NODE, F.col("doc_id"))
+    links = N.near_links(docs, "text", 5, 0.8).distinct().collect()
+    assert sorted((r["a"], r["b"]) for r in links) == [(0, 24), (1, 25)]
+    assert len(rounds) <= 7 and sum(rounds) <= 26 * 25 / 2
+
+
 def shared(rows, text, words, plain):
     found = [(r[N.NODE], plain(N.shingles(r[text].encode(), words))) for r in rows.collect()]
     table = [(n, 0, [7] * N.BANDS, N.signed(f[2]).tolist()) for n, f in found]

@@ -45,3 +45,15 @@ def test_tables_stay_bounded(monkeypatch):
         ids, _ = own.encode([text.encode()])
         assert ids.tolist() == library.encode(text)
         assert len(own.pairs) <= 6000 and own.held <= 30_000
+
+
+def test_new_segments_are_matched_in_small_parts(monkeypatch):
+    monkeypatch.setattr(P, "NEW_BYTES", 500)
+    own, library = matcher()
+    sizes, plain = [], own.encode_segments
+    monkeypatch.setattr(own, "encode_segments", lambda segments: sizes.append(sum(map(len, segments))) or plain(segments))
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12))) for _ in range(900)) + " " + "y" * 700
+    ids, _ = own.encode([text.encode()])
+    assert ids.tolist() == library.encode(text)
+    assert len(sizes) > 5 and max(sizes) < 520
