@@ -24,8 +24,8 @@ def rule_tagger():
     return run
 
 
-def tagged(spark, sf):
-    return P.tag_tokens(documents(spark, sf, "row_id", "text", "lang"), rule_tagger)
+def tagged(spark, sf, packed=False):
+    return P.tag_tokens(documents(spark, sf, "row_id", "text", "lang"), rule_tagger, packed=packed)
 
 
 _TOK = """
@@ -91,13 +91,13 @@ _GOLD = """gold AS (SELECT ann.id, x.i AS a, y.i + 1 AS b, label FROM ann JOIN h
 
 
 def annotated(spark, sf):
-    """(annotations, documents); the documents are tagged once."""
-    docs = cut_lineage(tagged(spark, sf), "tagged")
-    word = F.get("tokens", ((F.col("row_id") * 7) % F.size("tokens")).cast("int"))["text"]
-    rows = docs.filter(F.size("tokens") > 0).select(
-        "row_id", "text", word.alias("span"), (F.col("row_id") % 2).cast("int").alias("ordinal"), F.col("lang").alias("label")
+    """(annotations, documents); the documents are tagged once, and an annotated word is cut while they are tagged."""
+    docs = tagged(spark, sf, packed=True).withColumn("_word", P.packed_words("text", "tokens", F.col("row_id") * 7))
+    docs = cut_lineage(docs, "tagged")
+    rows = docs.filter("_word.n > 0").select(
+        "row_id", "text", F.col("_word.words").alias("span"), (F.col("row_id") % 2).cast("int").alias("ordinal"), F.col("lang").alias("label")
     )
-    return rows, docs
+    return rows, docs.drop("_word")
 
 
 @register(
@@ -163,7 +163,7 @@ def non_overlapping(spark, sf):
 )
 def span_training_sets(spark, sf):
     rows, docs = annotated(spark, sf)
-    aspect, polarity = P.span_training_sets(rows, docs, key="row_id")
+    aspect, polarity = P.span_training_sets(rows, docs, key="row_id", written=True)
     parts = [
         part.select(
             F.lit(name).alias("model"), "row_id", big("span.start").alias("start"),
@@ -194,7 +194,7 @@ _POLARITY = "CASE WHEN length(input) % 3 = 0 THEN 'negative' ELSE 'positive' END
         FROM documents LEFT JOIN judged ON id = doc_id GROUP BY 1""",
 )
 def predict_spans(spark, sf):
-    found = P.predict_spans(tagged(spark, sf).select("row_id", "text", "tokens"), _aspect_model, _polarity_model)
+    found = P.predict_spans(tagged(spark, sf, packed=True).select("row_id", "text", "tokens"), _aspect_model, _polarity_model)
     text = F.array_join(F.transform("spans", lambda s: F.concat(s["span"], F.lit("="), s["polarity"])), ";")
     return found.select("row_id", big(F.size("spans")).alias("n_spans"), F.md5(text).alias("spans_md5"))
 
@@ -218,7 +218,7 @@ def predict_gold_polarity(spark, sf):
 )
 def span_evaluate(spark, sf):
     rows, docs = annotated(spark, sf)
-    aspect, polarity = P.span_training_sets(rows, docs, key="row_id")
+    aspect, polarity = P.span_training_sets(rows, docs, key="row_id", written=True)
     named = aspect.withColumn("true_label", F.when(F.col("label"), "aspect").otherwise("no aspect"))
     judged = polarity.withColumn("true_label", F.when(F.col("label") == "en", "positive").otherwise("negative"))
     both = P.span_evaluate(_aspect_model(named), _polarity_model(judged))

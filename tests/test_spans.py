@@ -125,3 +125,80 @@ def test_tokens_of_few_texts_are_held_at_once(spark):
     assert [got[i]["end"] for i in range(20)] == [len(t or "") for _, t in texts]
     assert max(t["start"] for t in got.values()) <= 4
     assert P.tag_tokens(df.limit(0), counting_tagger).count() == 0
+
+
+def packed_docs(spark, *texts):
+    return P.tag_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), tagger, packed=True)
+
+
+def test_packed_tokens_come_back():
+    tags, starts, ends = ["NOUN", None, "X", "NOUN"], [0, 5, 4, 70_000], [4, 9, 9, 140_003]
+    own_starts, own_ends, numbers, names = P.unpack(P.pack(tags, starts, ends))
+    assert own_starts.tolist() == starts and own_ends.tolist() == ends and [names[k] for k in numbers] == tags
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in P.unpack(P.pack([], [], []))] == [[], [], [], []]
+    many = [7 * k for k in range(2000)]
+    assert len(P.pack(["X"] * 2000, many, [k + 6 for k in many])) < 2000
+
+
+def test_packed_tokens_give_the_same_spans(spark):
+    """Tokens as arrays, packed later, and packed by the tagger agree in every operator."""
+    texts = ["The food and cream cheese were great .", "Nothing here .", "bagels", "", "Ärger über kitchen staff é food", "food food food"]
+    made = [docs_of(spark, *texts), P.pack_tokens(docs_of(spark, *texts)), packed_docs(spark, *texts)]
+    asked = [(i, t, w, o, "l") for i, t in enumerate(texts) for w in ("food", "staff é", "bage") for o in (0, 1)]
+    df = spark.createDataFrame(asked, "row_id int, text string, span string, ordinal int, label string")
+    got = []
+    for docs in made:
+        spans = P.explode_aspects(docs, ["text"])
+        near, wide = P.prepend_span(spans, 0, out="near"), P.prepend_span(spans, 3, out="wide")
+        aspect, polar = P.span_training_sets(df, docs)
+        got.append(
+            [
+                rows(P.extract_aspects(docs), "text", "aspects"),
+                rows(near, "text", "span", "near"),
+                rows(wide, "text", "span", "wide"),
+                rows(P.gold_spans(df, docs, overlapping=True).selectExpr("row_id", "span", "ordinal", "coalesce(gold.start, -1)", "coalesce(gold.stop, -1)")),
+                rows(P.predict_gold_polarity(df, docs, polarity).selectExpr("row_id", "span", "ordinal", "coalesce(pred_polarity, '')")),
+                rows(aspect),
+                rows(polar),
+            ]
+        )
+    assert got[0] == got[1] == got[2] and all(got[0])
+
+
+def shuffled_columns(df):
+    """Names of the columns that the plan's exchanges pass on."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    parts = [p for p in plan.split("\n\n") if p.lstrip().startswith("(") and " Exchange" in p.split("\n")[0]]
+    return {c.split("#")[0].strip() for p in parts for c in p.split("Input", 1)[1].split("[", 2)[2].split("]")[0].split(",")}
+
+
+@pytest.mark.parametrize("key", ["row_id", "text"])
+def test_gold_spans_shuffle_neither_texts_nor_token_arrays(spark, tmp_path, key):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = spark.createDataFrame([(1, "The food was great ."), (2, "bagels")], "row_id int, text string")
+        P.tag_tokens(base, tagger, packed=True).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        df = docs.selectExpr("row_id", "text", "'food' AS span", "0 AS ordinal")
+        placed = P.gold_spans(df, docs, overlapping=False, key=key).select("row_id", "gold")
+        moved = shuffled_columns(placed)
+        assert "_begin" in moved and not moved & {"text", "tokens"}
+        assert rows(placed.selectExpr("row_id", "gold.start")) == [(1, 1), (2, None)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_training_sets_shuffle_the_documents_once(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = spark.createDataFrame([(1, "The food and staff was great ."), (2, "bagels")], "row_id int, text string")
+        P.tag_tokens(base, tagger, packed=True).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        df = docs.selectExpr("row_id", "text", "'food' AS span", "0 AS ordinal", "'p' AS label")
+        aspect, polar = P.span_training_sets(df, docs, key="row_id", written=True)
+        both = aspect.selectExpr("row_id", "string(label) AS label").unionByName(polar.selectExpr("row_id", "string(label) AS label"))
+        assert rows(both) == [(1, "false"), (1, "p"), (1, "true"), (2, "false")]
+        plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("ReusedExchange") >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
