@@ -177,7 +177,8 @@ def buckets_of(members: DataFrame, slots: int, room: int) -> DataFrame:
     names = [f"least{s}" for s in range(slots)]
     found = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *(x.alias(name) for x, name in zip(least, names)))
     firsts = F.sort_array(F.array_compact(F.array(*names)))
-    many = F.greatest(F.lit(1), F.floor(F.lit(room) / F.col("n"))).cast("int")
+    # A bucket has ``slots`` first ones at most, so more room than that for all its rows is never used.
+    many = F.least(F.lit(slots), F.greatest(F.lit(1), F.floor(F.lit(float(room)) / F.col("n")))).cast("int")
     return found.where("n > 1").select("band", "key", F.slice(firsts, 1, many).alias("firsts")).where("size(firsts) > 0")
 
 
@@ -223,7 +224,7 @@ def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> Dat
                 members = members.join(marks.select("node", "further"), "node")
             members = members.withColumn("key", F.xxhash64("key", F.element_at("further", done - PLAIN_ROUNDS + 1)))
         if done > 1:
-            room *= max(1, min(GROWTH, at_first // made))
+            room = min(room * max(1, min(GROWTH, at_first // made)), 1 << 60)
         else:
             at_first, slots = made, SLOTS
     if judged is None:

@@ -137,3 +137,11 @@ def test_empty_tables(spark):
 
 def test_signatures_of_no_words_agree():
     assert N.signature(np.zeros(0, np.uint64)) == N.signature(N.shingles(b" \n", 5))
+
+
+@pytest.mark.parametrize("growths", [7, 9, 30])
+def test_buckets_take_any_room(spark, growths):
+    """Room grows eight-fold a round; after nine rounds a bucket's share of it was beyond an int, which ended the job."""
+    members = spark.createDataFrame([(n, n, False, 0, 7) for n in range(2)], "node bigint, print bigint, settled boolean, band int, key bigint")
+    found = N.buckets_of(members, N.SLOTS, N.ROOM * N.GROWTH**growths).collect()
+    assert [(r["band"], r["key"]) for r in found] == [(0, 7)] and 1 <= len(found[0]["firsts"]) <= 2
