@@ -1,19 +1,20 @@
 """Near copies by word shingles: SimHash of five-word shingles, candidates by bands, links by exact Jaccard similarity.
 
-At a Jaccard similarity of 0.8 two SimHashes of 64 bits differ in about ten bits, and a pigeonhole search that wide has to
-compare large shares of the table. So candidates come from two sources. The generalised pigeonhole search links SimHashes
-at ``NEAR`` or fewer differing bits, and the texts of one component of these links are candidates. Those further apart come from
-bands of minima: each text's shingle hashes are taken to their minimum under ``BANDS * ROWS`` mappings, and texts that agree in
-all minima of a band are candidates. Either way they are dropped if their SimHashes are more than ``FAR`` bits apart. Candidates are
-compared by the whole sets of shingles, and texts linked at ``similarity`` or more form groups by connected components.
+The groups are those of all pairs. Most links are found cheaply first. At a Jaccard similarity of 0.8 two SimHashes of 64 bits
+differ in about ten bits, and a pigeonhole search that wide has to compare large shares of the table. So first candidates come from
+two sources. The generalised pigeonhole search links SimHashes at ``NEAR`` or fewer differing bits, and the texts of one component of
+these links are candidates. Those further apart come from bands of minima: each text's shingle hashes are taken to their
+minimum under ``BANDS * ROWS`` mappings, and texts that agree in all minima of a band are candidates, unless their SimHashes are
+more than ``FAR`` bits apart. Candidates are compared by the whole sets of shingles; those at ``similarity`` or more are linked.
 
 In a band's bucket the first text is compared with all others. While some are linked to no first one yet, the first ones of
-these are compared with all in the next round, so a bucket of a thousand copies costs a few thousand comparisons, not half a
-million; a link is missed only between two texts that are no first one in any band. A small bucket has several first ones in
-a round, up to ``SLOTS``, so that the many rounds of a large group of texts at the edge of the similarity become few; how many
-comparisons a bucket may take for that grows while a round makes fewer than the first one did, so rounds stay linear in the input.
-From the fourth round on, buckets that are left are split by further minima, which near copies share as well. A text that very
-many others meet is compared in slices.
+these are compared with all in the next round. A small bucket has several first ones in a round, up to ``SLOTS``; how many
+comparisons a bucket may take for that grows while a round makes fewer than the first one did, so rounds stay linear in the
+input. After ``PLAIN_ROUNDS`` buckets that are left are split by a further minimum. A text that very many others meet is
+compared in slices.
+
+After ``MOST_ROUNDS`` the groups found so far are completed (``set_pairs.py``): of any two texts in different groups that may be
+similar, by prefixes of their shingle sets, sizes and counted classes, none is left out, and all of them are compared in full.
 
 Defined results: a null text is empty; texts without a word are copies of each other, and texts of fewer words than a
 shingle are one shingle. Rows are told apart by their place, so ids may repeat or be null; of each group the row with the
@@ -24,13 +25,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from contextlib import contextmanager
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from handful.llm import set_pairs
 from handful.llm.common import LOWER, among, as_batch, byte_values
 from handful.llm.simhash import BITS, components, links, mark_of
 from handful.session import cut_lineage
@@ -41,6 +43,8 @@ NEAR, FAR = 4, 24
 SLICE_ROWS = 256
 # First ones of a bucket in a round; comparisons that a bucket may take for more than one, at first; their growth in a round.
 SLOTS, ROOM, GROWTH = 16, 128, 8
+# Rounds before all that is left is compared through prefixes.
+MOST_ROUNDS = 4
 NODE = "near_copies_node"
 # Texts go to Python in small batches, so that long ones take little memory beside the executor's own.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -213,12 +217,14 @@ def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> Dat
         found = compared(pairs, rows, text, words, similarity)
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked")
         judged = cut_lineage(found if judged is None else judged.unionByName(found), "compared")
+        done += 1
+        if done == MOST_ROUNDS:
+            break
         linked = judged.where("linked").select("a", "b", F.lit(True).alias("now"))
         members = left.where("not done").join(linked, ["a", "b"], "left")
         settled = F.max(F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled")
         kept = [F.first(c).alias(c) for c in members.columns if c in ("print", "further")]
         members = members.groupBy("node", "band", "key").agg(settled, *kept)
-        done += 1
         if done >= PLAIN_ROUNDS and done - PLAIN_ROUNDS < FURTHER:
             if done == PLAIN_ROUNDS:
                 members = members.join(marks.select("node", "further"), "node")
@@ -228,8 +234,15 @@ def near_links(rows: DataFrame, text: str, words: int, similarity: float) -> Dat
         else:
             at_first, slots = made, SLOTS
     if judged is None:
-        return left.select("a", "b")
-    return judged.where("linked").select("a", "b")
+        judged = left.select("a", "b", F.lit(True).alias("linked"))
+    met = judged.where("linked").select("a", "b")
+    # What the rounds never compared: all pairs of two groups that may be similar.
+    wide = partial(shingles, words=words)
+    rest = set_pairs.unmet(rows, NODE, text, wide, similarity, components(met)).join(judged, ["a", "b"], "left_anti")
+    rest = cut_lineage(rest, "unmet")
+    if rest.isEmpty():
+        return met
+    return met.unionByName(cut_lineage(compared(rest, rows, text, words, similarity), "late").where("linked").select("a", "b"))
 
 
 def keep_one_near(
