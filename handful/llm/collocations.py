@@ -69,9 +69,11 @@ def cut_body(body: bytes, limit: int):
     yield body[at:], 0
 
 
-CHUNKS = "chunk bigint, lang string, words bigint, ahead int, body binary"
+# Bodies are written and shuffled compressed; ``size`` is that of the plain body.
+CODEC = "zstd"
+CHUNKS = "chunk bigint, lang string, words bigint, ahead int, size bigint, body binary"
 CHUNK_SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("ahead", pa.int32()), ("body", pa.binary())]
+    [("chunk", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("ahead", pa.int32()), ("size", pa.int64()), ("body", pa.binary())]
 )
 
 
@@ -83,7 +85,8 @@ def write_chunks(docs: DataFrame, text: str, lang: str, chunk_bytes: int) -> Dat
         def chunk(name, body, ahead=0):
             words = len(body.split()) - ahead
             number = uuid.uuid4().int >> 65
-            return as_batch(CHUNK_SCHEMA, chunk=[number], lang=[name], words=[words], ahead=[ahead], body=[body])
+            small = pa.compress(body, codec=CODEC, asbytes=True)
+            return as_batch(CHUNK_SCHEMA, chunk=[number], lang=[name], words=[words], ahead=[ahead], size=[len(body)], body=[small])
 
         def emptied(names):
             for name in names:
@@ -176,14 +179,41 @@ def part_bounds(parts: int, bits: int) -> np.ndarray:
     return np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)
 
 
+def pack_bits(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bits of each number, one behind the other."""
+    raw = np.ascontiguousarray(values.astype(">u8")).view(np.uint8).reshape(-1, 8)
+    size = -(-width // 8)
+    return np.packbits(np.unpackbits(raw[:, 8 - size :], axis=1)[:, 8 * size - width :]).tobytes()
+
+
+def unpack_bits(blob: np.ndarray, n: int, width: int) -> np.ndarray:
+    size = -(-width // 8)
+    bits = np.zeros((n, 8 * size), np.uint8)
+    bits[:, 8 * size - width :] = np.unpackbits(blob, count=n * width).reshape(n, width)
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, 8 - size :] = np.packbits(bits).reshape(n, size)
+    return raw.view(">u8").ravel().astype(np.uint64)
+
+
 def pack_counts(keys: np.ndarray, counts: np.ndarray, low: int) -> bytes:
-    """Ascending hashes and their counts: number, mass, width, differences by byte planes, counts by two rules."""
-    steps = np.diff(keys, prepend=np.uint64(low))
-    width = 4 if not len(steps) or steps.max() < 1 << 32 else 8
-    planes = np.ascontiguousarray(steps.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    """Ascending hashes and their counts: number, mass, low bits, bytes of either part; then the hashes, and the counts by two rules.
+
+    Of a hash beyond ``low`` the low bits are stored as they are and the rest as a run of zeros up to a one, so that it takes
+    about two bits more than the logarithm of the mean difference.
+    """
+    keys = keys - np.uint64(low)
+    span = int(keys[-1]) + 1 if len(keys) else 1
+    width = max(0, (span // max(1, len(keys))).bit_length() - 1)
+    high = (keys >> np.uint64(width)).astype(np.int64)
+    marks = np.zeros(int(high[-1]) + len(keys) if len(keys) else 0, np.uint8)
+    marks[high + np.arange(len(keys))] = 1
+    parts = [pack_bits(keys, width) if width else b"", np.packbits(marks).tobytes()]
     large = counts[counts >= 255]
-    head = np.array([len(keys), counts.sum(), width], "<u8").tobytes()
-    return b"".join([head, planes.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<u8").tobytes()])
+    head = np.array([len(keys), counts.sum(), width, len(parts[0]), len(parts[1])], "<u8").tobytes()
+    return b"".join([head, *parts, np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<u8").tobytes()])
+
+
+HEAD = 40
 
 
 def mass_of(blob: bytes) -> int:
@@ -191,15 +221,18 @@ def mass_of(blob: bytes) -> int:
 
 
 def unpack_keys(blob: bytes, low: int) -> np.ndarray:
-    size, _, width = np.frombuffer(blob, "<u8", 3).tolist()
-    planes = np.frombuffer(blob, np.uint8, size * width, 24).reshape(width, size)
-    steps = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64)
-    return np.cumsum(steps, dtype=np.uint64) + np.uint64(low)
+    size, _, width, own, more = np.frombuffer(blob, "<u8", 5).tolist()
+    bits = np.unpackbits(np.frombuffer(blob, np.uint8, more, HEAD + own))
+    high = (np.flatnonzero(bits) - np.arange(size)).astype(np.uint64)
+    keys = high << np.uint64(width)
+    if width:
+        keys |= unpack_bits(np.frombuffer(blob, np.uint8, own, HEAD), size, width)
+    return keys + np.uint64(low)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    size, _, width = np.frombuffer(blob, "<u8", 3).tolist()
-    at = 24 + size * width
+    size, _, _, own, more = np.frombuffer(blob, "<u8", 5).tolist()
+    at = HEAD + own + more
     counts = np.frombuffer(blob, np.uint8, size, at).astype(np.int64)
     counts[counts == 255] = np.frombuffer(blob, "<u8", -1, at + size).astype(np.int64)
     return counts
@@ -256,7 +289,8 @@ def frequent_ngrams(chunks: DataFrame, threshold: int, part_mass: int = PART_MAS
     mass = LONGEST * (chunks.agg(F.sum("words")).first()[0] or 0)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2 * tasks, -(-mass // part_mass))
-    bits = min(64, max(34, mass.bit_length() + 8))
+    # At most one hash in 60 is shared by a rare n-gram and a frequent one; it costs time alone.
+    bits = min(64, max(20, mass.bit_length() + 1))
     bounds = part_bounds(parts, bits)
     sent = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
     told = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("bits", pa.binary())])
@@ -264,9 +298,10 @@ def frequent_ngrams(chunks: DataFrame, threshold: int, part_mass: int = PART_MAS
 
     def chunks_of(batches):
         for batch in batches:
-            own = [batch.column(n).to_pylist() for n in ("chunk", "lang", "ahead")]
-            for k, (chunk, lang, ahead) in enumerate(zip(*own)):
-                body = byte_values(batch.column("body").slice(k, 1))[0]
+            own = [batch.column(n).to_pylist() for n in ("chunk", "lang", "ahead", "size")]
+            for k, (chunk, lang, ahead, size) in enumerate(zip(*own)):
+                small = byte_values(batch.column("body").slice(k, 1))[0]
+                body = pa.decompress(small, decompressed_size=size, codec=CODEC, asbytes=True)
                 yield k, batch, chunk, lang, Grams(lang, body, ahead, bits)
 
     def count(batches):
@@ -310,7 +345,7 @@ def frequent_ngrams(chunks: DataFrame, threshold: int, part_mass: int = PART_MAS
             for n, phrases, counts in grams.named(np.concatenate(keep)):
                 yield as_batch(named, lang=[lang] * len(counts), k=np.full(len(counts), n), phrase=phrases, f=counts)
 
-    rows = chunks.select("chunk", "lang", "ahead", "body")
+    rows = chunks.select("chunk", "lang", "ahead", "size", "body")
     dealt = rows.mapInArrow(count, "part int, chunk bigint, blob binary").repartition(tasks, "part").sortWithinPartitions("part")
     bits_of = dealt.mapInArrow(summarise, "chunk bigint, part int, bits binary")
     answers = bits_of.groupBy(F.col("chunk").alias("of")).agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("answers"))

@@ -138,3 +138,16 @@ def test_hashes_that_meet_do_not_mix_counts():
     assert len(keys) <= 8 and counts.sum() == 22 + 21 + 20 + 19
     found = {p: n for _, phrases, ns in own.named(keys) for p, n in zip(phrases.to_pylist(), ns.tolist())}
     assert found["a b"] == 2 and found["a b c"] == 1 and len(found) == 20 + 20 + 20 + 19
+
+
+def test_packed_hashes_take_two_bits_more_than_their_spread():
+    """Before, every hash had whole bytes: three where these need 14 bits."""
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 31, 450_000).astype(np.uint64))
+    ones = np.ones(len(keys), np.int64)
+    blob = C.pack_counts(keys, ones, 0)
+    assert (len(blob) - len(keys)) * 8 / len(keys) < np.log2((1 << 31) / len(keys)) + 2.1
+    assert (C.unpack_keys(blob, 0) == keys).all() and (C.unpack_counts(blob) == 1).all()
+    for own in ([5], [0, (1 << 63) - 1], list(range(300))):
+        back = C.unpack_keys(C.pack_counts(np.array(own, np.uint64), np.ones(len(own), np.int64), 0), 0)
+        assert back.tolist() == own
